@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import chat, mixing, sharding, simhash, token_counts, url_filter
+from twinsift.llm import chat, mixing, sharding, simhash, token_counts, toxicity, url_filter
 from twinsift.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op3_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held = F.coalesce(~toxicity.may_learn(), F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "n_words", "segments")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.byte_level_pieces(VOCABULARY))
 
@@ -52,7 +58,7 @@ def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_chat_format, op3_url_range_join, op5_token_counts, op7_simhash_bktree, op8_kd_sharding, op9_pareto_mixing)
+    f.__name__: f for f in (op1_chat_format, op3_url_range_join, op4_toxic_segments, op5_token_counts, op7_simhash_bktree, op8_kd_sharding, op9_pareto_mixing)
 }
 
 ORACLE: dict[str, str] = {
