@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import chat, mixing, sharding, simhash, token_counts, toxicity, url_filter
+from twinsift.llm import chat, mixing, quality, sharding, simhash, token_counts, toxicity, url_filter
 from twinsift.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,8 +57,14 @@ def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held = F.coalesce(~quality.may_learn(), F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_chat_format, op3_url_range_join, op4_toxic_segments, op5_token_counts, op7_simhash_bktree, op8_kd_sharding, op9_pareto_mixing)
+    f.__name__: f for f in (op1_chat_format, op3_url_range_join, op4_toxic_segments, op5_token_counts, op7_simhash_bktree, op8_kd_sharding, op9_pareto_mixing, op10_quality_knn)
 }
 
 ORACLE: dict[str, str] = {
