@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import chat, mixing, quality, sharding, simhash, token_counts, toxicity, url_filter
+from twinsift.llm import chat, mixing, quality, sharding, simhash, token_counts, toxicity, url_filter, vectors
 from twinsift.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.byte_level_pieces(VOCABULARY))
 
 
+def op6_pq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,7 +68,11 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_chat_format, op3_url_range_join, op4_toxic_segments, op5_token_counts, op7_simhash_bktree, op8_kd_sharding, op9_pareto_mixing, op10_quality_knn)
+    f.__name__: f
+    for f in (
+        op1_chat_format, op3_url_range_join, op4_toxic_segments, op5_token_counts, op6_pq_vectors, op7_simhash_bktree,
+        op8_kd_sharding, op9_pareto_mixing, op10_quality_knn,
+    )
 }
 
 ORACLE: dict[str, str] = {
