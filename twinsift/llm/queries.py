@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import chat, mixing, quality, sharding, simhash, token_counts, toxicity, url_filter, vectors
+from twinsift.llm import chat, decontaminate, mixing, quality, sharding, simhash, token_counts, toxicity, url_filter, vectors
 from twinsift.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -70,7 +74,7 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_chat_format, op3_url_range_join, op4_toxic_segments, op5_token_counts, op6_pq_vectors, op7_simhash_bktree,
+        op1_chat_format, op2_latent_decontamination, op3_url_range_join, op4_toxic_segments, op5_token_counts, op6_pq_vectors, op7_simhash_bktree,
         op8_kd_sharding, op9_pareto_mixing, op10_quality_knn,
     )
 }
