@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def written(df: DataFrame, replaces: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared checkpoint folder, read back, and its path.
+
+    ``replaces`` is the path of a table that only ``df`` was made from; it goes once ``df`` is written.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if replaces:
+        old = spark._jvm.org.apache.hadoop.fs.Path(replaces)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.parquet(path), path
