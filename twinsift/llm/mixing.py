@@ -143,10 +143,11 @@ def mix_sources(
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as ``mix_sources`` decided; rows with equal doc_id and text count as one kind."""
-    per_key = mixed.groupBy("doc_id", "_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    keyed = docs.withColumn("_key", document_key())
-    found = keyed.join(per_key.where("_copies > 0").withColumnRenamed("doc_id", "_id"), (F.col("_id").eqNullSafe(F.col("doc_id"))) & (keyed["_key"] == per_key["_key"])).drop("_id", per_key["_key"])
+    per_key = mixed.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
+    keyed = docs.withColumn("_key", document_key()).alias("d")
+    same = (F.col("d._key") == F.col("m._key")) & F.col("d.doc_id").eqNullSafe(F.col("m._id"))
+    found = keyed.join(per_key.where("_copies > 0").alias("m"), same).select("d.*", "m._copies", "m._n")
     single = found.where("_n = 1")
-    kinds = found.where("_n > 1").groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("_row"), F.first("_copies").alias("_copies"))
+    kinds = found.where("_n > 1").groupBy("doc_id", "_key").agg(F.first(F.struct(*docs.columns)).alias("_row"), F.first("_copies").alias("_copies"))
     rows = single.select(*docs.columns, "_copies").unionByName(kinds.select("_row.*", "_copies"))
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_again")).drop("_again")

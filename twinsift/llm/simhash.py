@@ -264,3 +264,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     named = cut(named)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return found.join(named.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id, columns as they were.
+
+    Of rows that repeat a kept doc_id one stays.  Rows without a doc_id cannot be told apart and all stay.
+    """
+    kept = near_duplicates(docs.where("doc_id is not null"), radius, size).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
