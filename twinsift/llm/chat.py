@@ -27,6 +27,7 @@ PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:d
 IMAGE_TILE, TOKENS_PER_TILE = 28, 1
 AUDIO_TOKENS_PER_SECOND = 25
 TOKENS_PER_PAGE = 256
+MOST_READY, LONG = 200, 1 << 20  # conversations handed on at a time; one of that many code points goes at once
 
 
 def escape(text: str) -> str:
@@ -114,19 +115,27 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         current, begun = None, False
         flattener, chunks, spans, at, n = Flattener(), [], [], 0, 0
 
-        def done() -> pd.DataFrame:
-            row = (current, "".join(chunks), n, [s for s, _ in spans], [e for _, e in spans], flattener.attachments, sum(a[3] for a in flattener.attachments))
-            out = pd.DataFrame([row], columns=[c.split()[0] for c in ("conv_id", "formatted", "n_turns", "loss_starts", "loss_ends", "attachments", "expanded_tokens")])
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            out["attachments"] = [[dict(zip(("position", "kind", "ref", "tokens"), a)) for a in flattener.attachments]]
-            return out
+        ready: list[tuple] = []
+        names = [c.split()[0] for c in FORMATTED.replace("<position:int,kind:string,ref:string,tokens:int>", "").split(", ")]
+
+        def close() -> None:
+            found = [dict(zip(("position", "kind", "ref", "tokens"), a)) for a in flattener.attachments]
+            ready.append((current, "".join(chunks), n, [s for s, _ in spans], [e for _, e in spans], found, sum(a["tokens"] for a in found)))
+
+        def out() -> pd.DataFrame:
+            frame = pd.DataFrame(ready, columns=names)
+            frame["conv_id"] = frame["conv_id"].astype("Int64")
+            ready.clear()
+            return frame
 
         for pdf in batches:
             for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["content"]):
                 conv = None if pd.isna(conv) else int(conv)
                 if begun and conv != current:
-                    yield done()
+                    close()
                     flattener, chunks, spans, at, n = Flattener(), [], [], 0, 0
+                    if len(ready) >= MOST_READY or sum(len(r[1]) for r in ready[-1:]) > LONG:
+                        yield out()
                 current, begun = conv, True
                 parts = (json.loads(text) if text else []) if typed else [{"type": "text", "text": text}]
                 piece, start, end = format_turn(role, parts, flattener)
@@ -136,7 +145,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                 at += len(piece)
                 n += 1
         if begun:
-            yield done()
+            close()
+        if ready:
+            yield out()
 
     return rows.mapInPandas(visit, FORMATTED)
 
