@@ -6,8 +6,8 @@ goes to every range its interval touches, and a sweep over each sorted range kee
 whose intervals are open.  Each host on the stack holds its path prefixes sorted, with links to the prefix that
 encloses each, so the longest fitting rule takes one search per open host.
 
-Range ends come from a fixed number of keys taken by hash, as for any range-partitioned sort; they decide balance
-only, never results.  The key ends in the row's hash, so even one url with a third of all rows is split.
+Range ends come from a sample of about ``SAMPLE_PER_RANGE`` keys per range, as for any range-partitioned sort; they
+decide balance only, never results.  The key ends in the row's hash, so even one url with a third of all rows is split.
 """
 
 from __future__ import annotations
@@ -112,7 +112,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     n = shuffle_partitions(spark) * RANGES_PER_PARTITION
     urls = pages.select(F.col(id_col).alias("_row"), url_host().alias("host"), url_path().alias("path"))
     urls = urls.withColumn("_key", host_key(F.col("host"))).withColumn("_salt", F.hex(F.xxhash64("_row", F.lit(3))))
-    some = urls.select("_key", "path", "_salt").orderBy(F.xxhash64("_salt", F.lit(5))).limit(n * SAMPLE_PER_RANGE).collect()
+    share = min(1.0, n * SAMPLE_PER_RANGE / max(1, pages.count()))
+    some = urls.select("_key", "path", "_salt").sample(share, seed=5).collect()
     keys = sorted(tuple(r) for r in some)
     ends = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
 
