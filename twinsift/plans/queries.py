@@ -566,12 +566,12 @@ ITEMS_SQL = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a:b/' || p_part
 
 
 @query(f"""WITH t AS ({ITEMS_SQL}) SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN regexp_extract(q, '^(.+):(.+):([0-9]+)$', 1) ELSE q END AS path,
-    CASE WHEN p_partkey % 2 = 0 THEN regexp_extract(q, '^(.+):(.+):([0-9]+)$', 2) END AS fn_name, CASE WHEN p_partkey % 2 = 0 THEN regexp_extract(q, '^(.+):(.+):([0-9]+)$', 3)::INTEGER END AS fn_line FROM t""")
+    CASE WHEN p_partkey % 2 = 0 THEN regexp_extract(q, '^(.+):(.+):([0-9]+)$', 2) ELSE '' END AS fn_name, CASE WHEN p_partkey % 2 = 0 THEN regexp_extract(q, '^(.+):(.+):([0-9]+)$', 3)::INTEGER ELSE 0 END AS fn_line FROM t""")
 def parse_query_path(spark, d):
     base = F.concat(F.lit("a:b/"), F.col("p_partkey").cast("string"))
     size = F.col("p_size").cast("string")
     q = F.when(F.col("p_partkey") % 2 == 0, F.concat(base, F.lit(":fn"), size, F.lit(":"), size)).otherwise(base)
-    return _table(spark, d, "part").select("p_partkey", formatting.parse_query_path(q).alias("x")).select("p_partkey", "x.*")
+    return _table(spark, d, "part").select("p_partkey", formatting.parse_query_path(q).alias("x")).select("p_partkey", "x.*").fillna({"fn_name": "", "fn_line": 0})
 
 
 @query("SELECT p_partkey, md5(p_name) AS sha, replace(p_brand, '#', '_') AS fn_name, p_size::INTEGER AS fn_line FROM part")
