@@ -40,6 +40,11 @@ def _ordinal(c: str) -> Column:
     return F.conv(head, 16, 10).cast("double")
 
 
+def _group() -> Column:
+    """Equal texts have equal groups; a null text counts as an empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("_group")
+
+
 def text_groups(docs: DataFrame) -> DataFrame:
     """Narrow rows: doc_id, size, text_crc32, the group of equal texts and raw coordinates."""
     size = text_bytes() + 1
@@ -47,7 +52,7 @@ def text_groups(docs: DataFrame) -> DataFrame:
         "doc_id",
         size.alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-        F.xxhash64(F.col("text"), F.col("text").isNull()).alias("_group"),
+        _group(),
         F.log2(size.cast("double")).alias("_size"),
         _ordinal("lang").alias("_lang"),
         _ordinal("source").alias("_source"),
@@ -131,7 +136,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row of ``docs`` (columns doc_id, text, lang, source).
 
     Sizes (UTF-8 bytes plus 1) of the shards are near equal; equal texts share a shard, so a text whose copies
-    exceed a shard's share makes that shard larger.  Null texts have size 1, crc 0 and are one group; null
+    exceed a shard's share makes that shard larger.  Null texts count as empty: size 1, crc 0, one group; null
     lang or source count as the lowest value; repeated rows each get a slot; an empty table gives an empty
     result; further columns are ignored.
     """
@@ -145,6 +150,5 @@ def assign_shards(docs: DataFrame, n_shards: int = 16) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16) -> None:
     """Write ``docs`` as Parquet under one folder per shard."""
     points, _ = kd_tree(_points(cut(text_groups(docs))), n_shards)
-    group = F.xxhash64(F.col("text"), F.col("text").isNull()).alias("_group")
-    placed = docs.select("*", group).join(points.select("_group", "shard"), "_group").drop("_group")
+    placed = docs.select("*", _group()).join(points.select("_group", "shard"), "_group").drop("_group")
     placed.write.mode("overwrite").partitionBy("shard").parquet(path)
