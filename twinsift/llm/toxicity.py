@@ -32,7 +32,7 @@ PRIOR, DRIFT = 2.0, 0.5
 #: Standard deviations taken off a score, and scores below which a token does not count: held-out folds choose.
 ZS, LEAST = (1.0, 1.64, 2.33), (1.0, 1.5, 2.0, 2.5, 3.0)
 TAIL = 1.0  # segment score from which the tail is fitted
-MEMO = 300_000
+MEMO = 150_000  # words whose score a worker remembers; beyond it the memo starts anew
 CUT, SLOPE = 0.7, 0.5
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -192,13 +192,12 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
             yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.list_(pa.float64())))], ["label", "words", "scores"])
 
     held = rows.mapInArrow(judge, "label int, words long, scores array<array<double>>").toPandas()
+    labels, words = held["label"].to_numpy(), held["words"].to_numpy()
     options = [(z, least) for z in ZS for least in LEAST]
-    fitted = []
-    for k, (z, least) in enumerate(options):
-        whole = model((0, 1), z)
-        whole.least = least
-        fitted.append(calibrate(whole, held["label"].to_numpy(), held["words"].to_numpy(), [s[k] for s in held["scores"]]))
-    return max(fitted, key=lambda m: m.quality)
+    fitted = [calibrate(Model(least=least), labels, words, [s[k] for s in held["scores"]]) for k, (_, least) in enumerate(options)]
+    best = max(range(len(options)), key=lambda k: fitted[k].quality)
+    fitted[best].scores = {f: v for f, v in model((0, 1), options[best][0]).scores.items() if v > fitted[best].least}
+    return fitted[best]
 
 
 def calibrate(model: Model, labels: np.ndarray, words: np.ndarray, scores: list) -> Model:
