@@ -182,6 +182,17 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.keep_uncontaminated(df, bench.limit(0)).count() == df.count()
 
 
+def test_an_item_in_a_third_of_the_documents_is_found_in_all_of_them(spark):
+    docs, items, _ = leak_corpus()
+    everyday = (900, "the of and to in the and of to in of the to and in the of to")
+    clean = [(i, t) for i, t in docs if i % 4]
+    hot = [(i, f"{t} {items[7][1]}" if i % 3 == 0 else f"{t} {everyday[1]}" if i % 3 == 1 else t) for i, t in clean]
+    df, bench = spark.createDataFrame(hot, "doc_id long, text string"), spark.createDataFrame(items + [everyday], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert {(i, 7) for i, _ in hot if i % 3 == 0} <= found and {(i, 900) for i, _ in hot if i % 3 == 1} <= found
+    assert {d for d, k in found if k not in (7, 900)} == set()
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     docs, items, _ = leak_corpus()
     df, bench = spark.createDataFrame(docs[:80], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

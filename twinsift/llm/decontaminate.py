@@ -29,7 +29,6 @@ from twinsift.lineage import cut, written
 WIDTH, STRIDE = 32, 16  # words of a passage
 POWER_STEPS = 2
 RANK = 48  # latent directions taken from the corpus
-COMMON = 0.1  # words in a larger share of documents have no weight
 PASSING = 0.2  # share of a passage's norm that lies in benchmark words, below which it cannot be a candidate
 COSINE = 0.2
 LCS, LCS_ALONE, WEIGHT, ANSWER = 0.6, 0.8, 0.5, 0.5
@@ -61,7 +60,7 @@ class Benchmark:
     ids: list[int]
     items: list[np.ndarray]
     vocabulary: dict[str, int]
-    weight: np.ndarray | None = None  # idf by word, 0 for common ones
+    weight: np.ndarray | None = None  # idf by word, at least 1: a leak may lie in any share of the documents
     other: float = 1.0  # weight of words outside the vocabulary
     basis: np.ndarray | None = None
     passages: np.ndarray | None = None  # unit vectors of the items' passages in the basis
@@ -233,10 +232,7 @@ def prepare(docs: DataFrame, ids: list[int], texts: list[str | None]) -> tuple[B
     b = Benchmark([i for i, _ in words], [np.array([vocabulary[w] for w in ws], dtype=np.int32) for _, ws in words], vocabulary)
     encoded, _ = encode(docs, b)
     df, n = document_frequencies(encoded, b)
-    idf = np.log((1 + n) / (1 + df))
-    b.weight = np.where(df > COMMON * n, 0.0, idf) if n >= 1 / COMMON else idf
-    if not (b.weight > 0).any():
-        b.weight = np.ones(len(vocabulary))
+    b.weight = 1 + np.log((1 + n) / (1 + df))
     b.other = float(b.weight.max())
     corpus = latent_directions(encoded, b)
     flat, ends = np.concatenate(b.items), np.r_[0, np.cumsum([len(x) for x in b.items])]
