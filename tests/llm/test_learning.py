@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from twinsift.llm import decontaminate, quality, toxicity
 
@@ -193,6 +194,38 @@ def test_an_item_in_a_third_of_the_documents_is_found_in_all_of_them(spark):
     assert {d for d, k in found if k not in (7, 900)} == set()
 
 
+def test_leaks_are_found_at_every_offset_however_large_the_corpus():
+    _, items, _ = leak_corpus()
+    items = items + [(40 + k, " ".join(t.split()[:n])) for (k, t), n in zip(items, (8, 9, 10, 12) * 2)] + [(60, " ".join(t for _, t in items[:30]))]
+    rng = random.Random(4)
+    words = decontaminate.item_words([t for _, t in items])
+    vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
+    for n in (10**3, 10**5, 3 * 10**8):
+        b = decontaminate.Benchmark([i for i, _ in items], [np.array([vocabulary[w] for w in ws], dtype=np.int32) for ws in words], vocabulary)
+        share = np.random.default_rng(3).choice([0.3, 0.05, 0.01], len(vocabulary))
+        share[5] = 0
+        b.weight = 1 + np.log((1 + n) / (1 + share * n))
+        b.other = float(b.weight.max())
+        b.basis = np.eye(len(vocabulary), dtype=np.float32)
+        own, ends = np.concatenate(b.items), np.r_[0, np.cumsum([len(x) for x in b.items])]
+        b.item_of, start, end = decontaminate.windows(ends)
+        b.passages = decontaminate._rows(b, own, start, end, b.basis)
+        b.passages /= np.linalg.norm(b.passages, axis=1, keepdims=True)
+        judge = decontaminate.Judge(b)
+        texts, of = [], []
+        for k, x in enumerate(b.items):
+            for offset in (0, 3, 7, 11, 15, 100):
+                for changed in (0, 0.2, 0.38):
+                    leak = x.copy()
+                    leak[rng.sample(range(len(x)), int(changed * len(x)))] = decontaminate.OTHER
+                    texts.append(np.r_[np.full(offset, -1), leak, np.full(200, -1)].astype(np.int32))
+                    of.append((k, changed))
+        found = {(t, k) for t, k, *_ in judge.found(pa.array([t.tobytes() for t in texts], pa.binary()))}
+        assert {(t, k) for t, (k, changed) in enumerate(of) if not changed} <= found
+        brute = {(t, k) for t, (k, _) in enumerate(of) if judge.verify(k, texts[t].tolist())}
+        assert brute <= found and len(brute) > len(texts) / 2
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     docs, items, _ = leak_corpus()
     df, bench = spark.createDataFrame(docs[:80], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

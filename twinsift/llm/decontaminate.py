@@ -5,9 +5,10 @@ frequencies counted over the whole corpus.  A distributed randomised SVD of the
 latent directions: tasks multiply their passages with a random test matrix and back, and only that sketch
 (terms x rank) is added up.  The benchmark's own passages complete the basis, so no item is lost to the cut in rank.
 
-Passages whose cosine with an item's passage in that space reaches ``COSINE`` are candidates.  Around each the
-longest common subsequence with the whole item, the share of the item's weight that is present and the item's end
-(its answer) decide, which catches copies with changed, missing or inserted words.
+Candidates are the passages around which enough of an item's own weight is present, found by the item's heaviest
+words; no other word of the text and no size of the corpus hides one.  Around each the longest common subsequence
+with the whole item, the share of its weight that is present and the item's end (its answer) decide, which catches
+copies with changed, missing or inserted words.  The cosine of a found passage in the latent space is given with it.
 
 The benchmark is a table of a checked size; larger ones are taken in blocks of items.
 """
@@ -29,9 +30,11 @@ from twinsift.lineage import cut, written
 WIDTH, STRIDE = 32, 16  # words of a passage
 POWER_STEPS = 2
 RANK = 48  # latent directions taken from the corpus
-PASSING = 0.2  # share of a passage's norm that lies in benchmark words, below which it cannot be a candidate
-COSINE = 0.2
+PASSING = 0.2  # share of a passage's norm that lies in benchmark words, below which it does not shape the directions
 LCS, LCS_ALONE, WEIGHT, ANSWER = 0.6, 0.8, 0.5, 0.5
+HEAVY = 0.75  # share of an item's weight in the words by which candidates are found
+LONG = 256  # items of this many words skip passages
+POSTINGS = 4_000_000  # occurrences of heavy words, times the passages around them, held at a time
 SHORT = 8  # items of fewer words must occur whole
 ITEMS_AT_ONCE = 500
 MOST_ITEMS = 200_000
@@ -266,8 +269,19 @@ def _places(item: np.ndarray) -> dict[int, int]:
     return out
 
 
+def _spread(of: np.ndarray, begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each position and value of ``of`` as often as ``many``, with the numbers from ``begin`` on."""
+    row = np.repeat(np.arange(len(of)), many)
+    return row, of[row], begin[row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
+
+
 class Judge:
-    """Finds and verifies the candidates of a run of texts."""
+    """Finds and verifies the candidates of a run of texts.
+
+    A place is a candidate if ``WEIGHT`` of an item's own weight lies in the words around it, whatever the other words
+    and the size of the corpus: all that ``verify`` can accept.  An item's heaviest words are enough to tell: with the
+    rest of its weight granted, they must still bring what is missing to ``WEIGHT``.
+    """
 
     def __init__(self, b: Benchmark):
         self.b = b
@@ -275,29 +289,96 @@ class Judge:
         self.tails = [x[-max(3, math.ceil(len(x) / 4)) :] for x in b.items]
         self.tail_places = [_places(x) for x in self.tails]
         self.weights = [b.weight[x].sum() for x in b.items]
+        self.size = np.array([len(x) for x in b.items])
+        self.step = np.maximum(1, self.size // LONG)  # of long items not every passage is looked at, but every place
+        word, item, share, need = [], [], [], []
+        for k, x in enumerate(b.items):
+            own, many = np.unique(x, return_counts=True)
+            part = b.weight[own] * many / self.weights[k]
+            order = np.argsort(-part / many, kind="stable")
+            order = order[: int(np.searchsorted(np.cumsum(part[order]), HEAVY)) + 1]
+            word.append(own[order])
+            item.append(np.full(len(order), k))
+            share.append(part[order])
+            need.append(part[order].sum() - (1 - WEIGHT) - 1e-9)
+        self.word, self.item, self.share, self.need = np.concatenate(word), np.concatenate(item), np.concatenate(share), np.array(need)
+        self.by_item = np.r_[0, np.cumsum([len(x) for x in word])]
+
+    def candidates(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, item and number of the passage around which the item's heavy words have enough weight, for some items at a time."""
+        known = np.flatnonzero(ids >= 0)
+        load = np.bincount(ids[known], minlength=len(self.b.vocabulary))[self.word]
+        load = np.add.reduceat(load, self.by_item[:-1]) * ((2 * self.size + WIDTH) // (STRIDE * self.step) + 1)
+        first = 0
+        while first < len(self.size):
+            last = max(first + 1, int(np.searchsorted(np.cumsum(load[first:]), POSTINGS, side="right")) + first)
+            yield self._candidates(ids, ends, known, slice(self.by_item[first], self.by_item[last]))
+            first = last
+
+    def _candidates(self, ids: np.ndarray, ends: np.ndarray, known: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(self.word[part], kind="stable") + part.start
+        begin = np.searchsorted(self.word[order], np.arange(len(self.b.vocabulary) + 1))
+        many = np.diff(begin)
+        at = known[many[ids[known]] > 0]
+        _, at, k = _spread(at, begin[ids[at]], many[ids[at]])
+        k = order[k]
+        text = np.searchsorted(ends, at, side="right") - 1
+        by = np.lexsort((at, k, text))  # k stands for item and word
+        at, k, text = at[by], k[by], text[by]
+        again = np.r_[False, (k[1:] == k[:-1]) & (text[1:] == text[:-1])]
+        before = np.where(again, np.r_[0, at[:-1]] - ends[text], -1)
+        item, place = self.item[k], at - ends[text]
+        # Within the whole text first, then around each passage; a repeated word counts once.
+        _, group = np.unique(text * len(self.size) + item, return_inverse=True)
+        use = np.bincount(group, self.share[k] * ~again)[group] >= self.need[item]
+        text, item, k, place, before, again = text[use], item[use], k[use], place[use], before[use], again[use]
+        n, step = self.size[item], STRIDE * self.step[item]
+        passages = 1 + np.maximum(0, -(-(np.diff(ends)[text] - WIDTH) // STRIDE))
+        low = np.maximum(np.maximum(0, (place - n - WIDTH) // step + 1), np.where(again, (before + n) // step + 1, 0))
+        high = np.minimum((passages - 1) // self.step[item], (place + n) // step)
+        row, _, near = _spread(np.arange(len(text)), low, np.maximum(0, high - low + 1))
+        key = np.stack([text[row], item[row], near * self.step[item[row]]])
+        by = np.lexsort(key[::-1])
+        key = key[:, by]
+        if not key.shape[1]:
+            return key[0], key[1], key[2]
+        start = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+        enough = np.add.reduceat(self.share[k[row[by]]], start) >= self.need[key[1, start]]
+        return tuple(key[:, start[enough]])
 
     def found(self, packed: pa.Array) -> Iterator[tuple[int, int, float, float, float, int]]:
         """Text, item, cosine, LCS share, answer share and first word of the passage, the best of each text and item."""
         b = self.b
         for first, ids, ends in chunks(packed):
-            seen: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-            for text, start, end, norm in _passing(b, ids, ends):
-                cosine = _rows(b, ids, start, end, b.basis) @ b.passages.T / norm[:, None]
-                for i, p in zip(*np.nonzero(cosine >= COSINE)):
-                    seen.setdefault((int(text[i]), int(b.item_of[p])), []).append((float(cosine[i, p]), int(start[i]), int(end[i])))
-            for (text, item), places in sorted(seen.items()):
-                best = None
-                n = len(b.items[item])
-                done: set[tuple[int, int]] = set()
-                for cosine, start, end in places:
-                    lo, hi = max(int(ends[text]), start - n), min(int(ends[text + 1]), end + n)
-                    if (lo, hi) in done:
-                        continue
-                    done.add((lo, hi))
-                    if (got := self.verify(item, ids[lo:hi].tolist())) and (best is None or got[0] > best[3]):
-                        best = (first + text, item, cosine, *got, start - int(ends[text]))
-                if best:
-                    yield best
+            seen: list[tuple[int, int, int, float, float]] = []
+            for texts, items, passages in self.candidates(ids, ends):
+                done: tuple[int, ...] = ()
+                got = None
+                for text, item, passage in zip(texts.tolist(), items.tolist(), passages.tolist()):
+                    n, start = int(self.size[item]), int(ends[text]) + STRIDE * passage
+                    lo, hi = max(int(ends[text]), start - n), min(int(ends[text + 1]), start + WIDTH + n)
+                    if (text, item, lo, hi) != done:
+                        done = (text, item, lo, hi)
+                        got = self.verify(item, ids[lo:hi].tolist())
+                    if got:
+                        seen.append((text, item, start, *got))
+            best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+            for at in range(0, len(seen), PIECE):
+                part = seen[at : at + PIECE]
+                for (text, item, start, share, answer), cosine in zip(part, self.cosines(ids, ends, part)):
+                    if (text, item) not in best or (share, cosine) > (best[text, item][1], best[text, item][0]):
+                        best[text, item] = (cosine, share, answer, start - int(ends[text]))
+            for (text, item), of in sorted(best.items()):
+                yield (first + text, item, *of)
+
+    def cosines(self, ids: np.ndarray, ends: np.ndarray, part: list[tuple[int, int, int, float, float]]) -> list[float]:
+        """Of passages with the nearest passage of the item found there, in the latent space."""
+        b = self.b
+        text, item, start = (np.array([x[i] for x in part]) for i in range(3))
+        end = np.minimum(start + WIDTH, ends[text + 1])
+        z = _rows(b, ids, start, end, b.basis) / np.sqrt(_norms(b, ids, start, end)[1])[:, None]
+        own = np.searchsorted(b.item_of, item), np.searchsorted(b.item_of, item, side="right")
+        return [float((b.passages[x:y] @ v).max()) for v, x, y in zip(z, *own)]
 
     def verify(self, item: int, words: list[int]) -> tuple[float, float] | None:
         n = len(self.b.items[item])
