@@ -125,6 +125,21 @@ def test_band_values(spark):
     assert [tuple(r) for r in wmh.bands(df, 2, 1).collect()] == [("d", 0, "0100000000000000"), ("d", 1, "02000000ffffffff")]
 
 
+def test_queries_build_whole_signatures_of_both_modes(spark):
+    from twinsift.config import FILE, FUNC
+    from twinsift.plans import queries
+
+    small = "/root/testdata/sf0.001"
+    bags = queries._bags(spark, small, FUNC).where("crc32(encode(doc, 'UTF-8')) % 7 = 0").localCheckpoint()
+    signed = {r["doc"]: list(zip(r["ks"], r["ts"])) for r in wmh.signatures(bags, FUNC.samples).collect()}
+    found = {(r["doc"], r["hashtable"]): r["value"] for r in queries.hashtables_func(spark, small).join(bags.select("doc").distinct(), "doc").collect()}
+    assert len(signed) > 20 and set(found) == {(d, i) for d in signed for i in range(FUNC.tables)}
+    for d, pairs in signed.items():
+        for i in range(FUNC.tables):
+            assert found[d, i] == "".join((x % 2**32).to_bytes(4, "little").hex() for pair in pairs[i * FUNC.band : (i + 1) * FUNC.band] for x in pair)
+    assert sorted(r["hashtable"] for r in queries.list_hashtables(spark, small).collect()) == list(range(FILE.tables))
+
+
 def test_band_parameters():
     assert lsh.band_parameters(0.8, 128) == (9, 13)
     assert lsh.band_parameters(0.6456707644812872, 160) == (20, 8)

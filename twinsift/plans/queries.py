@@ -7,7 +7,6 @@ weighted sets that need no text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +22,6 @@ from twinsift.plans import engine
 from twinsift.sources import files as sources
 from twinsift.sources import pages as page_source
 
-#: Few samples for queries whose subject is not the signature itself; both sides of a comparison use the same.
-LIGHT = replace(FILE, samples=32, tables=8, band=4)
-LINES = replace(FUNC, samples=32, tables=8, band=4)
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -83,7 +78,7 @@ def _bands(spark: SparkSession, d: str, mode: Mode) -> DataFrame:
 
 
 def _order_bands(spark: SparkSession, d: str) -> DataFrame:
-    return engine.bands_of(_order_bags(spark, d), LIGHT)
+    return engine.bands_of(_order_bags(spark, d), FILE)
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +155,7 @@ def _all_sql(mode: Mode) -> str:
     return f"{_features_sql(mode)}, {BAGS_SQL}, {_bands_sql(mode)}"
 
 
-ORDERS_SQL = f"{ORDER_FEATURES_SQL}, {BAGS_SQL}, {_bands_sql(LIGHT)}"
+ORDERS_SQL = f"{ORDER_FEATURES_SQL}, {BAGS_SQL}, {_bands_sql(FILE)}"
 MEMBERS_SQL = """shared AS (SELECT hashtable, value, count(*) AS weight, min(doc) AS u FROM bands GROUP BY hashtable, value HAVING count(*) > 1),
 members AS (SELECT hashtable, value, doc, weight, u FROM bands JOIN shared USING (hashtable, value))"""
 COMPONENTS_SQL = """edges AS (SELECT DISTINCT u, doc AS v FROM members WHERE u <> doc),
@@ -374,9 +369,9 @@ def hashtables_file(spark, d):
     return _bands(spark, d, FILE)
 
 
-@query(f"WITH {_all_sql(LINES)} SELECT doc, hashtable, value FROM bands")
+@query(f"WITH {_all_sql(FUNC)} SELECT doc, hashtable, value FROM bands")
 def hashtables_func(spark, d):
-    return _bands(spark, d, LINES)
+    return _bands(spark, d, FUNC)
 
 
 @query(f"WITH {ORDERS_SQL} SELECT DISTINCT hashtable FROM bands ORDER BY 1")
@@ -418,9 +413,9 @@ def quadratic_edges(spark, d):
     return lsh.quadratic_edges(_members(spark, d))
 
 
-@query(f"WITH {_all_sql(LIGHT)}, {MEMBERS_SQL} SELECT l.doc AS a, r.doc AS b, count(*) AS bands FROM members l JOIN members r ON l.hashtable = r.hashtable AND l.value = r.value AND l.doc < r.doc GROUP BY 1, 2")
+@query(f"WITH {_all_sql(FILE)}, {MEMBERS_SQL} SELECT l.doc AS a, r.doc AS b, count(*) AS bands FROM members l JOIN members r ON l.hashtable = r.hashtable AND l.value = r.value AND l.doc < r.doc GROUP BY 1, 2")
 def similar_pairs(spark, d):
-    return lsh.quadratic_edges(cut(lsh.buckets(_bands(spark, d, LIGHT))))
+    return lsh.quadratic_edges(cut(lsh.buckets(_bands(spark, d, FILE))))
 
 
 @query(f"WITH RECURSIVE {ORDERS_SQL}, {MEMBERS_SQL}, {COMPONENTS_SQL} SELECT node, component FROM components")
@@ -486,9 +481,9 @@ ASKED_SQL = "asked AS (SELECT doc, blob_id FROM items WHERE blob_id IN (SELECT b
 CANDIDATES_SQL = f"{ASKED_SQL}, cands AS (SELECT DISTINCT q.doc AS query_doc, b.doc FROM bands q JOIN asked USING (doc) JOIN bands b ON q.hashtable = b.hashtable AND q.value = b.value)"
 
 
-@query(f"WITH {_all_sql(LIGHT)}, {CANDIDATES_SQL} SELECT * FROM cands")
+@query(f"WITH {_all_sql(FILE)}, {CANDIDATES_SQL} SELECT * FROM cands")
 def query_similar_candidates(spark, d):
-    return _lookup(spark, d, LIGHT)[2]
+    return _lookup(spark, d, FILE)[2]
 
 
 @query(f"""WITH {_all_sql(FILE)}, {CANDIDATES_SQL} SELECT query_doc, repo, "commit", m.path, sha1, fn_name, fn_line FROM cands JOIN items i ON cands.doc = i.doc JOIN meta m ON i.blob_id = m.sha1 WHERE query_doc <> cands.doc""")
@@ -497,10 +492,10 @@ def query_similar(spark, d):
     return report.similar(found, items, _meta(spark, d), asked, drop_equal=True)
 
 
-@query(f"""WITH {_all_sql(LINES)}, {CANDIDATES_SQL} SELECT query_doc, repo, "commit", m.path, sha1, fn_name, fn_line FROM cands JOIN items i ON cands.doc = i.doc JOIN meta m ON i.blob_id = m.sha1
+@query(f"""WITH {_all_sql(FUNC)}, {CANDIDATES_SQL} SELECT query_doc, repo, "commit", m.path, sha1, fn_name, fn_line FROM cands JOIN items i ON cands.doc = i.doc JOIN meta m ON i.blob_id = m.sha1
     WHERE query_doc IN (SELECT doc FROM items WHERE fn_line = 1)""")
 def query_func_filtered(spark, d):
-    items, asked, found = _lookup(spark, d, LINES)
+    items, asked, found = _lookup(spark, d, FUNC)
     first = asked.where("fn_line = 1").select(F.col("doc").alias("query_doc"))
     return report.similar(found.join(first, "query_doc", "left_semi"), items, _meta(spark, d), asked, drop_equal=False)
 
@@ -535,14 +530,14 @@ def report_json(spark, d):
 
 @query()
 def similar_files_report(spark, d):
-    items = cut(_items(spark, d, LIGHT).drop("text"))
-    return report.group_report(_communities(cut(lsh.buckets(_bands(spark, d, LIGHT)))), items, _meta(spark, d), per_content=False)
+    items = cut(_items(spark, d, FILE).drop("text"))
+    return report.group_report(_communities(cut(lsh.buckets(_bands(spark, d, FILE)))), items, _meta(spark, d), per_content=False)
 
 
 @query()
 def similar_funcs_report(spark, d):
-    items = cut(_items(spark, d, LINES).drop("text"))
-    return report.group_report(_communities(cut(lsh.buckets(_bands(spark, d, LINES)))), items, _meta(spark, d), per_content=True)
+    items = cut(_items(spark, d, FUNC).drop("text"))
+    return report.group_report(_communities(cut(lsh.buckets(_bands(spark, d, FUNC)))), items, _meta(spark, d), per_content=True)
 
 
 @query()
