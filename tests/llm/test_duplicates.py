@@ -56,6 +56,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_different_texts_under_one_id_are_all_kept(spark):
+    first, second = "one two three four five six", "quite another text with other words in it"
+    rows = [(1, first, "a"), (1, second, "b"), (1, second, "c"), (2, first, "d"), (None, first, "e")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", first), ("1", second), ("None", first)])
+
+
 def test_kernel_and_columns_agree_on_xxhash(spark):
     assert xxhash.xxh64("a b c".encode(), seed=42).intdigest() == spark.sql("select xxhash64('a b c') h").first()["h"] % 2**64
 

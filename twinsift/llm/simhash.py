@@ -59,13 +59,19 @@ def fingerprint_of(text: bytes | None, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) for every row."""
+    return _with_keys(docs, size).drop("key")
+
+
+def _with_keys(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, fp, key`` for every row; ``key`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint_of(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], ["doc_id", "fp", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("key"))
+    return rows.mapInArrow(run, "doc_id long, fp long, key long")
 
 
 def build_trees(fps: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,20 +263,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     repeated rows and exact copies share a fingerprint and are never paired; null ids are kept and never name a
     component unless it has no other; an empty table gives an empty result; further columns are ignored.
     """
-    found = cut(fingerprints(docs, size))
+    return _components(docs, radius, size).drop("key")
+
+
+def _components(docs: DataFrame, radius: int, size: int) -> DataFrame:
+    found = cut(_with_keys(docs, size))
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("low")))
     component = connected_components(links(distinct.select("fp"), radius))
     named = distinct.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     named = cut(named)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return found.join(named.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return found.join(named.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "key", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id, columns as they were.
 
-    Of rows that repeat a kept doc_id one stays.  Rows without a doc_id cannot be told apart and all stay.
+    Of rows that repeat a kept doc_id one of each fingerprint stays.  Rows without a doc_id cannot be told apart and all stay.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), radius, size).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null")
+    kept = _components(known, radius, size).where("doc_id = component_id").groupBy("doc_id", "fp").agg(F.min("key").alias("_key"))
+    named = known.withColumn("_key", F.xxhash64("text")).join(kept.select("doc_id", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
