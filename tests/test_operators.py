@@ -170,6 +170,13 @@ def test_walktrap_splits_two_cliques():
     assert len(set(found[:5])) == len(set(found[5:])) == 1 and found[0] != found[5]
 
 
+def test_labels_travel_until_they_settle(spark):
+    names = [r["id"] for r in spark.sql("select cast(id as string) id from range(13) order by hash(cast(id as string))").collect()]
+    edges = [(d, f"b{i}", i + 1) for i in range(len(names) - 1) for d in names[i : i + 2]]
+    found = communities._propagate(spark.createDataFrame(edges, "doc string, bucket string, weight long")).collect()
+    assert {r["element"] for r in found} == set(names) and {r["community"] for r in found} == {min(names)}
+
+
 def test_large_components_are_split_over_the_cluster(spark, monkeypatch):
     monkeypatch.setattr(communities, "MOST", 1)
     members = lsh.buckets(bands(spark))

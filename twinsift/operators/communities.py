@@ -4,7 +4,7 @@ Components of one or two elements are communities as they are.  Others are split
 random walks of four steps give distances between vertices, neighbouring communities are merged by the smallest
 growth in squared distance, and the merge of the largest modularity is kept.  A component is one group of one task
 as long as it has at most ``MOST`` vertices; larger ones are split by rounds of weighted label propagation over
-the whole cluster, which need no component in one place.
+the whole cluster until no label changes, which need no component in one place.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from twinsift.lineage import cut
 
 STEPS = 4
 MOST = 3000
-ROUNDS = 8
 
 
 def walktrap(n: int, edges: list[tuple[int, int, float]], steps: int = STEPS) -> list[int]:
@@ -111,11 +110,19 @@ def communities(linear: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _propagate(edges: DataFrame) -> DataFrame:
-    """Label propagation over documents and buckets in turn; ties go to the smallest label."""
+    """Label propagation over documents and buckets in turn until no document's label changes; ties go to the greatest hash.
+
+    Each turn raises the weight of edges inside one label or, at equal weight, a label's hash, so the rounds end.
+    """
     labels = edges.select("doc", F.col("doc").alias("label")).distinct()
-    heaviest = lambda rows, key: rows.groupBy(key, "label").agg(F.sum("weight").alias("w")).groupBy(key).agg(F.max_by("label", F.struct(F.col("w"), F.hash("label"))).alias("label"))
-    for _ in range(ROUNDS):
+    best = F.max_by("label", F.struct(F.col("w"), F.hash("label"), F.col("label"))).alias("label")
+    heaviest = lambda rows, key: rows.groupBy(key, "label").agg(F.sum("weight").alias("w")).groupBy(key).agg(best)
+    while True:
         of_bucket = heaviest(edges.join(labels, "doc"), "bucket")
-        labels = cut(heaviest(edges.join(of_bucket, "bucket"), "doc"))
+        new = cut(heaviest(edges.join(of_bucket, "bucket"), "doc"))
+        settled = new.join(labels.withColumnRenamed("label", "old"), "doc").where("label <> old").isEmpty()
+        labels = new
+        if settled:
+            break
     first = labels.groupBy("label").agg(F.min("doc").alias("community"))
     return labels.join(first, "label").select("community", F.col("doc").alias("element"))
