@@ -134,6 +134,13 @@ def test_randomised_svd_finds_the_leading_space():
     assert np.linalg.norm(v @ v.T - exact @ exact.T) < 0.02
 
 
+def test_all_of_a_text_without_spaces_bears_on_its_terms():
+    start = "ab" * 32
+    calm, wild = quality.term_counts((start + "cd" * 500).encode(), {}), quality.term_counts((start + "Z9+/" * 250).encode(), {})
+    assert calm != wild and sum(wild.values()) > 100
+    assert quality.term_counts("字".encode() * 64, {}) == {"a": 1} and quality.term_counts("字".encode() * 640, {}) == {"a": 10}
+
+
 def leak_corpus():
     rng = random.Random(12)
     vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(3000)]

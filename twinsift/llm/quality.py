@@ -30,6 +30,7 @@ SHARPNESS = 8
 BLOCK = 512  # texts whose products with all voters are held at a time
 CUT = 0.3
 REPEAT, OTHER = "=", "?"
+LONGEST = 64  # characters; longer words are taken piece by piece
 MEMO = 300_000
 _RUNS = re.compile(r"(.)\1+")
 _WORDY = str.maketrans({c: "9" for c in "0123456789"})
@@ -37,15 +38,28 @@ _WORDY = str.maketrans({c: "9" for c in "0123456789"})
 
 def shape(word: bytes) -> str:
     """``Word,`` -> ``Aa,``; ``SHOUT!!`` -> ``A!``; ``a1b2`` -> ``a9a9``; at most eight letters of it."""
-    w = word.decode("utf-8", "replace")[:64].translate(_WORDY)
-    w = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in w)
-    return _RUNS.sub(r"\1", w)[:8]
+    return _outline(word.decode("utf-8", "replace")[:LONGEST])[:8]
+
+
+def _outline(w: str) -> str:
+    w = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in w.translate(_WORDY))
+    return _RUNS.sub(r"\1", w)
+
+
+def long_shapes(word: str) -> Counter:
+    """Of a word of over ``LONGEST`` characters (a text without spaces): the shapes of all its pieces, eight letters a term."""
+    pieces = (_outline(word[i : i + LONGEST]) for i in range(0, len(word), LONGEST))
+    return Counter(w[i : i + 8] for w in pieces for i in range(0, len(w), 8))
 
 
 def term_counts(text: bytes | None, memo: dict[bytes, str]) -> Counter:
     words = text.split() if text else []
     found: Counter = Counter()
     for w, n in Counter(words).items():
+        if len(w) > LONGEST and len(whole := w.decode("utf-8", "replace")) > LONGEST:
+            for s, many in long_shapes(whole).items():
+                found[s] += n * many
+            continue
         s = memo.get(w)
         if s is None:
             if len(memo) >= MEMO:
