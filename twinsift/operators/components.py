@@ -47,6 +47,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if k:  # targets of the round before that have no edges left are complete components
             done = _lows(hooks[k - 1]).withColumnRenamed("component", "settled")
             label = done.join(label, "u", "left").select("u", F.coalesce("component", "settled").alias("component"))
+        label = cut(label)  # one small plan a round: a chain of all rounds is a plan that the driver can hardly hold
     return label.select(F.col("u").alias("node"), "component")
 
 
