@@ -125,14 +125,17 @@ def brute_vectors(rows, cosine=0.98):
     return links, closure(n, pairs)
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_vectors_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, per_centroid", [(2048, 4), (16, 4), (2048, 60)])
+def test_vectors_against_brute_force(spark, monkeypatch, block, per_centroid):
+    """Whole lists, lists in blocks, and lists that a second level splits."""
     monkeypatch.setattr(vectors, "BLOCK", block)
-    monkeypatch.setattr(vectors, "LIST_ROWS", 30)
+    monkeypatch.setattr(vectors, "LIST_ROWS", 30 if per_centroid == 4 else 10)
+    monkeypatch.setattr(vectors, "SAMPLE_PER_CENTROID", per_centroid)
     x, labels = vector_rows()
     rows = [(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, labels))]
     odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] * 16, [None] + [1.0] * 15, [], [1.0, 2.0], [1.0, 2.0]]
     rows += [(1000 + i, v, 0) for i, v in enumerate(odd)] + [(2000, x[0].tolist(), None), (2001, x[0].tolist(), None)]
+    rows += [(3000 + i, [1.0, 2.0, 0.01 * i], 0) for i in range(3)]  # other dimensions, filled up inside, are compared with their like alone
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, rep int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicate_vectors(df).collect()}
     links, roots = brute_vectors(rows)
@@ -142,6 +145,30 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_repeated_and_null_ids(spark):
+    rows = [(2**60 + 1, [1.0, 0.0], 1), (2**60 + 2, [1.0, 0.001], 1), (2**60 + 1, [0.0, 1.0], 1), (None, [1.0, 0.0], 1), (None, [-1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in vectors.near_duplicate_vectors(df).collect()), key=repr)
+    low = 2**60 + 1
+    assert got == sorted([(low, 2, low, True), (low + 1, 2, low, False), (low, 0, low, True), (None, 2, low, False), (None, 0, None, True)], key=repr)
+
+
+def test_a_dense_block_takes_bounded_memory():
+    """2,048 different vectors that all link with each other: counts are whole, and the pairs are never held together."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(64) + 0.01 * rng.standard_normal((vectors.BLOCK, 64))
+    index = vectors.fit_index(vectors._unit(x), 200)
+    side = vectors.Side(np.arange(len(x)), x, np.ones(len(x)), np.zeros(len(x), dtype=np.int64))
+    tracemalloc.start()
+    gained_q, gained_x, forest = vectors.block_links(index, 0.98, 0, side, np.zeros(0, dtype=np.int64), side)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (gained_q == len(x) - 1).all() and not gained_x.any() and forest.shape == (2, len(x) - 1)
+    assert most < 300e6, most
+
+
 def test_lookup_distance_is_the_codes_distance():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 20))
