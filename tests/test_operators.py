@@ -43,13 +43,20 @@ def test_components_of_strings(spark):
 
 def test_slots_are_gapless(spark):
     rows = [(i % 3, i // 2) for i in range(200)]
-    got = numbering.gapless_slots(spark.createDataFrame(rows, "g int, k long"), "g", "k", "slot", rows_per_bucket=16).collect()
+    got = numbering.gapless_slots(spark.createDataFrame(rows, "g int, k long"), "g", ["k"], "slot", rows_per_bucket=16).collect()
     for g in range(3):
         slots = sorted(r["slot"] for r in got if r["g"] == g)
         assert slots == list(range(len(slots)))
     assert len(got) == 200
 
 
+def test_order_numbers_have_null_last(spark):
+    values = spark.createDataFrame([(v,) for v in ("b", None, "", "é", "a", "Z")], "v string")
+    for per_range in (2, 100):
+        got = numbering.order_numbers(values, "v", "n", per_range).collect()
+        assert [r["v"] for r in sorted(got, key=lambda r: r["n"])] == ["", "Z", "a", "b", "é", None] and {r["n"] for r in got} == set(range(6))
+
+
 def test_features(spark):
     items = spark.createDataFrame([("d", 'getHTTP fooBar foo_bar 12 "x y" 12'), ("e", "")], "doc string, text string")
     ids = {(r["feature"], r["weight"]) for r in features.identifiers(items, 10).collect()}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.lineage import cut
+from twinsift.operators.numbering import order_numbers
 
 
 def count_docs(items: DataFrame) -> DataFrame:
@@ -40,12 +40,7 @@ def bags(features: DataFrame, freq: DataFrame, docs: DataFrame, idf: str = "inte
 
 def vocabulary(freq: DataFrame, per_range: int = 200_000) -> DataFrame:
     """``feature, feature_idx``: place in byte order from 0, numbered range by range."""
-    n = max(1, -(-freq.count() // per_range))
-    ranges = cut(freq.select("feature").repartitionByRange(n, "feature").withColumn("_r", F.spark_partition_id()))
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    first = ranges.groupBy("_r").agg(F.count("*").alias("n")).select("_r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("_r").orderBy("feature"))
-    return ranges.withColumn("_in", inside).join(F.broadcast(first), "_r").select("feature", (F.col("first") + F.col("_in") - 1).alias("feature_idx"))
+    return order_numbers(freq, "feature", "feature_idx", per_range)
 
 
 def write_json(docs: DataFrame, freq: DataFrame, path: str) -> None:
