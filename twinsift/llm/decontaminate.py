@@ -3,44 +3,51 @@
 Texts are cut into overlapping passages and weighted by TF-IDF over the benchmark's vocabulary, with document
 frequencies counted over the whole corpus.  A distributed randomised SVD of the passages gives the corpus's
 latent directions: tasks multiply their passages with a random test matrix and back, and only that sketch
-(terms x rank) is added up.  The benchmark's own passages complete the basis, so no item is lost to the cut in rank.
+(columns x rank) is added up.  Passages and items are folded into that space, each direction damped by a power of its singular value.
 
-Candidates are the passages around which enough of an item's own weight is present, found by the item's heaviest
-words; no other word of the text and no size of the corpus hides one.  Around each the longest common subsequence
+Candidates are the passages whose cosine with an item's passage in the latent space reaches the item's level and that
+hold enough of the item's length there.  The level is ``COSINE``, or less for an item so made of everyday words that
+the words around a copy of it would outweigh it.  Around each candidate the longest common subsequence
 with the whole item, the share of its weight that is present and the item's end (its answer) decide, which catches
-copies with changed, missing or inserted words.  The cosine of a found passage in the latent space is given with it.
+copies with changed, missing or inserted words, and, where the cosine is high, paraphrases by other words of like meaning.
 
-The benchmark is a table of a checked size; larger ones are taken in blocks of items.
+All items share one vocabulary, one encoded table of texts and one latent space; they are compared in blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.lineage import cut, written
+from twinsift.llm.texts import packed
 
 WIDTH, STRIDE = 32, 16  # words of a passage
 POWER_STEPS = 2
-RANK = 48  # latent directions taken from the corpus
-PASSING = 0.2  # share of a passage's norm that lies in benchmark words, below which it does not shape the directions
+RANK = 128  # latent directions taken from the corpus
+COLUMNS = 1 << 15  # of the weighted matrix: words beyond share columns, which bounds the driver's work; checks are on words
+DAMPING = 0.75  # power of its singular value by which a direction is divided: 1 makes all alike, 0 leaves the commonest to rule
+COSINE = 0.5  # in the latent space, from which a passage is a candidate
+SLACK, OVERLAP = 0.4, 0.75  # of the cosine expected of a copy in the corpus's mean surroundings; share of a copy in its best passage
+INSIDE = 0.5  # share of an item's length in the latent space that a candidate has in its direction
 LCS, LCS_ALONE, WEIGHT, ANSWER = 0.6, 0.8, 0.5, 0.5
-HEAVY = 0.75  # share of an item's weight in the words by which candidates are found
-LONG = 256  # items of this many words skip passages
-POSTINGS = 4_000_000  # occurrences of heavy words, times the passages around them, held at a time
+PARAPHRASE, LCS_PARAPHRASE = 0.7, 0.4  # from that cosine on, so short a common subsequence will do if the answer is there
 SHORT = 8  # items of fewer words must occur whole
-ITEMS_AT_ONCE = 500
+ITEMS_AT_ONCE = 5000
 MOST_ITEMS = 200_000
+PRODUCTS = 2_000_000  # cosines that are held at a time
 CHUNK_WORDS = 500_000
 TEXTS_AT_ONCE = 500  # texts whose words are split at a time
-CELLS = 8_000_000  # texts times words that are marked at a time
+PART = 256  # columns of the sketch that travel together
+SALTS = 64  # reducers that share a part of the sketch at first
 BROADCAST_KEYS = 1_000_000  # hashes of texts to drop; more are joined by shuffle
 OTHER = -1
 OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…¡¿–—"  # stripped from both ends of a word
@@ -65,10 +72,18 @@ class Benchmark:
     vocabulary: dict[str, int]
     weight: np.ndarray | None = None  # idf by word, at least 1: a leak may lie in any share of the documents
     other: float = 1.0  # weight of words outside the vocabulary
-    basis: np.ndarray | None = None
+    basis: np.ndarray | None = None  # columns x rank, directions damped
     passages: np.ndarray | None = None  # unit vectors of the items' passages in the basis
+    length: np.ndarray | None = None  # their lengths before
+    level: np.ndarray | None = None  # cosine from which a passage is a candidate, by item passage; ``COSINE`` if not given
     item_of: np.ndarray | None = None
 
+    def block(self, first: int, last: int) -> Benchmark:
+        """The items from ``first`` to ``last`` over the same vocabulary and space."""
+        a, b = np.searchsorted(self.item_of, [first, last])
+        part = lambda x: None if x is None else x[a:b]
+        return replace(self, ids=self.ids[first:last], items=self.items[first:last], passages=part(self.passages), length=part(self.length), level=part(self.level), item_of=self.item_of[a:b] - first)
+
 
 def encode(docs: DataFrame, b: Benchmark) -> tuple[DataFrame, str]:
     """``doc_id, key, words`` of every row, and where that table lies: word ids as packed bytes, worked out once.
@@ -89,7 +104,7 @@ def encode(docs: DataFrame, b: Benchmark) -> tuple[DataFrame, str]:
                 packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids[real].tobytes())])
                 yield pa.record_batch([part.column(0), part.column(1), packed], ["doc_id", "key", "words"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.make_valid_utf8(F.col("text").cast("string")))
     return written(rows.mapInArrow(run, "doc_id long, key long, words binary"))
 
 
@@ -104,34 +119,31 @@ def chunks(packed: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and end of every passage."""
     n = np.diff(ends)
-    many = np.where(n > 0, 1 + np.maximum(0, -(-(n - WIDTH) // STRIDE)), 0)
+    many = np.where(n > 0, 1 + np.maximum(0, -(-(n - WIDTH) // stride)), 0)
     text = np.repeat(np.arange(len(n)), many)
-    start = ends[:-1][text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+    start = ends[:-1][text] + stride * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
     return text, start, np.minimum(start + WIDTH, ends[1:][text])
 
 
-def _norms(b: Benchmark, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared weight of benchmark words and of all words in each passage."""
-    by_id = np.r_[b.weight**2, b.other**2]  # the last also serves id -1
-    own = np.where(ids >= 0, by_id[ids], 0.0)
-    sums = lambda x: (c := np.r_[0.0, np.cumsum(x)])[end] - c[start]
-    return sums(own), sums(by_id[ids])
+def _terms(b: Benchmark, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, column and weight of every word of the passages that the latent space knows."""
+    length = end - start
+    row = np.repeat(np.arange(len(start)), length)
+    word = ids[np.repeat(start, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)]
+    row, word = row[word >= 0], word[word >= 0]
+    return row, word % COLUMNS, b.weight[word].astype(np.float32)
 
 
 def _rows(b: Benchmark, ids: np.ndarray, start: np.ndarray, end: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """TF-IDF rows of the passages times ``basis``."""
-    length = end - start
-    row = np.repeat(np.arange(len(start)), length)
-    word = ids[np.repeat(start, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)]
-    use = (word >= 0) & (b.weight[np.maximum(word, 0)] > 0)
-    row, word = row[use], word[use]
+    row, column, weight = _terms(b, ids, start, end)
     out = np.zeros((len(start), basis.shape[1]), dtype=np.float32)
     if len(row):
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[first]] = np.add.reduceat(basis[word] * b.weight[word, None].astype(np.float32), first, axis=0)
+        out[row[first]] = np.add.reduceat(basis[column] * weight[:, None], first, axis=0)
     return out
 
 
@@ -139,95 +151,118 @@ PIECE = 2048  # passages whose rows are held at a time
 
 
 def _passing(b: Benchmark, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    text, start, end = windows(ends)
-    own, whole = _norms(b, ids, start, end)
-    keep = np.flatnonzero((own > 0) & (own >= PASSING**2 * whole))
+    """The passages that shape the space, side by side: text, first word, end and a bound on the row's length."""
+    text, start, end = windows(ends, WIDTH)
+    sums = np.r_[0.0, np.cumsum(np.where(ids >= 0, b.weight[np.maximum(ids, 0)] ** 2, 0.0))]
+    own = sums[end] - sums[start]
+    keep = np.flatnonzero(own > 0)
     for i in range(0, len(keep), PIECE):
         k = keep[i : i + PIECE]
-        yield text[k], start[k], end[k], np.sqrt(whole[k])
+        yield text[k], start[k], end[k], np.sqrt(own[k])
 
 
 def document_frequencies(encoded: DataFrame, b: Benchmark) -> tuple[np.ndarray, int]:
     """In how many documents each word of the vocabulary occurs, and how many documents there are."""
     size = len(b.vocabulary)
-    step = max(1, CELLS // size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             for _, ids, ends in chunks(batch.column(0)):
                 texts = len(ends) - 1
-                for at in range(0, texts, step):
-                    own = ends[at : at + step + 1]
-                    seen = np.zeros((len(own) - 1, size), dtype=bool)
-                    words = ids[own[0] : own[-1]]
-                    text = np.repeat(np.arange(len(own) - 1), np.diff(own))
-                    seen[text[words >= 0], words[words >= 0]] = True
-                    sums += seen.sum(axis=0)
+                text = np.repeat(np.arange(texts), np.diff(ends))
+                keys = np.sort(ids[ids >= 0].astype(np.int64) * texts + text[ids >= 0])
+                sums += np.bincount(keys[np.r_[True, keys[1:] != keys[:-1]]] // texts if len(keys) else keys, minlength=size)
             n += batch.num_rows
         at = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(np.r_[at, -1]), pa.array(np.r_[sums[at], n])], ["word", "n"])
 
-    got = encoded.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    got = encoded.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, n = got["word"].to_numpy(), got["n"].to_numpy()
     df = np.zeros(size, dtype=np.int64)
-    for r in got:
-        if r["word"] >= 0:
-            df[r["word"]] = r["n"]
-    return df, next((r["n"] for r in got if r["word"] < 0), 0)
+    df[word[word >= 0]] = n[word >= 0]
+    return df, int(n[word < 0].sum())
+
+
+def _summed(parts: DataFrame, k: int) -> dict[int, np.ndarray]:
+    """Sums the pieces of a sketch (part, salt, y) in two steps, so that no reducer takes a piece of every task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(y, dtype=np.float32).astype(np.float64)
+        salt = TaskContext.get().partitionId() % SALTS
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([salt] * len(sums), pa.int32()), pa.array([y.astype(np.float32).tobytes() for y in sums.values()], pa.binary())], ["part", "salt", "y"])
+
+    schema = "part int, salt int, y binary"
+    got = parts.repartition("part", "salt").mapInArrow(add, schema).repartition("part").mapInArrow(add, schema).select("part", "y").toArrow()
+    return {p: np.frombuffer(y, dtype=np.float32).reshape(-1, k) for p, y in zip(got["part"].to_pylist(), got["y"].to_pylist())}
 
 
-def normal_product(encoded: DataFrame, b: Benchmark, test: np.ndarray) -> np.ndarray:
-    """A'(A test) for the passages A: tasks multiply their own passages, and only terms x columns are added up."""
+def normal_product(encoded: DataFrame, b: Benchmark, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A'(A test) for the passages A of unit length, and test'R'R test per passage for them at their own length R.
+
+    Tasks multiply their own passages, and only columns x rank are added up.
+    """
     size, k = test.shape
-    shared = encoded.sparkSession.sparkContext.broadcast((b, test.astype(np.float32)))
+    shared = encoded.sparkSession.sparkContext.broadcast((replace(b, items=[], ids=[]), test.astype(np.float32)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, o = shared.value
-        y = np.zeros((size, k), dtype=np.float64)
+        y, around, n = np.zeros((size, k), dtype=np.float64), np.zeros((k, k)), 0
         for batch in batches:
             for _, ids, ends in chunks(batch.column(0)):
                 for _, start, end, norm in _passing(own, ids, ends):
-                    z = _rows(own, ids, start, end, o) / norm[:, None] ** 2  # rows of unit length, twice
-                    length = end - start
-                    row = np.repeat(np.arange(len(start)), length)
-                    word = ids[np.repeat(start, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)]
-                    use = (word >= 0) & (own.weight[np.maximum(word, 0)] > 0)
-                    row, word = row[use], word[use]
-                    order = np.argsort(word, kind="stable")
-                    first = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0]) if len(word) else np.zeros(0, dtype=int)
-                    if len(first):
-                        w = word[order][first]
-                        y[w] += np.add.reduceat(z[row[order]], first, axis=0) * own.weight[w, None]
-        at = np.flatnonzero(np.abs(y).sum(1) > 0)
-        yield pa.record_batch([pa.array(at), pa.array(list(y[at].astype(np.float32)), pa.list_(pa.float32()))], ["word", "y"])
-
-    rows = encoded.select("words").mapInArrow(sketch, "word long, y array<float>")
-    summed = rows.groupBy("word").agg(*[F.sum(F.col("y")[i].cast("double")).alias(f"y{i}") for i in range(k)]).collect()
-    y = np.zeros((size, k))
-    for r in sorted(summed, key=lambda r: r["word"]):
-        y[r["word"]] = r[1:]
-    return y
-
-
-def latent_directions(encoded: DataFrame, b: Benchmark, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (terms x rank) of all passages' TF-IDF rows by a randomised SVD.
+                    z = _rows(own, ids, start, end, o)
+                    around += z.T @ z
+                    n += len(z)
+                    z /= (norm**2)[:, None].astype(np.float32)  # rows of unit length, twice
+                    row, column, weight = _terms(own, ids, start, end)
+                    order = np.argsort(column, kind="stable")
+                    row, column, weight = row[order], column[order], weight[order]
+                    first = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+                    y[column[first]] += np.add.reduceat(z[row] * weight[:, None], first, axis=0)
+        if n:
+            parts = [*(y[i : i + PART] for i in range(0, size, PART)), np.concatenate([around, np.full((1, k), n)])]
+            numbers = [*range(len(parts) - 1), -1]
+            salt = TaskContext.get().partitionId() % SALTS
+            yield pa.record_batch([pa.array(numbers, pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["part", "salt", "y"])
+
+    parts = _summed(encoded.select("words").mapInArrow(sketch, "part int, salt int, y binary"), k)
+    if not parts:
+        return np.zeros((size, k)), np.zeros((k, k))
+    own = parts.pop(-1).astype(np.float64)
+    return np.concatenate([parts[p] for p in sorted(parts)]).astype(np.float64), own[:k] / own[k, 0]
+
+
+def latent_space(encoded: DataFrame, b: Benchmark, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, float]:
+    """Right singular vectors (columns x rank) of all passages' TF-IDF rows by a randomised SVD, their singular values, and
+    the mean square of a passage's length when folded in.
 
     One pass over the passages takes a random matrix into their range, each further pass (a power step) sharpens the
     range, and the last gives the small matrix whose eigenvectors turn it into singular directions.
     """
-    size = len(b.vocabulary)
-    k = min(rank + 8, size)
-    q = np.random.default_rng(11).standard_normal((size, k))
+    size = min(len(b.vocabulary), COLUMNS)
+    q = np.random.default_rng(11).standard_normal((size, min(rank + 8, size)))
     for _ in range(POWER_STEPS):
-        q, _ = np.linalg.qr(normal_product(encoded, b, q))
-    core = q.T @ normal_product(encoded, b, q)
+        q, _ = np.linalg.qr(normal_product(encoded, b, q)[0])
+    product, around = normal_product(encoded, b, q)
+    core = q.T @ product
     vals, vecs = np.linalg.eigh((core + core.T) / 2)
     order = np.argsort(-vals)[:rank]
-    return q @ vecs[:, order[vals[order] > 1e-9 * max(vals.max(), 0)]]
+    order = order[vals[order] > 1e-6 * max(vals.max(), 1e-12)]
+    turned = vecs[:, order]
+    mean = float((np.diag(turned.T @ around @ turned) / vals[order] ** DAMPING).sum())
+    return q @ turned, np.sqrt(vals[order]), mean
+
+
+def latent_directions(encoded: DataFrame, b: Benchmark, rank: int = RANK) -> np.ndarray:
+    return latent_space(encoded, b, rank)[0]
 
 
 def prepare(docs: DataFrame, ids: list[int], texts: list[str | None]) -> tuple[Benchmark, DataFrame] | None:
-    """Weights, basis and item passages for a block of items, and the texts as ids of its vocabulary."""
+    """Weights, latent space and item passages of all items, and the texts as ids of their vocabulary."""
     words = [(i, w) for i, w in zip(ids, item_words(texts)) if w]
     if not words:
         return None
@@ -235,19 +270,19 @@ def prepare(docs: DataFrame, ids: list[int], texts: list[str | None]) -> tuple[B
     b = Benchmark([i for i, _ in words], [np.array([vocabulary[w] for w in ws], dtype=np.int32) for _, ws in words], vocabulary)
     encoded, _ = encode(docs, b)
     df, n = document_frequencies(encoded, b)
-    b.weight = 1 + np.log((1 + n) / (1 + df))
-    b.other = float(b.weight.max())
-    corpus = latent_directions(encoded, b)
+    idf = np.log((1 + n) / (1 + df))
+    b.weight = 1 + idf
+    vectors, values, mean = latent_space(encoded, b, RANK)
+    b.basis = (vectors / values**DAMPING).astype(np.float32)
     flat, ends = np.concatenate(b.items), np.r_[0, np.cumsum([len(x) for x in b.items])]
     b.item_of, start, end = windows(ends)
-    dense = np.zeros((len(start), len(vocabulary)), dtype=np.float32)
-    for k, (x, y) in enumerate(zip(start, end)):
-        np.add.at(dense[k], flat[x:y], b.weight[flat[x:y]])
-    rest = dense - (dense @ corpus) @ corpus.T
-    u, s, vt = np.linalg.svd(rest, full_matrices=False)
-    b.basis = np.concatenate([corpus, vt[s > 1e-6 * max(s.max(), 1e-12)].T], axis=1).astype(np.float32)
-    z = dense @ b.basis
-    b.passages = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    z = _rows(b, flat, start, end, b.basis)
+    b.length = np.maximum(np.linalg.norm(z, axis=1), 1e-12)
+    b.passages = z / b.length[:, None]
+    # A copy at its worst place fills OVERLAP of its best passage, among words of the corpus's mean length.
+    part = OVERLAP * b.length
+    around = mean * (1 - OVERLAP * (end - start) / WIDTH)
+    b.level = np.minimum(COSINE, SLACK * part / np.sqrt(part**2 + around))
     return b, encoded
 
 
@@ -269,19 +304,8 @@ def _places(item: np.ndarray) -> dict[int, int]:
     return out
 
 
-def _spread(of: np.ndarray, begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each position and value of ``of`` as often as ``many``, with the numbers from ``begin`` on."""
-    row = np.repeat(np.arange(len(of)), many)
-    return row, of[row], begin[row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
-
-
 class Judge:
-    """Finds and verifies the candidates of a run of texts.
-
-    A place is a candidate if ``WEIGHT`` of an item's own weight lies in the words around it, whatever the other words
-    and the size of the corpus: all that ``verify`` can accept.  An item's heaviest words are enough to tell: with the
-    rest of its weight granted, they must still bring what is missing to ``WEIGHT``.
-    """
+    """Finds and verifies the candidates of a run of texts for a block of items."""
 
     def __init__(self, b: Benchmark):
         self.b = b
@@ -289,117 +313,67 @@ class Judge:
         self.tails = [x[-max(3, math.ceil(len(x) / 4)) :] for x in b.items]
         self.tail_places = [_places(x) for x in self.tails]
         self.weights = [b.weight[x].sum() for x in b.items]
-        self.size = np.array([len(x) for x in b.items])
-        self.step = np.maximum(1, self.size // LONG)  # of long items not every passage is looked at, but every place
-        word, item, share, need = [], [], [], []
-        for k, x in enumerate(b.items):
-            own, many = np.unique(x, return_counts=True)
-            part = b.weight[own] * many / self.weights[k]
-            order = np.argsort(-part / many, kind="stable")
-            order = order[: int(np.searchsorted(np.cumsum(part[order]), HEAVY)) + 1]
-            word.append(own[order])
-            item.append(np.full(len(order), k))
-            share.append(part[order])
-            need.append(part[order].sum() - (1 - WEIGHT) - 1e-9)
-        self.word, self.item, self.share, self.need = np.concatenate(word), np.concatenate(item), np.concatenate(share), np.array(need)
-        self.by_item = np.r_[0, np.cumsum([len(x) for x in word])]
-
-    def candidates(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Text, item and number of the passage around which the item's heavy words have enough weight, for some items at a time."""
-        known = np.flatnonzero(ids >= 0)
-        load = np.bincount(ids[known], minlength=len(self.b.vocabulary))[self.word]
-        load = np.add.reduceat(load, self.by_item[:-1]) * ((2 * self.size + WIDTH) // (STRIDE * self.step) + 1)
-        first = 0
-        while first < len(self.size):
-            last = max(first + 1, int(np.searchsorted(np.cumsum(load[first:]), POSTINGS, side="right")) + first)
-            yield self._candidates(ids, ends, known, slice(self.by_item[first], self.by_item[last]))
-            first = last
-
-    def _candidates(self, ids: np.ndarray, ends: np.ndarray, known: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(self.word[part], kind="stable") + part.start
-        begin = np.searchsorted(self.word[order], np.arange(len(self.b.vocabulary) + 1))
-        many = np.diff(begin)
-        at = known[many[ids[known]] > 0]
-        _, at, k = _spread(at, begin[ids[at]], many[ids[at]])
-        k = order[k]
-        text = np.searchsorted(ends, at, side="right") - 1
-        by = np.lexsort((at, k, text))  # k stands for item and word
-        at, k, text = at[by], k[by], text[by]
-        again = np.r_[False, (k[1:] == k[:-1]) & (text[1:] == text[:-1])]
-        before = np.where(again, np.r_[0, at[:-1]] - ends[text], -1)
-        item, place = self.item[k], at - ends[text]
-        # Within the whole text first, then around each passage; a repeated word counts once.
-        _, group = np.unique(text * len(self.size) + item, return_inverse=True)
-        use = np.bincount(group, self.share[k] * ~again)[group] >= self.need[item]
-        text, item, k, place, before, again = text[use], item[use], k[use], place[use], before[use], again[use]
-        n, step = self.size[item], STRIDE * self.step[item]
-        passages = 1 + np.maximum(0, -(-(np.diff(ends)[text] - WIDTH) // STRIDE))
-        low = np.maximum(np.maximum(0, (place - n - WIDTH) // step + 1), np.where(again, (before + n) // step + 1, 0))
-        high = np.minimum((passages - 1) // self.step[item], (place + n) // step)
-        row, _, near = _spread(np.arange(len(text)), low, np.maximum(0, high - low + 1))
-        key = np.stack([text[row], item[row], near * self.step[item[row]]])
-        by = np.lexsort(key[::-1])
-        key = key[:, by]
-        if not key.shape[1]:
-            return key[0], key[1], key[2]
-        start = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-        enough = np.add.reduceat(self.share[k[row[by]]], start) >= self.need[key[1, start]]
-        return tuple(key[:, start[enough]])
+        self.level = np.full(len(b.passages), COSINE) if b.level is None else b.level
+        self.step = max(32, min(PIECE, PRODUCTS // max(1, len(b.passages))))
+
+    def candidates(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, item, first word and cosine of the passages near an item in the latent space."""
+        b = self.b
+        text, start, end = windows(ends)
+        for i in range(0, len(text), self.step):
+            z = _rows(b, ids, start[i : i + self.step], end[i : i + self.step], b.basis)
+            length = np.linalg.norm(z, axis=1)
+            cosine = (z / np.maximum(length, 1e-12)[:, None]) @ b.passages.T
+            row, passage = np.nonzero(cosine >= self.level.astype(np.float32))
+            near = cosine[row, passage]
+            if b.length is not None:
+                inside = near * length[row] >= INSIDE * b.length[passage]
+                row, passage, near = row[inside], passage[inside], near[inside]
+            by = np.lexsort((-near, b.item_of[passage], row))
+            row, item, near = row[by], b.item_of[passage[by]], near[by]
+            best = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])] if len(row) else np.zeros(0, dtype=bool)
+            yield text[i + row[best]], item[best], start[i + row[best]], near[best]
 
     def found(self, packed: pa.Array) -> Iterator[tuple[int, int, float, float, float, int]]:
         """Text, item, cosine, LCS share, answer share and first word of the passage, the best of each text and item."""
-        b = self.b
         for first, ids, ends in chunks(packed):
-            seen: list[tuple[int, int, int, float, float]] = []
-            for texts, items, passages in self.candidates(ids, ends):
-                done: tuple[int, ...] = ()
-                got = None
-                for text, item, passage in zip(texts.tolist(), items.tolist(), passages.tolist()):
-                    n, start = int(self.size[item]), int(ends[text]) + STRIDE * passage
-                    lo, hi = max(int(ends[text]), start - n), min(int(ends[text + 1]), start + WIDTH + n)
-                    if (text, item, lo, hi) != done:
-                        done = (text, item, lo, hi)
-                        got = self.verify(item, ids[lo:hi].tolist())
-                    if got:
-                        seen.append((text, item, start, *got))
             best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-            for at in range(0, len(seen), PIECE):
-                part = seen[at : at + PIECE]
-                for (text, item, start, share, answer), cosine in zip(part, self.cosines(ids, ends, part)):
-                    if (text, item) not in best or (share, cosine) > (best[text, item][1], best[text, item][0]):
-                        best[text, item] = (cosine, share, answer, start - int(ends[text]))
+            for texts, items, starts, cosines in self.candidates(ids, ends):
+                for text, item, start, cosine in zip(texts.tolist(), items.tolist(), starts.tolist(), cosines.tolist()):
+                    n = len(self.b.items[item])
+                    lo, hi = max(int(ends[text]), start - n), min(int(ends[text + 1]), start + WIDTH + n)
+                    got = self.verify(item, ids[lo:hi].tolist(), cosine)
+                    if got and ((text, item) not in best or (got[0], cosine) > (best[text, item][1], best[text, item][0])):
+                        best[text, item] = (cosine, *got, start - int(ends[text]))
             for (text, item), of in sorted(best.items()):
                 yield (first + text, item, *of)
 
-    def cosines(self, ids: np.ndarray, ends: np.ndarray, part: list[tuple[int, int, int, float, float]]) -> list[float]:
-        """Of passages with the nearest passage of the item found there, in the latent space."""
-        b = self.b
-        text, item, start = (np.array([x[i] for x in part]) for i in range(3))
-        end = np.minimum(start + WIDTH, ends[text + 1])
-        z = _rows(b, ids, start, end, b.basis) / np.sqrt(_norms(b, ids, start, end)[1])[:, None]
-        own = np.searchsorted(b.item_of, item), np.searchsorted(b.item_of, item, side="right")
-        return [float((b.passages[x:y] @ v).max()) for v, x, y in zip(z, *own)]
-
-    def verify(self, item: int, words: list[int]) -> tuple[float, float] | None:
+    def verify(self, item: int, words: list[int], cosine: float = 0.0) -> tuple[float, float] | None:
+        """LCS share and answer share if the words hold the item."""
         n = len(self.b.items[item])
         share = lcs_length(self.places[item], n, words) / n
         if n < SHORT:
             return (share, 1.0) if share == 1.0 else None
+        paraphrase = cosine >= PARAPHRASE and share >= LCS_PARAPHRASE
+        if share < LCS and not paraphrase:
+            return None
+        answer = lcs_length(self.tail_places[item], len(self.tails[item]), words) / len(self.tails[item])
+        if paraphrase and answer >= ANSWER:
+            return share, answer
         if share < LCS:
             return None
         present = set(words)
         weight = sum(self.b.weight[w] for w in self.b.items[item].tolist() if w in present)
         if weight < WEIGHT * self.weights[item]:
             return None
-        answer = lcs_length(self.tail_places[item], len(self.tails[item]), words) / len(self.tails[item])
         return (share, answer) if share >= LCS_ALONE or answer >= ANSWER else None
 
 
-def _blocks(benchmark: DataFrame) -> list[tuple[list[int], list[str | None]]]:
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()
+def _items(benchmark: DataFrame) -> tuple[list[int], list[str | None]]:
+    rows = benchmark.select(F.col("item_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"a benchmark of over {MOST_ITEMS} items is not held in memory: split it")
-    return [([r[0] for r in part], [r[1] for r in part]) for part in (rows[i : i + ITEMS_AT_ONCE] for i in range(0, len(rows), ITEMS_AT_ONCE))]
+    return [r[0] for r in rows], [r[1] for r in rows]
 
 
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, key long"
@@ -408,13 +382,13 @@ FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, fi
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, cosine, lcs, answer, first_word, key``: one row per document row and item found in it."""
     spark = docs.sparkSession
+    prepared = prepare(docs, *_items(benchmark))
+    if prepared is None:
+        return spark.createDataFrame([], FOUND)
+    whole, encoded = prepared
     out: DataFrame | None = None
-    for ids, texts in _blocks(benchmark):
-        prepared = prepare(docs, ids, texts)
-        if prepared is None:
-            continue
-        b, encoded = prepared
-        shared = spark.sparkContext.broadcast(b)
+    for first in range(0, len(whole.ids), ITEMS_AT_ONCE):
+        shared = spark.sparkContext.broadcast(whole.block(first, first + ITEMS_AT_ONCE))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             judge = Judge(shared.value)
@@ -430,7 +404,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         found = encoded.mapInArrow(run, FOUND)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], FOUND) if out is None else out
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -448,7 +422,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The verdict is on the text, so rows are told apart by their text's hash; rows with null texts stay.
     """
-    bad = cut(search(docs, benchmark).select(F.col("key").alias("_bad")).distinct())
+    bad = cut(search(docs, benchmark).select("key").distinct())
     small = bad.count() <= BROADCAST_KEYS
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(F.broadcast(bad) if small else bad, F.col("_key") == F.col("_bad"), "left_anti").select(docs.columns)
+    keyed = packed(docs, of=F.xxhash64("text"))
+    return keyed.join(F.broadcast(bad) if small else bad, F.col("of") == F.col("key"), "left_anti").select("row.*")

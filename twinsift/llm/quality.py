@@ -1,112 +1,137 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are the shapes of its words (case, digits and punctuation, runs shortened) and the repetition of
-the word before.  A bounded sample of labelled texts gives a vocabulary of shapes, their inverse document
-frequencies and, by randomised SVD of the weighted matrix, a latent space.  The sample's vectors and labels are
-broadcast; every text is projected and compared with all of them by blocked exact cosine products, and its
-nearest neighbours vote with their similarity as weight.
+A text's terms are its words, the shapes of its words (case, digits and punctuation, runs shortened) and the repetition
+of the word before.  Terms are hashed to a fixed number of columns, so none is left out.  A bounded sample of labelled
+texts gives the columns' inverse document frequencies and, by randomised SVD of the weighted matrix, a latent space.
+The sample's vectors and labels are broadcast; every text is projected and compared with all of them by blocked exact
+cosine products, and its nearest neighbours vote with their similarity as weight.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.toxicity import training_sample
+from twinsift.llm.texts import Words, by_bytes, words_of
+from twinsift.llm.toxicity import labelled_texts, training_sample
 
 SAMPLE = 4096  # labelled texts that vote, taken by hash
-TERMS = 2048  # shapes that the model knows, the most frequent
+SHAPES, CONTENT = 4096, 4096  # columns of the shapes and of the words themselves
+REPEAT = SHAPES + CONTENT  # the column of repetitions
+COLUMNS = REPEAT + 1
+CONTENT_WEIGHT = 0.25  # of a word against its shape: subjects differ among good texts, too
 RANK = 32
 NEIGHBOURS = 15
 SHARPNESS = 8
 BLOCK = 512  # texts whose products with all voters are held at a time
 CUT = 0.3
-REPEAT, OTHER = "=", "?"
 LONGEST = 64  # characters; longer words are taken piece by piece
 MEMO = 300_000
 _RUNS = re.compile(r"(.)\1+")
 _WORDY = str.maketrans({c: "9" for c in "0123456789"})
 
 
-def shape(word: bytes) -> str:
-    """``Word,`` -> ``Aa,``; ``SHOUT!!`` -> ``A!``; ``a1b2`` -> ``a9a9``; at most eight letters of it."""
-    return _outline(word.decode("utf-8", "replace")[:LONGEST])[:8]
-
-
 def _outline(w: str) -> str:
     w = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in w.translate(_WORDY))
     return _RUNS.sub(r"\1", w)
 
 
-def long_shapes(word: str) -> Counter:
-    """Of a word of over ``LONGEST`` characters (a text without spaces): the shapes of all its pieces, eight letters a term."""
+def shapes(word: str) -> Counter:
+    """``Word,`` -> ``Aa,``; ``SHOUT!!`` -> ``A!``; ``a1b2`` -> ``a9a9``; eight letters of it a term.
+
+    A word of over ``LONGEST`` characters (a text without spaces) is taken piece by piece, and all of each piece counts.
+    """
+    if len(word) <= LONGEST:
+        return Counter([_outline(word)[:8]])
     pieces = (_outline(word[i : i + LONGEST]) for i in range(0, len(word), LONGEST))
     return Counter(w[i : i + 8] for w in pieces for i in range(0, len(w), 8))
 
 
-def term_counts(text: bytes | None, memo: dict[bytes, str]) -> Counter:
-    words = text.split() if text else []
-    found: Counter = Counter()
-    for w, n in Counter(words).items():
-        if len(w) > LONGEST and len(whole := w.decode("utf-8", "replace")) > LONGEST:
-            for s, many in long_shapes(whole).items():
-                found[s] += n * many
-            continue
-        s = memo.get(w)
-        if s is None:
+def columns_of(word: str) -> tuple[tuple[int, int], ...]:
+    """(column, how often) of a word's terms."""
+    found = [(zlib.crc32(s.encode()) % SHAPES, n) for s, n in shapes(word).items()]
+    return (*found, (SHAPES + zlib.crc32(word.lower().encode()) % CONTENT, 1))
+
+
+@dataclass
+class Terms:
+    """Term counts of some texts: sorted by text, then column."""
+
+    text: np.ndarray
+    column: np.ndarray
+    n: np.ndarray
+    texts: int
+
+    def part(self, first: int, last: int) -> Terms:
+        a, b = np.searchsorted(self.text, [first, last])
+        return Terms(self.text[a:b] - first, self.column[a:b], self.n[a:b], last - first)
+
+
+def term_counts(words: Words, memo: dict[str, tuple[tuple[int, int], ...]]) -> Terms:
+    known = []
+    for w in words.distinct.to_pylist():
+        found = memo.get(w)
+        if found is None:
             if len(memo) >= MEMO:
                 memo.clear()
-            s = memo[w] = shape(w)
-        found[s] += n
-    if repeats := sum(map(eq, words, words[1:])):
-        found[REPEAT] = repeats
-    return found
+            found = memo[w] = columns_of(w)
+        known.append(found)
+    many = np.array([len(k) for k in known], dtype=np.int64)
+    flat = np.array([x for k in known for x in k], dtype=np.int64).reshape(-1, 2)
+    text = words.text()
+    pairs, n = np.unique(text.astype(np.int64) * max(1, len(known)) + words.codes, return_counts=True)
+    of, word = np.divmod(pairs, max(1, len(known)))
+    row = np.repeat(np.arange(len(word)), many[word])
+    at = (np.cumsum(many) - many)[word[row]] + np.arange(len(row)) - (np.cumsum(many[word]) - many[word])[row]
+    again = text[1:][(words.codes[1:] == words.codes[:-1]) & (text[1:] == text[:-1])]
+    keys = np.r_[of[row] * COLUMNS + flat[at, 0], again.astype(np.int64) * COLUMNS + REPEAT]
+    keys, back = np.unique(keys, return_inverse=True)
+    counts = np.bincount(back, weights=np.r_[n[row] * flat[at, 1], np.ones(len(again))], minlength=len(keys))
+    return Terms(keys // COLUMNS, keys % COLUMNS, counts, len(words.ends) - 1)
 
 
 @dataclass
 class Model:
-    terms: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray | None = None
-    basis: np.ndarray | None = None  # terms x rank
+    idf: np.ndarray | None = None  # by column, words less by CONTENT_WEIGHT
+    basis: np.ndarray | None = None  # columns x rank
     voters: np.ndarray | None = None  # rank x voters, unit columns
     labels: np.ndarray | None = None
     prior: float = 0.5
 
-    def weigh(self, counts: list[Counter]) -> np.ndarray:
-        """Weighted rows: square roots of shares, times idf."""
-        out = np.zeros((len(counts), len(self.terms)), dtype=np.float32)
-        other = self.terms[OTHER]
-        for i, c in enumerate(counts):
-            for term, n in c.items():
-                out[i, self.terms.get(term, other)] += n
-        total = out.sum(axis=1, keepdims=True)
-        return np.sqrt(out / np.maximum(total, 1)) * self.idf
-
-    def project(self, counts: list[Counter]) -> np.ndarray:
-        z = self.weigh(counts) @ self.basis
+    def weigh(self, t: Terms) -> np.ndarray:
+        """Square roots of shares, times idf."""
+        total = np.bincount(t.text, weights=np.where((t.column < SHAPES) | (t.column == REPEAT), t.n, 0.0), minlength=t.texts)
+        return (np.sqrt(t.n / np.maximum(total, 1)[t.text]) * self.idf[t.column]).astype(np.float32)
+
+    def project(self, t: Terms) -> np.ndarray:
+        z = np.zeros((t.texts, self.basis.shape[1]), dtype=np.float32)
+        if len(t.text):
+            first = np.flatnonzero(np.r_[True, t.text[1:] != t.text[:-1]])
+            z[t.text[first]] = np.add.reduceat(self.basis[t.column] * self.weigh(t)[:, None], first, axis=0)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
-    def score(self, counts: list[Counter]) -> np.ndarray:
+    def score(self, t: Terms) -> np.ndarray:
         if self.voters is None:
-            return np.full(len(counts), self.prior)
-        out = np.empty(len(counts))
-        for i in range(0, len(counts), BLOCK):
-            z = self.project(counts[i : i + BLOCK])
+            return np.full(t.texts, self.prior)
+        out = np.empty(t.texts)
+        for i in range(0, t.texts, BLOCK):
+            z = self.project(t.part(i, min(i + BLOCK, t.texts)))
             cosine = z @ self.voters
             k = min(NEIGHBOURS, cosine.shape[1])
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0).astype(np.float64) ** SHARPNESS
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)
-            out[i : i + BLOCK] = np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior)
+            out[i : i + len(z)] = np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior)
         return out
 
 
@@ -120,30 +145,43 @@ def randomised_svd(a: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
     return np.linalg.svd(q.T @ a, full_matrices=False)[2][:k].T
 
 
+def fit_model(texts: list[tuple[tuple[int, ...], tuple[float, ...], int]]) -> Model:
+    """From (columns, counts, label) of each sampled text; the order of the texts does not matter."""
+    texts = sorted(t for t in texts if t[0])
+    if not texts:
+        return Model()
+    size = [len(c) for c, _, _ in texts]
+    t = Terms(np.repeat(np.arange(len(texts)), size), np.concatenate([np.array(c) for c, _, _ in texts]), np.concatenate([np.array(n) for _, n, _ in texts]), len(texts))
+    labels = np.array([y for _, _, y in texts], dtype=np.float64)
+    model = Model(prior=float(labels.mean()))
+    weight = np.where((np.arange(COLUMNS) >= SHAPES) & (np.arange(COLUMNS) < REPEAT), CONTENT_WEIGHT, 1.0)
+    model.idf = (np.log((1 + len(texts)) / (1 + np.bincount(t.column, minlength=COLUMNS))) + 1) * weight
+    dense = np.zeros((len(texts), COLUMNS), dtype=np.float32)
+    dense[t.text, t.column] = model.weigh(t)
+    model.basis = randomised_svd(dense, RANK)
+    model.voters, model.labels = np.ascontiguousarray(model.project(t).T), labels
+    return model
+
+
 def fit(docs: DataFrame, sample: DataFrame) -> Model:
-    """Learn from the labelled texts of ``sample`` (doc_id, _label), a table of a documented size."""
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("text", "_label")
+    """Learn from the labelled texts of ``sample`` (doc_id, _label), a table of a documented size, in one task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, str] = {}
-        for batch in batches:
-            found = [term_counts(t, memo) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            kind = pa.map_(pa.string(), pa.int64())
-            yield pa.record_batch([pa.array([list(c.items()) for c in found], kind), batch.column(1)], ["counts", "label"])
-
-    got = rows.mapInArrow(count, "counts map<string,long>, label int").collect()
-    got = sorted(((tuple(sorted(r["counts"].items())), r["label"]) for r in got if r["counts"]), key=repr)  # partitions come in any order
-    if not got:
-        return Model()
-    counts, labels = [Counter(dict(c)) for c, _ in got], np.array([y for _, y in got], dtype=np.float64)
-    df = Counter(t for c in counts for t in c)
-    terms = [t for t, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))[: TERMS - 1] if t != OTHER]
-    model = Model({t: i for i, t in enumerate([*terms, OTHER])}, prior=float(labels.mean()))
-    seen = np.array([df[t] for t in model.terms])
-    model.idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 1
-    model.basis = randomised_svd(model.weigh(counts), RANK)
-    model.voters, model.labels = np.ascontiguousarray(model.project(counts).T), labels
-    return model
+        memo: dict = {}
+        for whole in batches:
+            for batch in by_bytes(whole, 0):
+                t = term_counts(words_of(batch.column(0)), memo)
+                ends = pa.array(np.searchsorted(t.text, np.arange(t.texts + 1)).astype(np.int32))
+                cols = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t.column.astype(np.int32), t.n)]
+                yield pa.record_batch([*cols, batch.column(1)], ["columns", "n", "label"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(tuple(c), tuple(n), int(y)) for b in batches for c, n, y in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        yield pa.record_batch([pa.array([pickle.dumps(fit_model(rows))])], ["model"])
+
+    counted = labelled_texts(docs, sample).select("text", "_label").mapInArrow(count, "columns array<int>, n array<double>, label int")
+    found = counted.repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(found["model"]) if found else Model()
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -157,9 +195,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = shared.value, {}
-        for batch in batches:
-            found = [term_counts(t, memo) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(own.score(found), pa.float64())], ["doc_id", "score"])
+        for whole in batches:
+            for batch in by_bytes(whole, 1):
+                found = own.score(term_counts(words_of(batch.column(1)), memo))
+                yield pa.record_batch([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 

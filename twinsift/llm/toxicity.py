@@ -3,81 +3,77 @@
 Fitting counts, over a bounded sample of labelled documents, in how many toxic and clean documents each word and
 each of its prefixes occurs, against the number of features of either kind.  A feature's score is its log-odds
 under a Dirichlet prior centred on the corpus, less some standard deviations; a word has the highest score of
-its features.  Every token also
+its features, and every feature that can score is kept.  Every token also
 pays ``DRIFT``, so clean text drifts down, and one linear scan finds all maximal scoring segments of a text.
 
 Segment scores of clean documents have an exponential tail, hence an extreme-value law for the best of a text's n
 tokens: a segment's evidence is minus the log of the number of segments of at least its score that clean
 text of that length has by chance.  A document adds the evidence of its significant segments; its score
 is a logistic in that sum, placed by held-out (cross-fitted) evidence.
+
+Words are split, told apart and looked up by Arrow kernels; only the words that score are seen one by one.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.lineage import cut, written
+from twinsift.llm.texts import Words, by_bytes, words_of
+
 SAMPLE = 20_000  # labelled documents that fitting reads at most, taken by hash
-FEATURES = 200_000  # scored features that the model keeps at most, by score
 PREFIXES = (3, 4, 5, 6)
 PRIOR, DRIFT = 2.0, 0.5
 #: Standard deviations taken off a score, and scores below which a token does not count: held-out folds choose.
 ZS, LEAST = (1.0, 1.64, 2.33), (1.0, 1.5, 2.0, 2.5, 3.0)
 TAIL = 1.0  # segment score from which the tail is fitted
-MEMO = 150_000  # words whose score a worker remembers; beyond it the memo starts anew
 CUT, SLOPE = 0.7, 0.5
-_EDGE = re.compile(r"^\W+|\W+$")
+_EDGE = r"^[^\pL\pN_]+|[^\pL\pN_]+$"
+FOLDS = ((0, 1), (0,), (1,))  # what a model learns from: all, or one fold, to be judged by the other
+
 
+def features_of(words: pa.Array) -> list[pa.Array]:
+    """Of each word, freed of case and outer punctuation: itself, and its prefixes (marked by a trailing ``*``), null where it has none."""
+    w = pc.replace_substring_regex(pc.utf8_lower(words), pattern=_EDGE, replacement="")
+    none = pa.scalar(None, pa.string())
+    long = lambda k: pc.greater(pc.utf8_length(w), k)
+    prefix = lambda k: pc.binary_join_element_wise(pc.utf8_slice_codeunits(w, 0, k), "*", "")
+    return [pc.if_else(pc.equal(w, ""), none, w), *(pc.if_else(long(k), prefix(k), none) for k in PREFIXES)]
 
-def features_of(word: str) -> list[str]:
-    """A word, freed of case and outer punctuation, and its prefixes (marked by a trailing ``*``)."""
-    w = _EDGE.sub("", word.lower())
-    return [w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)] if w else []
+
+def log_odds(toxic, clean, n_toxic: float, n_clean: float, z: float, log, sqrt):
+    """Of a feature in so many toxic and clean documents, less z standard deviations; on arrays or on columns."""
+    base = n_toxic / (n_toxic + n_clean)
+    t, c = toxic + PRIOR * base, clean + PRIOR * (1 - base)
+    return log(t / c) - math.log(base / (1 - base)) - z * sqrt(1 / t + 1 / c)
 
 
 @dataclass
 class Model:
-    """``scores``: log-odds by feature; ``rate`` and ``slope``: tail of clean segments; ``middle``: evidence at
-    CUT; ``quality``: F1 there on held-out folds."""
+    """``features`` and their ``scores``, log-odds; ``rate`` and ``slope``: tail of clean segments; ``middle``:
+    evidence at CUT; ``quality``: F1 there on held-out folds."""
 
-    scores: dict[str, float] = field(default_factory=dict)
+    features: list[str] = field(default_factory=list)
+    scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rate: float = 1e-4
     slope: float = 1.0
     middle: float = math.inf
     quality: float = 0.0
     least: float = min(LEAST)
-    memo: dict[bytes, float] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}}
-
-    def token(self, word: bytes) -> float:
-        got = self.scores.get
-        best = max((got(f, 0.0) for f in features_of(word.decode("utf-8", "replace"))), default=0.0)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[word] = best
-        return best
-
-    def hits(self, text: bytes | None) -> tuple[int, list[tuple[int, float]]]:
-        """Number of words, and the tokens that score."""
-        words = text.split() if text else []
-        memo, token = self.memo, self.token
-        found = [memo[w] if w in memo else token(w) for w in words]
-        return len(words), [(i, s) for i, s in enumerate(found) if s > 0]
-
-    def segments(self, text: bytes | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words, and the maximal segments (first word, end, score)."""
-        n, hits = self.hits(text)
-        return n, maximal_segments([h for h in hits if h[1] > self.least])
+
+    def segments(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+        """Number of words and the maximal segments (first word, end, score) of each text."""
+        words = words_of(texts)
+        found = hits(words, word_scores(words.distinct, self.features, self.scores[:, None])[:, 0], self.least)
+        return ((n, maximal_segments(h)) for n, h in zip(np.diff(words.ends).tolist(), found))
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
         expected = math.log(max(n, 1) * self.rate)
@@ -90,6 +86,26 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
+def word_scores(words: pa.Array, features: list[str], scores: np.ndarray) -> np.ndarray:
+    """For each word and column of ``scores`` (by feature) the highest score of the word's features, at least 0."""
+    table = np.concatenate([scores, np.zeros((1, scores.shape[1]))])
+    known = pa.array(features, pa.string())
+    best = np.zeros((len(words), scores.shape[1]))
+    for names in features_of(words):
+        at = pc.fill_null(pc.index_in(names, value_set=known, skip_nulls=True), len(features)).to_numpy(zero_copy_only=False)
+        np.maximum(best, table[at], out=best)
+    return best
+
+
+def hits(words: Words, scores: np.ndarray, least: float) -> Iterator[list[tuple[int, float]]]:
+    """Of each text the words (place and score) above ``least``."""
+    of_word = scores[words.codes] if len(words.codes) else np.zeros(0)
+    at = np.flatnonzero(of_word > least)
+    ends = np.searchsorted(at, words.ends)
+    for first, last, start in zip(ends[:-1].tolist(), ends[1:].tolist(), words.ends[:-1].tolist()):
+        yield list(zip((at[first:last] - start).tolist(), of_word[at[first:last]].tolist())) if last > first else []
+
+
 def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a text whose tokens cost ``drift`` each, from its positive tokens in order.
 
@@ -124,80 +140,92 @@ def training_sample(labels: DataFrame, wanted: Column, label: str = "toxic", lim
     return rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(limit)
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``text, _label, _fold``: one text of each id of ``sample`` (doc_id, _label), in a stage table.
+
+    Of several texts under one id the one with the smallest hash: the ids bound the rows, whatever is repeated.
+    """
+    folded = sample.withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2)).cast("int"))
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(folded), "doc_id")
+    one = rows.groupBy("doc_id", "_label", "_fold").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    return written(one.select("text", "_label", "_fold"))[0]
+
+
 def fit(docs: DataFrame, sample: DataFrame) -> Model:
     """Learn from the labelled documents of ``sample`` (doc_id, _label), a table of a documented size."""
-    folded = sample.withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2)).cast("int"))
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(folded), "doc_id").select("text", "_label", "_fold")
+    rows = labelled_texts(docs, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {(f, y): Counter() for f in (0, 1) for y in (0, 1)}
-        memo: dict[bytes, list[str]] = {}
-
-        def out() -> pa.RecordBatch:
-            lines = [(f, y, k, v) for (f, y), c in tables.items() for k, v in c.items()]
-            for c in tables.values():
-                c.clear()
-            cols = list(zip(*lines)) if lines else [(), (), (), ()]
-            return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["fold", "label", "feature", "n"])
-
-        for batch in batches:
-            for text, y, f in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                seen: set[str] = set()
-                for w in set(text.split() if text else ()):
-                    found = memo.get(w)
-                    if found is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        found = memo[w] = features_of(w.decode("utf-8", "replace"))
-                    seen.update(found)
-                tables[f, 1 if y else 0].update(seen)
-                tables[f, 1 if y else 0][""] += len(seen)  # toxic documents may be longer than clean ones
-            if sum(map(len, tables.values())) > 1_000_000:
-                yield out()
-        yield out()
-
-    counted = rows.mapInArrow(count, "fold int, label int, feature string, n long")
-    cell = lambda f, y: F.sum(F.when((F.col("fold") == f) & (F.col("label") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}")
-    sums = counted.groupBy("feature").agg(*[cell(f, y) for f in (0, 1) for y in (0, 1)]).where("feature = '' or n01 + n11 >= 2")
-    # Only features that some fold or the whole finds toxic can score; of those the most toxic are kept.
-    kept = sums.orderBy(F.when(F.col("feature") == "", 0).otherwise(1), ((F.col("n01") + F.col("n11")) / (F.col("n00") + F.col("n10") + 1.0)).desc(), (F.col("n01") + F.col("n11")).desc(), "feature").limit(FEATURES).toPandas()
-    total = kept[kept.feature == ""]
-    if not len(total):
+        for whole in batches:
+            for batch in by_bytes(whole, 0):
+                words = words_of(batch.column(0))
+                cell = 2 * batch.column(2).to_numpy() + (batch.column(1).to_numpy() > 0)
+                # Each feature of a text counts once; the whole of features stands under the empty name.
+                names = pc.dictionary_encode(pa.concat_arrays(features_of(words.distinct)))
+                code = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False).reshape(-1, len(words.distinct)).T.astype(np.int64)
+                size = len(names.dictionary) + 1
+                pairs = np.unique(words.text().astype(np.int64) * max(1, len(words.distinct)) + words.codes)
+                text, word = np.divmod(pairs, max(1, len(words.distinct)))
+                keys = (text[:, None] * size + code[word])[code[word] >= 0]
+                text, feature = np.divmod(np.unique(keys), size)
+                counts = np.bincount(cell[text] * size + feature, minlength=4 * size).reshape(4, size)
+                counts[:, -1] = np.bincount(cell[text], minlength=4)
+                used = np.flatnonzero(counts.any(axis=0))
+                named = pa.concat_arrays([names.dictionary.cast(pa.string()), pa.array([""])]).take(pa.array(used))
+                yield pa.record_batch([named, *(pa.array(counts[k, used]) for k in range(4))], ["feature", "n00", "n01", "n10", "n11"])
+
+    counted = rows.mapInArrow(count, "feature string, n00 long, n01 long, n10 long, n11 long")
+    sums = cut(counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")]).where("feature = '' or n01 + n11 >= 2"))
+    total = sums.where("feature = ''").first()
+    if total is None:
         return Model()
-    n = {(f, y): int(total[f"n{f}{y}"].iloc[0]) for f in (0, 1) for y in (0, 1)}
-    table = kept[kept.feature != ""]
-
-    def model(folds: tuple[int, ...], z: float) -> Model:
-        toxic, clean = (sum(n[f, y] for f in folds) for y in (1, 0))
-        if not toxic or not clean:
-            return Model()
-        base = toxic / (toxic + clean)
-        t = sum(table[f"n{f}1"].to_numpy(dtype=float) for f in folds) + PRIOR * base
-        c = sum(table[f"n{f}0"].to_numpy(dtype=float) for f in folds) + PRIOR * (1 - base)
-        low = np.log(t / c) - math.log(base / (1 - base)) - z * np.sqrt(1 / t + 1 / c)
-        return Model({k: float(v) for k, v in zip(table.feature, low) if v > min(LEAST)})
-
-    # A fold is judged by what the other has taught.
-    shared = rows.sparkSession.sparkContext.broadcast({f: [model((1 - f,), z) for z in ZS] for f in (0, 1)})
+    sizes = {folds: [sum(total[f"n{f}{y}"] for f in folds) for y in (1, 0)] for folds in FOLDS}
+    if not all(sizes[FOLDS[0]]):
+        return Model()
+    # All features that can score, whatever they were learnt from; their number is bounded by the sample's words.
+    of = lambda folds, y: sum(F.col(f"n{f}{y}") for f in folds)
+    chances = [log_odds(of(folds, 1), of(folds, 0), *n, min(ZS), F.log, F.sqrt) > min(LEAST) - 1e-9 for folds, n in sizes.items() if all(n)]
+    can_score = chances[0]
+    for c in chances[1:]:
+        can_score = can_score | c
+    table = sums.where("feature <> ''").where(can_score).orderBy("feature").toPandas()
+    features = table.feature.tolist()
+
+    def scores(folds: tuple[int, ...], z: float) -> np.ndarray:
+        if not all(sizes[folds]):
+            return np.zeros(len(features))
+        toxic, clean = (sum(table[f"n{f}{y}"].to_numpy(dtype=float) for f in folds) for y in (1, 0))
+        low = log_odds(toxic, clean, *sizes[folds], z, np.log, np.sqrt)
+        return np.where(low > min(LEAST), low, 0.0)
+
+    # A fold is judged by what the other has taught: column 3 * fold + number of z.
+    shared = rows.sparkSession.sparkContext.broadcast((features, np.stack([scores((1 - f,), z) for f in (0, 1) for z in ZS], axis=1)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_fold = shared.value
-        for batch in batches:
-            rows = []
-            for text, y, f in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                judged = [m.hits(text) for m in of_fold[f]]
-                found = [[s for _, _, s in maximal_segments([h for h in hits if h[1] > least])] for _, hits in judged for least in LEAST]
-                rows.append((1 if y else 0, judged[0][0], found))
-            cols = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.list_(pa.float64())))], ["label", "words", "scores"])
+        names, table = shared.value
+        for whole in batches:
+            for batch in by_bytes(whole, 0):
+                words, fold = words_of(batch.column(0)), batch.column(2).to_numpy()
+                of_word = word_scores(words.distinct, names, table)
+                found: list[list[list[float]]] = [[] for _ in fold]
+                for k in range(len(ZS)):
+                    for least in LEAST:
+                        for f in (0, 1):
+                            for t, h in enumerate(hits(words, of_word[:, 3 * f + k], least)):
+                                if fold[t] == f:
+                                    found[t].append([s for _, _, s in maximal_segments(h)])
+                kind = pa.list_(pa.list_(pa.float64()))
+                yield pa.record_batch([pa.array((batch.column(1).to_numpy() > 0).astype(np.int32)), pa.array(np.diff(words.ends)), pa.array(found, kind)], ["label", "words", "scores"])
 
     held = rows.mapInArrow(judge, "label int, words long, scores array<array<double>>").toPandas()
     labels, words = held["label"].to_numpy(), held["words"].to_numpy()
     options = [(z, least) for z in ZS for least in LEAST]
     fitted = [calibrate(Model(least=least), labels, words, [s[k] for s in held["scores"]]) for k, (_, least) in enumerate(options)]
     best = max(range(len(options)), key=lambda k: fitted[k].quality)
-    fitted[best].scores = {f: v for f, v in model((0, 1), options[best][0]).scores.items() if v > fitted[best].least}
-    return fitted[best]
+    model, low = fitted[best], scores((0, 1), options[best][0])
+    kept = np.flatnonzero(low > model.least)
+    model.features, model.scores = [features[i] for i in kept], low[kept]
+    return model
 
 
 def calibrate(model: Model, labels: np.ndarray, words: np.ndarray, scores: list) -> Model:
@@ -235,19 +263,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                n, found = own.segments(text)
-                x = own.evidence(n, found)
-                sure = [{"first": a, "end": b, "score": s} for a, b, s in found if own.evidence(n, [(a, b, s)]) > 0]
-                rows.append((own.score(x), x, n, sure))
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind)],
-                ["doc_id", "score", "evidence", "n_words", "segments"],
-            )
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+        for whole in batches:
+            for batch in by_bytes(whole, 1):
+                rows = []
+                for n, found in own.segments(batch.column(1)):
+                    x = own.evidence(n, found)
+                    sure = [{"first": a, "end": b, "score": s} for a, b, s in found if own.evidence(n, [(a, b, s)]) > 0]
+                    rows.append((own.score(x), x, n, sure))
+                cols = list(zip(*rows)) if rows else [(), (), (), ()]
+                yield pa.record_batch(
+                    [batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind)],
+                    ["doc_id", "score", "evidence", "n_words", "segments"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
 
@@ -263,15 +291,19 @@ def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` without the toxic ones, columns as they were.  Scores are computed in place, row by row."""
+    """``docs`` without the toxic ones, columns as they were.  Scores are computed in place, row by row.
+
+    Null and empty texts stay, as do rows with null ids; repeated rows are judged one by one, alike; an empty table
+    gives an empty result; further columns are carried along whatever their names.
+    """
     model = fit(docs, training_sample(labels, may_learn()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([own.score(own.evidence(*own.segments(t))) < cut for t in texts], pa.bool_()))
+        for whole in batches:
+            for batch in by_bytes(whole, at):
+                yield batch.filter(pa.array([own.score(own.evidence(*found)) < cut for found in own.segments(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
