@@ -25,6 +25,36 @@ def test_conversations_read_back(spark):
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_neighbouring_large_ids_stay_apart_beside_nulls(spark):
+    rows = [(None, 0, "user", "x")] + [(2**60 + i, t, "assistant", f"{i} {t}") for i in range(1, 6) for t in (0, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r["conv_id"]: r["n_turns"] for r in chat.digest(chat.format_conversations(df)).collect()}
+    assert got == {None: 1} | {2**60 + i: 2 for i in range(1, 6)}
+    pages = spark.createDataFrame([(None, None)] + [(2**60 + i, "http://a.example.org/es/") for i in range(1, 6)], "page_id long, url string").coalesce(1)
+    judged = url_filter.judge_urls(pages, spark.createDataFrame(queries.URL_RULES, url_filter.RULES)).collect()
+    assert {r["page_id"]: r["rule"] for r in judged} == {None: None} | {2**60 + i: "example.org/es/" for i in range(1, 6)}
+    assert len(judged) == 6
+
+
+def test_a_long_conversation_comes_in_pieces_that_say_the_same(spark):
+    turns = [(7, i, "assistant" if i % 2 else "user", f"turn {i} <|im_end|> " + "é" * (i % 50)) for i in range(400)] + [(7, 400, "assistant", "w " * 200_000)]
+    df = spark.createDataFrame(turns + [(8, 0, "user", "short")], "conv_id long, turn long, role string, text string")
+    pieces = chat.format_conversations(df, piece_chars=1000)
+    rows = sorted(pieces.where("conv_id = 7").collect(), key=lambda r: r["piece"])
+    assert len(rows) > 10 and [r["piece"] for r in rows] == list(range(len(rows)))
+    assert [t for r in rows for t in chat.read_back(r["formatted"])] == [(r, t) for _, _, r, t in turns]
+    whole = {tuple(r) for r in chat.digest(chat.format_conversations(df)).collect()}
+    assert {tuple(r) for r in chat.digest(pieces).collect()} == whole and len(whole) == 2
+
+
+def test_attachments_are_numbered_through_all_pieces(spark):
+    image = {"type": "image", "text": None, "ref": "i.png", "width": 28, "height": 28, "seconds": None, "pages": None}
+    df = spark.createDataFrame([(1, i, "user", [image]) for i in range(30)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    rows = sorted(chat.format_conversations(df, piece_chars=200).collect(), key=lambda r: r["piece"])
+    assert len(rows) > 3 and [a["position"] for r in rows for a in r["attachments"]] == list(range(30))
+    assert "<|image:29|>" in rows[-1]["formatted"]
+
+
 def test_typed_parts(spark):
     part = {"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
     parts = [part | {"type": "text", "text": "see <|image:0|> "}, part | {"type": "image", "ref": "i.png", "width": 57, "height": 28}, part | {"type": "audio", "ref": "s.wav", "seconds": 1.5}, part | {"type": "document", "ref": "d.pdf", "pages": 2}]
@@ -106,6 +136,11 @@ def test_token_counts_over_a_public_vocabulary(spark):
                 n, pool = n + 1, later
         return n
 
+    # Two vocabularies that differ in one piece that no sample of them shows, in the same worker process.
+    one = spark.createDataFrame([(1, "abcdef")], "doc_id long, text string").coalesce(1)
+    filler = [f"{i:05d}" for i in range(20_000)]
+    counts = [token_counts.count_tokens(one, [*filler[:777], extra, *filler[777:], *" abcdef"]).collect()[0]["n_tokens"] for extra in ("abcdef", " abcdef")]
+    assert counts == [2, 1]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(None, "x", 1)], "doc_id long, text string, n_tokens int")
     got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.count_tokens(df, pieces).collect()}
     assert got == {i: (len((t or "").encode().split()), count(t)) for i, t in enumerate(texts)} | {None: (1, 1)}

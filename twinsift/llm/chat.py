@@ -9,12 +9,13 @@ reversibly, so that a formatted conversation can be read back exactly.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:d
 IMAGE_TILE, TOKENS_PER_TILE = 28, 1
 AUDIO_TOKENS_PER_SECOND = 25
 TOKENS_PER_PAGE = 256
-MOST_READY, LONG = 200, 1 << 20  # conversations handed on at a time; one of that many code points goes at once
+MOST_READY, PIECE = 200, 1 << 20  # rows handed on at a time; code points from which a conversation goes on in a further row
 
 
 def escape(text: str) -> str:
@@ -52,6 +53,7 @@ class Flattener:
     """Visits the parts of a conversation in order; attachments are numbered through the conversation."""
 
     attachments: list[tuple[int, str, str | None, int]] = field(default_factory=list)
+    before: int = 0  # attachments of earlier pieces
 
     def visit(self, part: dict) -> str:
         kind = part.get("type") or "text"
@@ -74,8 +76,9 @@ class Flattener:
         return self._attach("document", part, (part.get("pages") or 1) * TOKENS_PER_PAGE)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> str:
-        self.attachments.append((len(self.attachments), kind, part.get("ref"), tokens))
-        return f"<|{kind}:{len(self.attachments) - 1}|>"
+        number = self.before + len(self.attachments)
+        self.attachments.append((number, kind, part.get("ref"), tokens))
+        return f"<|{kind}:{number}|>"
 
 
 def format_turn(role: str | None, parts: Iterable[dict], flattener: Flattener) -> tuple[str, int, int]:
@@ -91,84 +94,123 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 FORMATTED = (
-    "conv_id long, formatted string, n_turns long, loss_starts array<long>, loss_ends array<long>, "
+    "conv_id long, piece int, formatted string, n_turns long, loss_starts array<long>, loss_ends array<long>, "
     "attachments array<struct<position:int,kind:string,ref:string,tokens:int>>, expanded_tokens long"
 )
+_ATTACHMENT = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())])
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, piece_chars: int = PIECE) -> DataFrame:
     """One row per conversation from ``conv_id, turn, role`` and ``parts`` (typed) or else ``text``.
 
-    ``loss_starts/ends`` are the spans, in code points, of the assistants' contents.  Turns are ordered by turn,
-    equal turns by role and text; null roles and texts are empty; repeated rows are turns of their own; rows
-    with a null conv_id form one conversation; an empty table gives an empty result; further columns are ignored.
-    A task streams its conversations one after another and holds one at a time.
+    A conversation of over ``piece_chars`` code points comes as several rows, numbered by ``piece`` from 0, cut between
+    turns: a task holds one piece and never a whole conversation that may have any share of the rows.
+    ``loss_starts/ends`` are the spans, in code points of the piece, of the assistants' contents; attachments are numbered
+    through the conversation.  Turns are ordered by turn, equal turns by role and text; null roles and texts are empty;
+    repeated rows are turns of their own; rows with a null conv_id form one conversation; a text of any length is kept
+    whole; an empty table gives an empty result; further columns are ignored.
     """
     typed = "parts" in turns.columns
     content = F.to_json("parts") if typed else F.col("text")
-    rows = turns.select("conv_id", "turn", "role", content.alias("content"))
+    rows = turns.select(F.col("conv_id").cast("long"), "turn", F.col("role").cast("string"), content.cast("string").alias("content"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "content")
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        current, begun = None, False
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, begun, piece = None, False, 0
         flattener, chunks, spans, at, n = Flattener(), [], [], 0, 0
-
         ready: list[tuple] = []
-        names = [c.split()[0] for c in FORMATTED.replace("<position:int,kind:string,ref:string,tokens:int>", "").split(", ")]
 
         def close() -> None:
+            nonlocal chunks, spans, at, n, piece
             found = [dict(zip(("position", "kind", "ref", "tokens"), a)) for a in flattener.attachments]
-            ready.append((current, "".join(chunks), n, [s for s, _ in spans], [e for _, e in spans], found, sum(a["tokens"] for a in found)))
-
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame(ready, columns=names)
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
+            ready.append((current, piece, "".join(chunks), n, [s for s, _ in spans], [e for _, e in spans], found, sum(a["tokens"] for a in found)))
+            flattener.before += len(flattener.attachments)
+            flattener.attachments = []
+            chunks, spans, at, n, piece = [], [], 0, 0, piece + 1
+
+        def out() -> pa.RecordBatch:
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), longs, longs, pa.list_(_ATTACHMENT), pa.int64()]
+            cols = [pa.array(c, k) for c, k in zip(zip(*ready), kinds)]
             ready.clear()
-            return frame
+            return pa.record_batch(cols, ["conv_id", "piece", "formatted", "n_turns", "loss_starts", "loss_ends", "attachments", "expanded_tokens"])
 
-        for pdf in batches:
-            for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["content"]):
-                conv = None if pd.isna(conv) else int(conv)
-                if begun and conv != current:
+        for batch in batches:
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "content"))):
+                if begun and (conv != current or at > piece_chars):
                     close()
-                    flattener, chunks, spans, at, n = Flattener(), [], [], 0, 0
-                    if len(ready) >= MOST_READY or sum(len(r[1]) for r in ready[-1:]) > LONG:
+                    if conv != current:
+                        flattener, piece = Flattener(), 0
+                    if len(ready) >= MOST_READY or len(ready[-1][2]) > piece_chars:
                         yield out()
                 current, begun = conv, True
                 parts = (json.loads(text) if text else []) if typed else [{"type": "text", "text": text}]
-                piece, start, end = format_turn(role, parts, flattener)
+                turn, start, end = format_turn(role, parts, flattener)
                 if role == "assistant":
                     spans.append((at + start, at + end))
-                chunks.append(piece)
-                at += len(piece)
+                chunks.append(turn)
+                at += len(turn)
                 n += 1
         if begun:
             close()
         if ready:
             yield out()
 
-    return rows.mapInPandas(visit, FORMATTED)
+    return rows.mapInArrow(visit, FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+@dataclass
+class _Digest:
+    """What has been read of a conversation, piece after piece."""
+
+    conv: int | None
+    turns: int = 0
+    loss_chars: int = 0
+    chars: int = 0
+    said: hashlib._Hash = field(default_factory=hashlib.sha256)
+    loss: hashlib._Hash = field(default_factory=hashlib.sha256)
+
+    def add(self, text: str, spans: Iterable[tuple[int, int]]) -> None:
+        for role, said in read_back(text):
+            self.turns += 1
+            self.said.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        for start, end in spans:
+            loss = unescape(_MARK.sub("", text[start:end]))
+            self.loss_chars += len(loss)
+            self.loss.update(loss.encode("utf-8", "surrogatepass"))
+        self.chars += len(text)
+
+    def row(self) -> tuple:
+        return self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the formatted conversations say when read back: hashes of the turns and of the text under the mask."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for conv, text, starts, ends in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_starts"], pdf["loss_ends"]):
-                turns = read_back(text)
-                loss = "".join(unescape(_MARK.sub("", text[s:e])) for s, e in zip(starts, ends))
-                said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (said, loss)]
-                out.append((conv, len(turns), sha[0], len(loss), sha[1], len(text)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in DIGEST.split(", ")])
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
-            yield frame
-
-    return formatted.mapInPandas(read, DIGEST)
+    """What the formatted conversations say when read back: hashes of the turns and of the text under the mask.
+
+    Takes the rows as ``format_conversations`` gives them: the pieces of a conversation one after another.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: _Digest | None = None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in DIGEST.split(", ")])
+
+        for batch in batches:
+            done = []
+            for conv, piece, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "formatted", "loss_starts", "loss_ends"))):
+                if piece == 0:
+                    if own is not None:
+                        done.append(own.row())
+                    own = _Digest(conv)
+                own.add(text, zip(starts, ends))
+            if done:
+                yield out(done)
+        if own is not None:
+            yield out([own.row()])
+
+    return formatted.mapInArrow(read, DIGEST)

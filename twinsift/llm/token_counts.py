@@ -7,6 +7,7 @@ complete by then, so a word's number of pieces comes out of one walk and no piec
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -83,11 +84,11 @@ def byte_level_pieces(path: str) -> list[str]:
     return ["".join(letters[c] for c in p) for p in vocab if all(c in letters for c in p)]
 
 
-_AUTOMATA: dict[int, tuple[Automaton, dict[bytes, int]]] = {}
+_AUTOMATA: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
 
 
 def _automaton(pieces) -> tuple[Automaton, dict[bytes, int]]:
-    """One per worker process; the pieces come from a broadcast, whose id tells vocabularies apart."""
+    """One per worker process and vocabulary."""
     if pieces.id not in _AUTOMATA:
         found = pieces.value
         starts = [p for p in found if p.startswith(" ")]
@@ -96,11 +97,11 @@ def _automaton(pieces) -> tuple[Automaton, dict[bytes, int]]:
 
 
 class _Pieces:
-    """A broadcast with its id, which the broadcast itself loses on the way to a worker."""
+    """A broadcast with a digest of all its pieces in order, which tells vocabularies apart in a worker."""
 
     def __init__(self, spark: SparkSession, pieces: list[str]):
         self.broadcast = spark.sparkContext.broadcast(pieces)
-        self.id = hash((len(pieces), *pieces[:: max(1, len(pieces) // 1000)]))
+        self.id = hashlib.sha256(json.dumps(pieces).encode()).hexdigest()
 
     @property
     def value(self) -> list[str]:

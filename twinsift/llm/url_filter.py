@@ -16,6 +16,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,13 +75,17 @@ class _Host:
         return host == self.host or host.endswith("." + self.host)
 
 
-def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (range, key, kind, path), rules before urls; yields the judged urls."""
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (range, key, kind, path), rules before urls; yields the judged urls.
+
+    Ids pass as Arrow values, never as floating-point numbers, whatever nulls stand beside them.
+    """
     stack: list[_Host] = []
     current = None
-    for pdf in batches:
-        out = []
-        for at, key, kind, host, path, verdict, row in zip(pdf["_range"], pdf["_key"], pdf["_kind"], pdf["host"], pdf["path"], pdf["verdict"], pdf["_row"]):
+    for batch in batches:
+        at_row, rules, verdicts = [], [], []
+        cols = [batch.column(n).to_pylist() for n in ("_range", "_key", "_kind", "host", "path", "verdict")]
+        for i, (at, key, kind, host, path, verdict) in enumerate(zip(*cols)):
             if at != current:
                 current, stack = at, []
             while stack and not key.startswith(stack[-1].key):
@@ -90,13 +95,16 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     stack.append(_Host(key, host))
                 stack[-1].add(path, verdict)
                 continue
-            best, length = None, -1
+            best, length = (None, None), -1
             for open_host in reversed(stack):  # the longer host wins a tie
-                i = open_host.longest(path)
-                if i >= 0 and len(open_host.host) + len(open_host.paths[i]) > length and open_host.covers(host):
-                    best, length = (open_host.host + open_host.paths[i], open_host.verdicts[i]), len(open_host.host) + len(open_host.paths[i])
-            out.append((row, host, path, *(best or (None, None))))
-        yield pd.DataFrame(out, columns=["_row", "host", "path", "rule", "verdict"]).astype({"_row": "Int64"})
+                k = open_host.longest(path)
+                if k >= 0 and len(open_host.host) + len(open_host.paths[k]) > length and open_host.covers(host):
+                    best, length = (open_host.host + open_host.paths[k], open_host.verdicts[k]), len(open_host.host) + len(open_host.paths[k])
+            at_row.append(i)
+            rules.append(best[0])
+            verdicts.append(best[1])
+        kept = batch.select(["_row", "host", "path"]).take(pa.array(at_row, pa.int64()))
+        yield pa.record_batch([*kept.columns, pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], ["_row", "host", "path", "rule", "verdict"])
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id") -> DataFrame:
@@ -130,5 +138,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     left = open_rules.select(F.explode(ranges_of("_key")).alias("_range"), "_key", F.lit(0).alias("_kind"), "host", "path", "verdict", F.lit(None).cast("long").alias("_row"))
     right = urls.select(range_of("_key", "path", "_salt").alias("_range"), "_key", F.lit(1).alias("_kind"), "host", "path", F.lit(None).cast("string").alias("verdict"), F.col("_row").cast("long"))
     both = left.unionByName(right).repartition(n, "_range").sortWithinPartitions("_range", "_key", "_kind", "path")
-    judged = both.mapInPandas(sweep, "_row long, host string, path string, rule string, verdict string")
+    judged = both.mapInArrow(sweep, "_row long, host string, path string, rule string, verdict string")
     return judged.select(F.col("_row").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
