@@ -64,6 +64,29 @@ def test_different_texts_under_one_id_are_all_kept(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", first), ("1", second), ("None", first)])
 
 
+def test_each_component_keeps_one_row_whatever_ids_and_columns_repeat(spark):
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(3, base, 1, "x"), (7, base, 2, "x"), (7, "a text that no other row has", 3, "y"), (7, "a text that no other row has", 3, "y"), (7, "a text that no other row has", 4, "y"), (2**60 + 1, "one", 5, "z"), (2**60 + 2, "two", 6, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, row string")
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"], r["text"], r["key"], r["row"]) for r in kept.collect())
+    third = [r for r in got if r[0] == 7]
+    assert len(got) == 4 and (3, base, 1, "x") in got and len(third) == 1 and third[0][:2] == (7, "a text that no other row has")
+    assert {r[0] for r in got} == {3, 7, 2**60 + 1, 2**60 + 2}
+
+
+def test_links_come_from_the_trees(monkeypatch):
+    """Without the trees' edges no link is found: nothing else unites fingerprints."""
+    rng = np.random.default_rng(6)
+    fps = np.sort(np.unique(np.r_[rng.integers(0, 2**63, 300, dtype=np.uint64), np.uint64(7) ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))]))
+    shard = np.zeros(len(fps), dtype=np.int64)
+    label = closure(len(fps), [tuple(p) for p in simhash.link_shards(fps, shard).tolist()])
+    assert label == closure(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3])
+    monkeypatch.setattr(simhash, "build_trees", lambda f, s: (np.full(len(f), -1), np.zeros(len(f), dtype=np.int64), np.zeros(len(f), dtype=np.int64)))
+    assert not len(simhash.link_shards(fps, shard))
+
+
 def test_kernel_and_columns_agree_on_xxhash(spark):
     assert xxhash.xxh64("a b c".encode(), seed=42).intdigest() == spark.sql("select xxhash64('a b c') h").first()["h"] % 2**64
 

@@ -67,6 +67,69 @@ def test_mix_of_nothing(spark):
     assert mixing.mix_sources(df).count() == 0
 
 
+def brute_sample(rows, goal):
+    """In order of rank: a first run up to the document that exceeds the goal, then twice what fits of the rest."""
+    order = sorted((r for r in rows if r["inclusion"] > 0), key=lambda r: (r["_rank"], r["_key"], r["_copy"]))
+    chosen, left = set(), goal
+    for _ in range(mixing.ROUNDS):
+        want = left
+        for r in [r for r in order if (r["_key"], r["_copy"]) not in chosen and r["size"] <= want]:
+            if r["size"] > left:
+                break
+            chosen.add((r["_key"], r["_copy"]))
+            left -= r["size"]
+    return chosen
+
+
+def test_the_sample_against_a_brute_force_sampler(spark):
+    """Probabilities are proportional to the square root of the size, 1 where that exceeds it, and expect the goal; the choice follows the ranks."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.choice([2, 5, 20, 60, 400]), "en", "ab"[i % 2], 0) for i in range(600)] + [(1000, "w " * 9000, "en", "c", 0), (1001, "w " * 3000, "en", "c", 0), (1002, "w " * 10, "en", "c", 0)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), share=0.7).collect()
+    source = {i: s for i, _, _, s, _ in rows}
+    seen = set()
+    for s in "abc":
+        own = [r for r in got if source[r["doc_id"]] == s]
+        target, total = own[0]["target"], own[0]["source_size"]
+        goal = target - int(target / total + 1e-12) * total
+        fit = [r for r in own if r["size"] <= goal]
+        low, high = 0.0, 1.0
+        for _ in range(100):
+            theta = (low + high) / 2
+            low, high = (theta, high) if sum(min(1, theta * r["size"] ** 0.5) * r["size"] for r in fit) < goal else (low, theta)
+        for r in own:
+            want = min(1, low * r["size"] ** 0.5) if r["size"] <= goal else 0
+            assert abs(r["inclusion"] - want) < 0.1 * want + 1e-9, (s, r, want)
+            seen.add(round(r["inclusion"], 3))
+        whole = int(target / total + 1e-12)
+        assert {(r["_key"], r["_copy"]) for r in own if r["copies"] > whole} == brute_sample(own, goal)
+    assert len(seen) > 6  # documents of one source have their own probabilities
+
+
+def test_rows_alike_in_id_and_text_keep_their_other_columns(spark):
+    rows = [("x", "en", "a b c", "s", 1), ("y", "fr", "a b c", "s", 2), ("z", "fr", "d e f", "t", 3)] * 2
+    df = spark.createDataFrame([(1, t, lang, s, n, again, again) for again, lang, t, s, n in rows], DOCS + ", _key string, _again string")
+    got = mixing.repeat_documents(df, mixing.mix_sources(df, weights=(1.0,), share=2.0))
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in df.collect() for _ in (0, 1))
+
+
+def test_very_long_and_empty_documents_are_placed(spark):
+    rows = [(i, "w" * 2_000_000 if i == 0 else "" if i % 2 else None, None, None, 0) for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    placed, mixed = sharding.assign_shards(df, 4).collect(), mixing.mix_sources(df).collect()
+    assert len(placed) == len(mixed) == 40 and max(r["size"] for r in placed) == 2_000_001 and {r["taken"] for r in mixed} <= {0, 1, 2}
+
+
+def test_sources_are_told_apart_by_their_whole_names(spark):
+    rows = [(i, f"some words {i} here", "en", f"https://example.org/a/long/name/{'ab'[i % 2]}", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    points = {r["_group"]: r["_source"] for r in sharding._points(sharding.text_groups(df)).collect()}
+    side = {r["_group"]: r["source"] for r in df.select("source", sharding._group()).collect()}
+    a, b = ([v for g, v in points.items() if side[g].endswith(x)] for x in "ab")
+    assert max(a) < min(b) and sharding.DIMENSIONS[2] == "_source"
+
+
 def test_small_odds_lose(spark):
     """Preference raises inclusion: documents with higher odds are taken more often."""
     from pyspark.sql import functions as F
@@ -120,4 +183,9 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     df = spark.createDataFrame(corpus(60), DOCS)
     sharding.write_shards(df, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(back, str(tmp_path / "t"), 4)
+    sharding.write_shards(back, str(tmp_path / "t"), 4, folder="part")
+    again = spark.read.parquet(str(tmp_path / "t"))
+    assert again.count() == 60 and (again.where("part = shard").count() == 60)
     assert back.count() == 60 and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}

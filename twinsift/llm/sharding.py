@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.lineage import cut
-from twinsift.llm.texts import text_bytes
-from twinsift.operators.numbering import gapless_slots
+from twinsift.llm.texts import packed, row_key, text_bytes
+from twinsift.operators.numbering import gapless_slots, order_numbers
 
 LEVELS = 1 << 20  # integer steps of a dimension; the fraction in between breaks ties
 BINS = 4096
 ROUNDS = 3
+BROADCAST_VALUES = 100_000  # languages or sources whose places are broadcast; more are joined by shuffle
 DIMENSIONS = ("_size", "_lang", "_source")
 
 
@@ -34,12 +35,6 @@ class Split:
     at: float
 
 
-def _ordinal(c: str) -> Column:
-    """A string's first six UTF-8 bytes as a number that keeps their order; null is lowest."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(F.col(c).cast("string"), F.lit("")), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
 def _group() -> Column:
     """Equal texts have equal groups; a null text counts as an empty one."""
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("_group")
@@ -53,16 +48,27 @@ def text_groups(docs: DataFrame) -> DataFrame:
         size.alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
         _group(),
+        row_key(docs).alias("_key"),
         F.log2(size.cast("double")).alias("_size"),
-        _ordinal("lang").alias("_lang"),
-        _ordinal("source").alias("_source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
     )
 
 
+def _numbered(groups: DataFrame, c: str) -> DataFrame:
+    """A string column as the place of its whole value among all values."""
+    places = order_numbers(groups.select(c).distinct(), c, "_place")
+    few = places.count() <= BROADCAST_VALUES
+    return groups.join(F.broadcast(places) if few else places, c).withColumn(c, F.col("_place").cast("double")).drop("_place")
+
+
 def _points(rows: DataFrame) -> DataFrame:
     """One row per group of equal texts: its bytes and its coordinates in [0, LEVELS + 1)."""
     groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), *[F.min(d).alias(d) for d in DIMENSIONS])
     groups = cut(groups)
+    for c in ("_lang", "_source"):
+        groups = _numbered(groups, c)
+    groups = cut(groups)
     ends = groups.agg(*[f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     tie = F.pmod(F.xxhash64("_group", F.lit(8)), F.lit(1 << 30)).cast("double") / float(1 << 30)
 
@@ -137,18 +143,25 @@ def assign_shards(docs: DataFrame, n_shards: int = 16) -> DataFrame:
 
     Sizes (UTF-8 bytes plus 1) of the shards are near equal; equal texts share a shard, so a text whose copies
     exceed a shard's share makes that shard larger.  Null texts count as empty: size 1, crc 0, one group; null
-    lang or source count as the lowest value; repeated rows each get a slot; an empty table gives an empty
-    result; further columns are ignored.
+    lang or source count as the lowest value; repeated rows each get a slot, and rows under one doc_id are ordered by a hash of all
+    their columns; an empty table gives an empty result; further columns have no other effect.
     """
     rows = cut(text_groups(docs))
     points, _ = kd_tree(_points(rows), n_shards)
     placed = rows.join(points.select("_group", "shard"), "_group")
-    placed = cut(placed.select("doc_id", "size", "text_crc32", "shard"))
-    return gapless_slots(placed, "shard", "doc_id", "slot")
+    placed = cut(placed.select("doc_id", "size", "text_crc32", "_key", "shard"))
+    return gapless_slots(placed, "shard", ["doc_id", "_key"], "slot").drop("_key")
+
 
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, folder: str = "shard") -> None:
+    """Write ``docs`` as Parquet under one folder per shard, named ``folder=0`` and on.
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 16) -> None:
-    """Write ``docs`` as Parquet under one folder per shard."""
+    ``folder`` becomes a column when the whole path is read: choose another name if ``docs`` has it (it is refused).
+    Null texts and repeated rows are placed as in ``assign_shards``; an empty table writes no shard.
+    """
+    if folder.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {folder!r}: name the folders otherwise")
     points, _ = kd_tree(_points(cut(text_groups(docs))), n_shards)
-    placed = docs.select("*", _group()).join(points.select("_group", "shard"), "_group").drop("_group")
-    placed.write.mode("overwrite").partitionBy("shard").parquet(path)
+    shards = points.select(F.col("_group").alias("of"), F.col("shard").alias("at"))
+    placed = packed(docs, group=_group()).join(shards, F.col("group") == F.col("of")).select("row.*", F.col("at").alias(folder))
+    placed.write.mode("overwrite").partitionBy(folder).parquet(path)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.lineage import cut, shuffle_partitions
+from twinsift.llm.texts import packed, row_key
 from twinsift.operators.components import connected_components
 
 RADIUS = 3
@@ -63,14 +64,14 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _with_keys(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, fp, key`` for every row; ``key`` is a hash of the text."""
+    """``doc_id, fp, key`` for every row; ``key`` is a hash of all its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint_of(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], ["doc_id", "fp", "key"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key(docs).alias("key"))
     return rows.mapInArrow(run, "doc_id long, fp long, key long")
 
 
@@ -133,14 +134,6 @@ def link_shards(fps: np.ndarray, shard: np.ndarray, radius: int = RADIUS, querie
         label, used = _join(label, a, b)
         forest.append(np.stack([a[used], b[used]], axis=1))
 
-    # Neighbours in sorted order, for a few rotations of the bits: most of a dense group is joined cheaply.
-    for turn in (0, 16, 32, 48):
-        turned = (fps << np.uint64(turn)) | (fps >> np.uint64((64 - turn) % 64)) if turn else fps
-        order = np.lexsort((turned, shard))
-        a, b = order[:-1], order[1:]
-        near = (shard[a] == shard[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
-        keep(a[near], b[near])
-
     parent, key, level = build_trees(fps, shard)
     child_order = np.lexsort((key, parent))
     begin = np.searchsorted(parent[child_order], np.arange(n), side="left")
@@ -263,25 +256,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     repeated rows and exact copies share a fingerprint and are never paired; null ids are kept and never name a
     component unless it has no other; an empty table gives an empty result; further columns are ignored.
     """
-    return _components(docs, radius, size).drop("key")
+    return _components(docs, radius, size).select("doc_id", "fp", "component_id")
 
 
 def _components(docs: DataFrame, radius: int, size: int) -> DataFrame:
+    """``doc_id, fp, key, component_id, root``: ``root`` tells components apart, whose smallest ids may be equal."""
     found = cut(_with_keys(docs, size))
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("low")))
     component = connected_components(links(distinct.select("fp"), radius))
     named = distinct.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     named = cut(named)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return found.join(named.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "key", "component_id")
+    return found.join(named.join(lowest, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "key", "component_id", "root")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id, columns as they were.
+    """``docs`` with one row of each component, columns as they were, whatever their names.
 
-    Of rows that repeat a kept doc_id one of each fingerprint stays.  Rows without a doc_id cannot be told apart and all stay.
+    It is the row with the smallest doc_id, of several with that id the one with the smallest hash of all columns.  The
+    decision is on rows: other texts under a kept or dropped id stay or go by their own component.  Rows without
+    a doc_id all stay and make no other row go; an empty table gives an empty result.
     """
     known = docs.where("doc_id is not null")
-    kept = _components(known, radius, size).where("doc_id = component_id").groupBy("doc_id", "fp").agg(F.min("key").alias("_key"))
-    named = known.withColumn("_key", F.xxhash64("text")).join(kept.select("doc_id", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = _components(known, radius, size)
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.key").alias("of"))
+    rows = packed(known, key=row_key(docs)).join(kept, (F.col("key") == F.col("of")) & (F.col("row.doc_id") == F.col("id")))
+    one = rows.dropDuplicates(["id", "of"]).select("row.*")  # rows equal in all columns
+    return one.unionByName(docs.where("doc_id is null"))
