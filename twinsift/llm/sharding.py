@@ -24,6 +24,7 @@ from twinsift.operators.numbering import gapless_slots, order_numbers
 LEVELS = 1 << 20  # integer steps of a dimension; the fraction in between breaks ties
 BINS = 4096
 ROUNDS = 3
+LEAST_STEP = 1e-12  # of a bin, where the ends of a range have met
 BROADCAST_VALUES = 100_000  # languages or sources whose places are broadcast; more are joined by shuffle
 DIMENSIONS = ("_size", "_lang", "_source")
 
@@ -92,11 +93,12 @@ def _medians(points: DataFrame, dims: dict[int, str], goals: dict[int, float], e
     ends = dict(ends)
     at = _by_node({n: F.col(d) for n, d in dims.items()})
     for _ in range(ROUNDS):
-        lo, width = _by_node({n: e[0] for n, e in ends.items()}), _by_node({n: (e[1] - e[0]) / BINS for n, e in ends.items()})
+        steps = {n: max((e[1] - e[0]) / BINS, LEAST_STEP) for n, e in ends.items()}
+        lo, width = _by_node({n: e[0] for n, e in ends.items()}), _by_node(steps)
         bins = points.where(F.col("_node").isin(list(dims))).select("_node", "_bytes", F.floor((at - lo) / width).alias("_bin"))
         found = bins.where((F.col("_bin") >= 0) & (F.col("_bin") < BINS)).groupBy("_node", "_bin").agg(F.sum("_bytes").alias("b")).collect()
         for n in dims:
-            start, step = ends[n][0], (ends[n][1] - ends[n][0]) / BINS
+            start, step = ends[n][0], steps[n]
             for b, weight in sorted((r["_bin"], r["b"]) for r in found if r["_node"] == n):
                 if below[n] + weight >= goals[n]:
                     ends[n], crossing[n] = (start + b * step, start + (b + 1) * step), weight
