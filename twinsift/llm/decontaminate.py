@@ -39,11 +39,13 @@ COSINE = 0.5  # in the latent space, from which a passage is a candidate
 SLACK, OVERLAP = 0.4, 0.75  # of the cosine expected of a copy in the corpus's mean surroundings; share of a copy in its best passage
 INSIDE = 0.5  # share of an item's length in the latent space that a candidate has in its direction
 LCS, LCS_ALONE, WEIGHT, ANSWER = 0.6, 0.8, 0.5, 0.5
-PARAPHRASE, LCS_PARAPHRASE = 0.7, 0.4  # from that cosine on, so short a common subsequence will do if the answer is there
+PARAPHRASE, LCS_PARAPHRASE, ANSWER_PARAPHRASE = 0.7, 0.5, 0.75  # from that cosine on, so short a common subsequence will do if so much of the answer is there
 SHORT = 8  # items of fewer words must occur whole
-ITEMS_AT_ONCE = 5000
+ITEMS_AT_ONCE = 1000
 MOST_ITEMS = 200_000
 PRODUCTS = 2_000_000  # cosines that are held at a time
+SLOTS, BITS = 1 << 12, 64  # of an item's table of places by word
+AROUND = 2_000_000  # words around candidates that are looked up at a time
 CHUNK_WORDS = 500_000
 TEXTS_AT_ONCE = 500  # texts whose words are split at a time
 PART = 256  # columns of the sketch that travel together
@@ -128,26 +130,47 @@ def windows(ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndar
     return text, start, np.minimum(start + WIDTH, ends[1:][text])
 
 
-def _terms(b: Benchmark, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passage, column and weight of every word of the passages that the latent space knows."""
-    length = end - start
-    row = np.repeat(np.arange(len(start)), length)
-    word = ids[np.repeat(start, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)]
-    row, word = row[word >= 0], word[word >= 0]
-    return row, word % COLUMNS, b.weight[word].astype(np.float32)
+def _padded(b: Benchmark, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column and weight of every place of the passages; places without a word of the vocabulary weigh 0."""
+    at = start[:, None] + np.arange(WIDTH)
+    word = ids[np.minimum(at, max(0, len(ids) - 1))]
+    known = (at < end[:, None]) & (word >= 0)
+    return np.where(known, word % COLUMNS, 0), np.where(known, b.weight[np.maximum(word, 0)], 0.0).astype(np.float32)
+
+
+def _products(weight: np.ndarray, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Weighted sums of rows of a table, ``GATHERED`` sums at a time, which a cache can hold."""
+    out = np.empty((len(rows), table.shape[1]), dtype=np.float32)
+    for i in range(0, len(rows), GATHERED):
+        out[i : i + GATHERED] = np.matmul(weight[i : i + GATHERED, None, :], table[rows[i : i + GATHERED]])[:, 0]
+    return out
 
 
 def _rows(b: Benchmark, ids: np.ndarray, start: np.ndarray, end: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """TF-IDF rows of the passages times ``basis``."""
-    row, column, weight = _terms(b, ids, start, end)
-    out = np.zeros((len(start), basis.shape[1]), dtype=np.float32)
-    if len(row):
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[first]] = np.add.reduceat(basis[column] * weight[:, None], first, axis=0)
-    return out
+    column, weight = _padded(b, ids, start, end)
+    return _products(weight, column, basis.astype(np.float32, copy=False))
+
+
+def _turned(column: np.ndarray, weight: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns that occur in padded passages, and for each the weighted sum of the rows ``z`` of the passages it occurs in."""
+    row, place = np.nonzero(weight)
+    of, w = column[row, place], weight[row, place]
+    order = np.argsort(of.astype(np.uint16), kind="stable")
+    of, w, row = of[order], w[order], row[order]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=np.int64)
+    many = np.diff(np.r_[first, len(of)])
+    runs = -(-many // RUN)  # each column's passages in runs of RUN, the last one filled up with weight 0
+    begin = np.cumsum(runs) - runs
+    at = np.repeat(begin * RUN - first, many) + np.arange(len(of))
+    rows, weights = np.zeros(int(runs.sum()) * RUN, dtype=np.int64), np.zeros(int(runs.sum()) * RUN, dtype=np.float32)
+    rows[at], weights[at] = row, w
+    if not len(of):
+        return of, np.zeros((0, z.shape[1]), dtype=np.float32)
+    return of[first], np.add.reduceat(_products(weights.reshape(-1, RUN), rows.reshape(-1, RUN), z), begin, axis=0)
 
 
-PIECE = 2048  # passages whose rows are held at a time
+PIECE, GATHERED, RUN = 8192, 256, 16  # passages whose rows are held at a time; sums that are worked out at a time; places of a column in a run
 
 
 def _passing(b: Benchmark, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -214,15 +237,13 @@ def normal_product(encoded: DataFrame, b: Benchmark, test: np.ndarray) -> tuple[
         for batch in batches:
             for _, ids, ends in chunks(batch.column(0)):
                 for _, start, end, norm in _passing(own, ids, ends):
-                    z = _rows(own, ids, start, end, o)
+                    column, weight = _padded(own, ids, start, end)
+                    z = _products(weight, column, o)
                     around += z.T @ z
                     n += len(z)
                     z /= (norm**2)[:, None].astype(np.float32)  # rows of unit length, twice
-                    row, column, weight = _terms(own, ids, start, end)
-                    order = np.argsort(column, kind="stable")
-                    row, column, weight = row[order], column[order], weight[order]
-                    first = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
-                    y[column[first]] += np.add.reduceat(z[row] * weight[:, None], first, axis=0)
+                    at, sums = _turned(column, weight, z)
+                    y[at] += sums
         if n:
             parts = [*(y[i : i + PART] for i in range(0, size, PART)), np.concatenate([around, np.full((1, k), n)])]
             numbers = [*range(len(parts) - 1), -1]
@@ -313,8 +334,14 @@ class Judge:
         self.tails = [x[-max(3, math.ceil(len(x) / 4)) :] for x in b.items]
         self.tail_places = [_places(x) for x in self.tails]
         self.weights = [b.weight[x].sum() for x in b.items]
+        self.size = np.array([len(x) for x in b.items])
+        # Bits of the places of each item at which a word (by slot) stands; long items have several places to a bit.
+        self.fold = -(-self.size // BITS)
+        self.bits = np.zeros((len(b.items), SLOTS), dtype=np.uint64)
+        for k, x in enumerate(b.items):
+            np.bitwise_or.at(self.bits[k], x % SLOTS, np.uint64(1) << (np.arange(len(x)) // self.fold[k]).astype(np.uint64))
         self.level = np.full(len(b.passages), COSINE) if b.level is None else b.level
-        self.step = max(32, min(PIECE, PRODUCTS // max(1, len(b.passages))))
+        self.step = max(32, min(PIECE, PRODUCTS // max(1, len(self.level))))
 
     def candidates(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Text, item, first word and cosine of the passages near an item in the latent space."""
@@ -332,16 +359,37 @@ class Judge:
             by = np.lexsort((-near, b.item_of[passage], row))
             row, item, near = row[by], b.item_of[passage[by]], near[by]
             best = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])] if len(row) else np.zeros(0, dtype=bool)
-            yield text[i + row[best]], item[best], start[i + row[best]], near[best]
+            at = i + row[best]
+            kept = self.enough(ids, ends, text[at], item[best], start[at], near[best])
+            yield text[at[kept]], item[best][kept], start[at[kept]], near[best][kept]
+
+    def around(self, ends: np.ndarray, text: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the words that a candidate is checked in: its passage and an item's length on either side."""
+        return np.maximum(ends[text], start - self.size[item]), np.minimum(ends[text + 1], start + WIDTH + self.size[item])
+
+    def enough(self, ids: np.ndarray, ends: np.ndarray, text: np.ndarray, item: np.ndarray, start: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Candidates around which words of so many places of the item occur that its common subsequence can be long enough."""
+        low, high = self.around(ends, text, item, start)
+        least = np.where(self.size[item] < SHORT, 1.0, np.where(near >= PARAPHRASE, LCS_PARAPHRASE, LCS)) * self.size[item] / self.fold[item] - 1e-9
+        kept, first = np.zeros(len(text), dtype=bool), 0
+        total = np.cumsum(high - low)
+        while first < len(text):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + AROUND, side="right")))
+            length = (high - low)[first:last]
+            begin = np.cumsum(length) - length
+            word = ids[np.repeat(low[first:last] - begin, length) + np.arange(int(length.sum()))]
+            bits = np.where(word >= 0, self.bits[np.repeat(item[first:last], length), word % SLOTS], np.uint64(0))
+            kept[first:last] = np.bitwise_count(np.bitwise_or.reduceat(bits, begin)) >= least[first:last]
+            first = last
+        return np.flatnonzero(kept)
 
     def found(self, packed: pa.Array) -> Iterator[tuple[int, int, float, float, float, int]]:
         """Text, item, cosine, LCS share, answer share and first word of the passage, the best of each text and item."""
         for first, ids, ends in chunks(packed):
             best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
             for texts, items, starts, cosines in self.candidates(ids, ends):
-                for text, item, start, cosine in zip(texts.tolist(), items.tolist(), starts.tolist(), cosines.tolist()):
-                    n = len(self.b.items[item])
-                    lo, hi = max(int(ends[text]), start - n), min(int(ends[text + 1]), start + WIDTH + n)
+                low, high = self.around(ends, texts, items, starts)
+                for text, item, start, cosine, lo, hi in zip(*(x.tolist() for x in (texts, items, starts, cosines, low, high))):
                     got = self.verify(item, ids[lo:hi].tolist(), cosine)
                     if got and ((text, item) not in best or (got[0], cosine) > (best[text, item][1], best[text, item][0])):
                         best[text, item] = (cosine, *got, start - int(ends[text]))
@@ -358,7 +406,7 @@ class Judge:
         if share < LCS and not paraphrase:
             return None
         answer = lcs_length(self.tail_places[item], len(self.tails[item]), words) / len(self.tails[item])
-        if paraphrase and answer >= ANSWER:
+        if paraphrase and answer >= ANSWER_PARAPHRASE:
             return share, answer
         if share < LCS:
             return None
