@@ -63,7 +63,7 @@ def test_features(spark):
     assert ("i.foo", 20) in ids and ("i.bar", 20) in ids and ("i.http", 10) in ids
     assert sorted(r["weight"] for r in features.literals(items, 1).collect()) == [1, 2]
     words = spark.createDataFrame([("d", "a b c d e")], "doc string, text string")
-    assert {r["feature"] for r in features.sequences(words, 1, 3, 2).collect()} == {"s.a>b>c", "s.c>d>e"}
+    assert {r["feature"] for r in features.sequences(words, 1, (3,), 2).collect()} == {"s.a>b>c", "s.c>d>e"}
 
 
 def test_graphlets(spark):

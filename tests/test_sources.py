@@ -1,12 +1,14 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from twinsift.cli import main
 from twinsift.config import FILE, FUNC, mode
-from twinsift.operators import report
+from twinsift.operators import communities, features, report
 from twinsift.plans import engine
 from twinsift.sources import files as sources
-from twinsift.sources import pages
+from twinsift.sources import pages, trees
 from twinsift.sources.store import NotEmptyError, Store
 from twinsift.streaming.ingest import ingest
 
@@ -27,9 +29,10 @@ def test_filters(spark):
     assert kept.count() == 7
     assert sources.similarity_candidates(kept, FILE.min_size).count() == 4
     assert {r["reason"]: r["files"] for r in sources.skip_report(files.where("content is not null"), 500).collect()} == {"processed": 5, "small": 1, "empty": 1, "no language": 1}
-    binary = spark.createDataFrame([(bytearray(b"a\x00b"), "x"), (bytearray(b"\x10\x01"), "y")], "content binary, path string")
+    cases = [(b"a\x00b", "x"), (b"\x10\x01", "y"), (b"p\x00", "x2"), (b"\x10\x01\x00", "x3"), (b"\xff\xfe\xe9\x00", "x4"), (b"a" * 8000 + b"\x00", "y2"), (b"", "y3"), (b"\xe9" * 9, "y4")]
+    binary = spark.createDataFrame([(bytearray(c), p) for c, p in cases], "content binary, path string")
     got = sources._with_facts(binary.withColumns({"repository_id": F.lit("r"), "commit_hash": F.lit("c"), "lang": F.lit("en")})).collect()
-    assert {r["path"]: r["is_binary"] for r in got} == {"x": True, "y": False}
+    assert {r["path"]: r["is_binary"] for r in got} == {p: p[0] == "x" for _, p in cases}
 
 
 def test_size_limit_is_strict(spark):
@@ -37,6 +40,59 @@ def test_size_limit_is_strict(spark):
     assert [r["content_size"] for r in sources.similarity_candidates(sources.from_documents(docs), 500).collect()] == [501]
 
 
+def test_repositories_are_named_by_the_first_level_below_the_root(spark, tmp_path):
+    for root in ("git/git", "c++", "a.b[1]"):
+        for repo in ("repoA", "git"):
+            at = tmp_path / root / repo / "git" / "sub"
+            at.mkdir(parents=True)
+            (at / "x.py").write_text("x = 1\n")
+        found = sources.from_folder(spark, str(tmp_path / root) + "/" * (root == "c++")) if "[" not in root else None
+        if found is not None:
+            assert {(r["repository_id"], r["path"], r["lang"]) for r in found.collect()} == {("repoA", "git/sub/x.py", "Python"), ("git", "git/sub/x.py", "Python")}
+
+
+PYTHON = {
+    "two.py": ("def A(): pass\ndef B(): pass\n", [("A", 1), ("B", 2)]),
+    "nested.py": ("def A():\n    def a(): pass\ndef B(): pass\n", [("A", 1), ("B", 3)]),
+    "inner.py": ("class A:\n    def a(self):\n        class B:\n            def b(self):\n                pass\n", [("a", 2)]),
+    "broken.py": ("def A(:\n", []),
+    "empty.py": ("", []),
+    "decorated.py": ("@x\nasync def f():\n    return 1\n", [("f", 2)]),
+}
+
+
+def test_functions_of_python_files(spark):
+    """Outermost functions only, whatever classes they lie in; files that do not parse are named and stop nothing."""
+    files = spark.createDataFrame([(n, bytearray(t.encode()), "r", "c", n) for n, (t, _) in PYTHON.items()] + [("none", None, "r", "c", "n"), ("latin", bytearray(b"# \xe9\ndef g(): pass\n"), "r", "c", "l")], "blob_id string, content binary, repository_id string, commit_hash string, path string")
+    got = {}
+    for r in features.function_items(files).collect():
+        got.setdefault(r["blob_id"], []).append((r["fn_name"], r["fn_line"]))
+        assert r["doc"] == f"{r['blob_id']}_{r['fn_name']}:{r['fn_line']}" and "def " in r["text"]
+    assert {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()} == {n: f for n, (_, f) in PYTHON.items() if f} | {"latin": [("g", 2)]}
+    nodes = trees.python_nodes(files)
+    assert [r["blob_id"] for r in nodes.where("error is not null").collect()] == ["broken.py"]
+    inside = trees.item_nodes(nodes, functions=True).where("doc = 'inner.py_a:2'").collect()
+    assert sum(r["parent_id"] is None for r in inside) == 1 and "ClassDef" in {r["internal_type"] for r in inside}
+
+
+def test_items_with_trees_have_graphlets_and_node_sequences(spark):
+    items = spark.createDataFrame([("d", "def f(): return 1"), ("e", "one two three four")], "doc string, text string")
+    nodes = spark.createDataFrame([("d", 0, None, "FunctionDef"), ("d", 1, 0, "arguments"), ("d", 2, 0, "Return"), ("d", 3, 2, "Constant")], "doc string, node_id long, parent_id long, internal_type string")
+    got = {(r["doc"], r["feature"]): r["weight"] for r in features.extract(items, FUNC, nodes).collect()}
+    assert got["d", "g.None_FunctionDef_Return_arguments"] == FUNC.graphlet and got["d", "s.FunctionDef>arguments>Return"] == FUNC.sequences
+    assert got["e", "s.one>two>three"] == FUNC.sequences and not any(d == "d" and f.startswith("s.def") for d, f in got)
+    assert {f for d, f in got if d == "e"} == {"i.one", "i.two", "i.three", "i.four", "s.one>two>three", "s.two>three>four"}
+
+
+def test_a_table_that_cannot_be_read_is_no_empty_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert store.read("meta").isEmpty()
+    (tmp_path / "hashes" / "meta").mkdir(parents=True)
+    (tmp_path / "hashes" / "meta" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        store.read("meta").isEmpty()
+
+
 def test_unique_repositories_prefer_remote(spark):
     heads = spark.createDataFrame([("file:///x", "h"), ("github.com/b", "h"), ("github.com/a", "h"), ("file:///y", "g")], "repository_id string, hash string")
     assert {r["hash"]: r["repository_id"] for r in sources.unique_repositories(heads).collect()} == {"h": "github.com/a", "g": "file:///y"}
@@ -75,8 +131,12 @@ def test_hash_query_report(spark, tmp_path, of):
     paths = {r["path"] for r in similar.collect()}
     assert "docs/3.txt" in paths or of is FUNC
     assert ("docs/1.txt" in paths) == (of is FUNC)  # file mode leaves equal contents out
-    groups = engine.report_groups(store, of).collect()
-    assert all(r["community"] <= r["element"] for r in groups)
+    components, groups = engine.report_groups(store, of)
+    assert all(r["community"] <= r["element"] for r in groups.collect())
+    places = engine.report_places(groups, store, of)
+    assert {"repo: r1 commit: " in r["item"] or "repo: r" in r["item"] for r in places.collect()} <= {True}
+    store.save_groups(components, groups, of.name)
+    assert store.read(f"communities_{of.name}").count() == groups.count()
     store.clean(of.name)
     assert store.is_empty(of.name) and store.read("meta").count() == 7
     store.drop()
@@ -102,15 +162,54 @@ def test_stream_adds_what_is_new(spark, tmp_path):
     assert store.bands("file").count() == before + FILE.tables
 
 
-def test_cli(spark, tmp_path, capsys):
-    for repo, name, text in (("a", "x.py", "value = 1\n" * 80), ("b", "y.py", "value = 1\n" * 80), ("b", "z.py", "other = 2\n" * 90)):
+def test_communities_reject_what_they_do_not_know(spark):
+    none = spark.createDataFrame([], "doc string, hashtable int, value string, weight long")
+    parts = spark.createDataFrame([], "node string, component string")
+    with pytest.raises(ValueError, match="edges"):
+        communities.communities(none, parts, edges="cubic")
+    with pytest.raises(ValueError, match="algorithm"):
+        communities.communities(none, parts, algorithm="other")
+    linear = spark.createDataFrame([("a", 0, "v", 3), ("b", 0, "v", 3), ("c", 0, "v", 3)], "doc string, hashtable int, value string, weight long")
+    of = spark.createDataFrame([(d, "a") for d in "abc"], "node string, component string")
+    for algorithm in ("walktrap", "labels"):
+        for edges in ("linear", "quadratic"):
+            found = {(r["community"], r["element"]) for r in communities.communities(linear, of, algorithm, edges).collect()}
+            assert {e for _, e in found} == set("abc") and all(c <= e for c, e in found)
+            assert (algorithm, edges) == ("labels", "quadratic") or {c for c, _ in found} == {"a"}  # pairs tie: labels need not agree
+
+
+FUNCTION = "def {name}(values, start):\n" + "".join(f"    step_{k} = [value * {k} for value in values if value > start]\n" for k in range(12)) + "    return step_1\n"
+
+
+def test_cli(spark, tmp_path, capsys, monkeypatch):
+    other = "class Other:\n" + "".join(f"    def part{k}(self):\n        yield {{'{k}': self.part{k - 1}(), 'x': lambda: {k}}}\n" for k in range(1, 30))
+    texts = [("a", "x.py", FUNCTION.format(name="first")), ("b", "y.py", FUNCTION.format(name="first")), ("b", "z.py", FUNCTION.format(name="first") + "\n\ndef late():\n    pass\n"), ("b", "o.py", other)]
+    texts += [("c", f"f{i}.py", "".join(f"def g{i}_{k}():\n    while x{i}{k}:\n        assert y{i}{k} or z{k}{i}\n" for k in range(20))) for i in range(8)]
+    for repo, name, text in texts:
         (tmp_path / "in" / repo).mkdir(parents=True, exist_ok=True)
         (tmp_path / "in" / repo / name).write_text(text)
-    store = ["--store", str(tmp_path / "store")]
-    assert main(["hash", str(tmp_path / "in"), *store], spark) == 0
-    assert main(["hash", str(tmp_path / "in"), *store], spark) == 2
-    assert main(["query", str(tmp_path / "in"), *store], spark) == 0
-    assert "duplicate repo: a" in capsys.readouterr().out
-    assert main(["report", *store], spark) == 0
-    assert "(2 duplicates)" in capsys.readouterr().out
-    assert main(["report", "--output-format", "json", *store], spark) == 0
+    (tmp_path / "in" / "a" / "latin.py").write_bytes(b"# caf\xe9\n" + b"number = 1\n" * 80)
+    (tmp_path / "in" / "a" / "broken.py").write_text("def broken(:\n" + "number = 2\n" * 80)
+    for of in ("file", "func"):
+        store = ["--store", str(tmp_path / "store"), "--mode", of]
+        model = str(tmp_path / f"{of}.json")
+        assert main(["hash", str(tmp_path / "in"), "--docfreq-file", model, *store], spark) == 0
+        assert "a\n  b\n  c\n" in capsys.readouterr().out
+        assert main(["hash", str(tmp_path / "in"), *store], spark) == 2
+        assert main(["query", str(tmp_path / "in" / "a"), "--docfreq-file", model, *store], spark) == 0
+        out = capsys.readouterr().out
+        assert "duplicate repo: a" in out and ("path: z.py" in out if of == "file" else " function: first line: 1" in out)
+        assert main(["report", *store, "-o", "--group-by"], spark) == 0
+        out = capsys.readouterr().out
+        assert "(2 duplicates)" in out and " similar)" in out and "path: z.py" in out
+        assert main(["report", "--output-format", "json", *store], spark) == 0
+        found = json.loads(capsys.readouterr().out)
+        assert {d["count"] for d in found["duplicates"]} == {2} and any("z.py" in s["item"] for s in found["similarities"])
+    # One function asks: its own line and name, and no other.
+    one = ["--store", str(tmp_path / "store"), "--mode", "func"]
+    assert main(["query", str(tmp_path / "in" / "b" / "z.py") + ":first:1", *one], spark) == 0
+    lines = [x for x in capsys.readouterr().out.splitlines() if x.startswith("similar")]
+    assert lines and all("_first:1 " in x for x in lines)
+    assert main(["query", str(tmp_path / "in" / "b" / "z.py") + ":first:2", *one], spark) == 0
+    assert not [x for x in capsys.readouterr().out.splitlines() if x.startswith("similar")]
+    assert main(["query", str(tmp_path / "in" / "b" / "z.py") + ":first:1", "--store", str(tmp_path / "store")], spark) == 2

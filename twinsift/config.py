@@ -16,7 +16,7 @@ class Mode:
     graphlet: int
     literals: int | None
     sequences: int | None
-    sequence_length: int = 3
+    sequence_lengths: tuple[int, ...] = (3,)
     sequence_stride: int = 1
     min_size: int | None = None
 

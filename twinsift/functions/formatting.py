@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+QUERY_PATH = re.compile(r"(.+):(.+):([0-9]+)", re.S)  # path:function:line, for a single path
+
 
 def format_url(repo: Column, commit: Column, path: Column) -> Column:
     """A link to a file at its host where the host is known, else its three parts."""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.lineage import cut
+from twinsift.operators.lsh import quadratic_edges
 
 STEPS = 4
 MOST = 3000
@@ -80,16 +81,28 @@ def walktrap(n: int, edges: list[tuple[int, int, float]], steps: int = STEPS) ->
     return owner
 
 
-def communities(linear: DataFrame, components: DataFrame) -> DataFrame:
+def communities(linear: DataFrame, components: DataFrame, algorithm: str = "walktrap", edges: str = "linear") -> DataFrame:
     """``community, element`` from linear edges (doc, hashtable, value, weight) and components (node, component).
 
     A community is named by its smallest element; communities of one element are kept here and left out of reports.
+    ``algorithm``: "walktrap", which leaves components of over ``MOST`` vertices to label propagation, or "labels", which
+    is label propagation at every size.  ``edges``: "linear" (elements and buckets) or "quadratic" (pairs of elements in
+    a bucket, which grow with its square; each pair stands for a bucket of two).
     """
-    edges = linear.join(components.withColumnRenamed("node", "doc"), "doc").select("component", "doc", F.concat_ws(":", "hashtable", "value").alias("bucket"), "weight")
-    edges = cut(edges)
-    sizes = edges.groupBy("component").agg(F.countDistinct("doc").alias("elements"), F.countDistinct("doc").alias("d"), F.countDistinct("bucket").alias("b"))
+    if algorithm not in ("walktrap", "labels"):
+        raise ValueError(f"unknown algorithm {algorithm!r}: walktrap or labels")
+    if edges not in ("linear", "quadratic"):
+        raise ValueError(f"unknown edges {edges!r}: linear or quadratic")
+    most = MOST if algorithm == "walktrap" else 0
+    if edges == "quadratic":
+        ends = quadratic_edges(linear).select(F.explode(F.array("a", "b")).alias("doc"), F.concat_ws("|", "a", "b").alias("value"), F.col("bands").alias("weight"))
+        linear = ends.withColumn("hashtable", F.lit(0))
+    placed = linear.join(components.withColumnRenamed("node", "doc"), "doc").select("component", "doc", F.concat_ws(":", "hashtable", "value").alias("bucket"), "weight")
+    placed = cut(placed)
+    sizes = placed.groupBy("component").agg(F.countDistinct("doc").alias("elements"), F.countDistinct("doc").alias("d"), F.countDistinct("bucket").alias("b"))
     sizes = cut(sizes.select("component", "elements", (F.col("d") + F.col("b")).alias("vertices")))
-    placed = edges.join(sizes, "component")
+    kind = placed.schema["doc"].dataType.simpleString()
+    placed = placed.join(sizes, "component")
     tiny = placed.where("elements <= 2").select(F.col("component").alias("community"), F.col("doc").alias("element")).distinct()
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,10 +114,9 @@ def communities(linear: DataFrame, components: DataFrame) -> DataFrame:
             first.setdefault(found[at[d]], d)
         return pd.DataFrame({"community": [first[found[at[d]]] for d in docs], "element": docs})
 
-    kind = edges.schema["doc"].dataType.simpleString()
-    middle = placed.where((F.col("elements") > 2) & (F.col("vertices") <= MOST)).select("component", "doc", "bucket", "weight")
+    middle = placed.where((F.col("elements") > 2) & (F.col("vertices") <= most)).select("component", "doc", "bucket", "weight")
     middle = middle.groupBy("component").applyInPandas(split, f"community {kind}, element {kind}")
-    large = cut(placed.where((F.col("elements") > 2) & (F.col("vertices") > MOST)).select("doc", "bucket", "weight"))
+    large = cut(placed.where((F.col("elements") > 2) & (F.col("vertices") > most)).select("doc", "bucket", "weight"))
     out = tiny.unionByName(middle)
     return out if large.isEmpty() else out.unionByName(_propagate(large))
 

@@ -33,8 +33,10 @@ def log_tf_log_idf(tf: Column, df: Column, docs: Column, idf: str = "integer") -
 
 def bags(features: DataFrame, freq: DataFrame, docs: DataFrame, idf: str = "integer") -> DataFrame:
     """``doc, feature, value`` with value > 0: features without a known frequency and zero weights are left out."""
-    known = term_freq(features).join(freq, "feature")
     n = F.lit(docs.first()["docs"])
+    # Features whose quotient is 1 are worth nothing: they go before the join, not after.
+    worth = freq.where(F.floor(n / F.col("df")) > 1 if idf == "integer" else F.col("df") < n)
+    known = term_freq(features).join(worth, "feature")
     return known.select("doc", "feature", log_tf_log_idf(F.col("tf"), F.col("df"), n, idf).alias("value")).where("value > 0")
 
 
@@ -44,10 +46,13 @@ def vocabulary(freq: DataFrame, per_range: int = 200_000) -> DataFrame:
 
 
 def write_json(docs: DataFrame, freq: DataFrame, path: str) -> None:
-    """Small models as one JSON object: docs, sorted tokens, df."""
-    rows = freq.orderBy("feature").collect()
+    """A model as one JSON object: docs, sorted tokens, df.  The rows stream through the driver, which holds a token at a time."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({"docs": docs.first()["docs"], "tokens": [r["feature"] for r in rows], "df": {r["feature"]: r["df"] for r in rows}}, f, ensure_ascii=False)
+        for key, form in (("tokens", lambda r: json.dumps(r["feature"], ensure_ascii=False)), ("df", lambda r: f"{json.dumps(r['feature'], ensure_ascii=False)}: {r['df']}")):
+            f.write(f'{{"docs": {docs.first()["docs"]}, "tokens": [' if key == "tokens" else '], "df": {')
+            for i, r in enumerate(freq.orderBy("feature").toLocalIterator()):
+                f.write((", " if i else "") + form(r))
+        f.write("}}")
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.config import MAX_FEATURE, Mode
+from twinsift.sources import trees
+from twinsift.sources.files import text_of
 
 IDENTIFIER = "[A-Z]?[a-z]+|[A-Z]+"
 LITERAL = r'[0-9]+(?:\.[0-9]+)?|"[^"\n]*"'
@@ -30,13 +32,26 @@ def literals(items: DataFrame, weight: int = 1) -> DataFrame:
     return _bag(items, F.transform(found, lambda p: F.concat(F.lit("l."), F.substring(F.md5(p), 1, 16))), weight)
 
 
-def sequences(items: DataFrame, weight: int = 1, length: int = 3, stride: int = 1) -> DataFrame:
-    """``s.`` and runs of ``length`` words joined by ``>``, one run every ``stride`` words."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    split = items.select("doc", words.alias("w")).where(F.size("w") >= length)
-    starts = F.sequence(F.lit(1), F.size("w") - length + 1, F.lit(stride))
-    runs = F.transform(starts, lambda i: F.concat(F.lit("s."), F.array_join(F.slice("w", i, length), ">")))
-    return _bag(split, runs, weight)
+def _runs(rows: DataFrame, weight: int, lengths: tuple[int, ...], stride: int) -> DataFrame:
+    """Runs of the array ``w`` of each doc, of every length, one every ``stride`` places."""
+
+    def of_length(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit("s."), F.array_join(F.slice("w", i, n), ">")))
+
+    found = [of_length(n) for n in lengths]
+    return _bag(rows.where(F.size("w") >= min(lengths)), F.concat(*found), weight)
+
+
+def sequences(items: DataFrame, weight: int = 1, lengths: tuple[int, ...] = (3,), stride: int = 1) -> DataFrame:
+    """``s.`` and runs of words joined by ``>``, one run every ``stride`` words, for items that have no tree."""
+    return _runs(items.select("doc", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")), weight, lengths, stride)
+
+
+def tree_sequences(nodes: DataFrame, weight: int = 1, lengths: tuple[int, ...] = (3,), stride: int = 1) -> DataFrame:
+    """``s.`` and runs of node types joined by ``>``, in the order in which a walk down the tree meets them."""
+    walked = nodes.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "internal_type"))), lambda n: n["internal_type"]).alias("w"))
+    return _runs(walked, weight, lengths, stride)
 
 
 def graphlets(nodes: DataFrame, weight: int = 1) -> DataFrame:
@@ -53,27 +68,47 @@ def graphlets(nodes: DataFrame, weight: int = 1) -> DataFrame:
 EXTRACTORS: dict[str, Callable[[DataFrame, Mode], DataFrame | None]] = {
     "identifiers": lambda items, m: identifiers(items, m.identifiers),
     "literals": lambda items, m: None if m.literals is None else literals(items, m.literals),
-    "sequences": lambda items, m: None if m.sequences is None else sequences(items, m.sequences, m.sequence_length, m.sequence_stride),
+    "sequences": lambda items, m: None if m.sequences is None else sequences(items, m.sequences, m.sequence_lengths, m.sequence_stride),
 }
 
 
-def extract(items: DataFrame, mode: Mode) -> DataFrame:
-    """All features of ``items`` in a mode; names of different extractors never meet."""
-    found = [f for f in (e(items, mode) for e in EXTRACTORS.values()) if f is not None]
-    out = found[0]
-    for f in found[1:]:
+#: Extractors of items that have a tree: each takes (nodes, mode), nodes as ``doc, node_id, parent_id, internal_type``.
+TREE_EXTRACTORS: dict[str, Callable[[DataFrame, Mode], DataFrame | None]] = {
+    "graphlets": lambda nodes, m: graphlets(nodes, m.graphlet),
+    "sequences": lambda nodes, m: None if m.sequences is None else tree_sequences(nodes, m.sequences, m.sequence_lengths, m.sequence_stride),
+}
+
+
+def extract(items: DataFrame, mode: Mode, nodes: DataFrame | None = None) -> DataFrame:
+    """All features of ``items`` in a mode; names of different extractors never meet.
+
+    Items with a tree (their doc occurs in ``nodes``) have graphlets, and sequences of node types in place of words.
+    """
+    plain = items if nodes is None else items.join(nodes.select("doc").distinct(), "doc", "left_anti")
+    found = [e(plain if name == "sequences" else items, mode) for name, e in EXTRACTORS.items()]
+    found += [] if nodes is None else [e(nodes, mode) for e in TREE_EXTRACTORS.values()]
+    parts = [f for f in found if f is not None]
+    out = parts[0]
+    for f in parts[1:]:
         out = out.unionByName(f)
     return out
 
 
 def line_items(files: DataFrame) -> DataFrame:
-    """Functions of a plain text: its non-empty lines, named by their first word; doc is ``blob_name:line``."""
-    lines = files.select("repository_id", "commit_hash", "path", "blob_id", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n", -1)).alias("i", "text"))
+    """Items in function mode of a text that has no functions: its lines with a word, named by their first; doc is ``blob_name:line``."""
+    lines = files.select("repository_id", "commit_hash", "path", "blob_id", F.posexplode(F.split(text_of(), "\n", -1)).alias("i", "text"))
     named = lines.where(F.col("text").rlike("[a-z]")).withColumn("fn_line", (F.col("i") + 1).cast("int"))
     name = F.regexp_extract(F.lower("text"), "[a-z]+", 0)
     return named.select("repository_id", "commit_hash", "path", "blob_id", name.alias("fn_name"), "fn_line", "text",
-                        F.concat("blob_id", F.lit("_"), name, F.lit(":"), F.col("fn_line").cast("string")).alias("doc"))
+                        trees.function_doc(F.col("blob_id"), name, F.col("fn_line")).alias("doc"))
+
+
+def function_items(files: DataFrame) -> DataFrame:
+    """Items in function mode of Python files: their outermost functions; doc is ``blob_name:line``."""
+    found = trees.functions_of(files).join(files.select("repository_id", "commit_hash", "path", "blob_id"), "blob_id")
+    return found.select("repository_id", "commit_hash", "path", "blob_id", "fn_name", "fn_line", "text",
+                        trees.function_doc(F.col("blob_id"), F.col("fn_name"), F.col("fn_line")).alias("doc"))
 
 
 def file_items(files: DataFrame) -> DataFrame:
-    return files.select("repository_id", "commit_hash", "path", "blob_id", F.decode("content", "UTF-8").alias("text"), F.col("blob_id").alias("doc"))
+    return files.select("repository_id", "commit_hash", "path", "blob_id", text_of().alias("text"), F.col("blob_id").alias("doc"))

@@ -57,11 +57,29 @@ def duplicate_text(duplicates: DataFrame) -> DataFrame:
 
 
 def duplicate_json(duplicates: DataFrame) -> DataFrame:
-    """A JSON object per duplicate content: its sha1, the number of copies and the places in order."""
+    """A JSON object per duplicate content: its sha1, the number of copies and the places in order, for contents of few places."""
     rows = duplicates.withColumn("url", format_url(F.col("repo"), F.col("commit"), F.col("path")))
     return rows.groupBy("sha1").agg(F.to_json(F.struct(F.first("sha1").alias("sha"), F.first("n").alias("count"), F.sort_array(F.collect_list("url")).alias("files"))).alias("json"))
 
 
+def place_json(duplicates: DataFrame) -> DataFrame:
+    """A JSON object per place of a duplicate content: a content that any share of the files holds is never gathered in one row."""
+    url = format_url(F.col("repo"), F.col("commit"), F.col("path"))
+    return duplicates.select("sha1", F.to_json(F.struct(F.col("sha1").alias("sha"), F.col("n").alias("count"), url.alias("file"))).alias("json"))
+
+
+def group_text(places: DataFrame) -> DataFrame:
+    """One line per community of similar items, and one per place: ``community, kind, line``."""
+    sizes = places.groupBy("community").agg(F.count("*").alias("n"))
+    head = sizes.select("community", F.lit(0).alias("kind"), F.concat("community", F.lit(" ("), F.col("n").cast("string"), F.lit(" similar)")).alias("line"))
+    return head.unionByName(places.select("community", F.lit(1).alias("kind"), F.concat(F.lit("  "), "item").alias("line")))
+
+
+def group_json(places: DataFrame) -> DataFrame:
+    """A JSON object per place of a member of a community of similar items."""
+    return places.select("community", F.to_json(F.struct("community", "item")).alias("json"))
+
+
 def duplicate_projects(meta: DataFrame) -> DataFrame:
     """Extension: repositories all of whose contents occur in other repositories too."""
     homes = meta.select("repo", "sha1").distinct()

@@ -56,7 +56,9 @@ def signatures(bags: DataFrame, samples: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
         for batch in batches:
-            found = [signature_of(np.array(x, dtype=np.int64), np.array(v), a, b) for x, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            ends, x, v = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy()
+            at = batch.column(2).offsets.to_numpy()[0] - ends[0]  # the bags of a batch may begin at other places of the two columns
+            found = [signature_of(x[i:j], v[i + at : j + at], a, b) for i, j in zip(ends[:-1], ends[1:])]
             yield pa.record_batch([batch.column(0), pa.array([k for k, _ in found], kind), pa.array([t for _, t in found], kind)], ["doc", "ks", "ts"])
 
     return packed.mapInArrow(run, f"doc {bags.schema['doc'].dataType.simpleString()}, ks array<long>, ts array<long>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,34 @@ from twinsift.lineage import cut
 from twinsift.operators import communities, docfreq, features, lsh, report, wmh
 from twinsift.operators.components import connected_components
 from twinsift.sources import files as sources
+from twinsift.sources import trees
 from twinsift.sources.store import Store
 
+log = logging.getLogger(__name__)
+
+
+def chosen_files(files: DataFrame, mode: Mode) -> DataFrame:
+    return sources.similarity_candidates(sources.readable(files), mode.min_size)
+
 
 def items_of(files: DataFrame, mode: Mode) -> DataFrame:
-    """The items a mode hashes: ``repository_id, commit_hash, path, blob_id, fn_name, fn_line, text, doc``."""
-    chosen = sources.similarity_candidates(sources.readable(files), mode.min_size)
+    """The items a mode hashes: ``repository_id, commit_hash, path, blob_id, fn_name, fn_line, text, doc``.
+
+    In function mode these are the functions of Python files, and the lines of texts in languages without a parser.
+    """
+    chosen = chosen_files(files, mode)
     if mode.name == "func":
-        return features.line_items(chosen)
+        parsed = F.col("lang") == trees.LANGUAGE
+        return features.line_items(chosen.where(~parsed)).unionByName(features.function_items(chosen.where(parsed)))
     return features.file_items(chosen).withColumns({"fn_name": F.lit(None).cast("string"), "fn_line": F.lit(None).cast("int")})
 
 
+def features_of(files: DataFrame, items: DataFrame, mode: Mode) -> DataFrame:
+    """Features of the items of ``files``, those of their trees included; parsed nodes are read several times and cut."""
+    nodes = cut(trees.python_nodes(chosen_files(files, mode).where(F.col("lang") == trees.LANGUAGE)))
+    return features.extract(items, mode, trees.item_nodes(nodes, mode.name == "func"))
+
+
 def bands_of(bags: DataFrame, mode: Mode) -> DataFrame:
     return wmh.bands(wmh.signatures(bags, mode.samples), mode.tables, mode.band)
 
@@ -29,34 +48,52 @@ def bands_of(bags: DataFrame, mode: Mode) -> DataFrame:
 def hash_files(files: DataFrame, store: Store, mode: Mode, replace: bool = False) -> None:
     store.ready_for(mode.name, replace)
     items = items_of(files, mode)
-    found = cut(features.extract(items, mode))
+    found = cut(features_of(files, items, mode))
     docs, freq = docfreq.count_docs(items), docfreq.doc_freq(found)
     store.save_meta(sources.meta(sources.readable(files)))
     store.save_docfreq(docs, freq, mode.name)
     store.save_bands(bands_of(docfreq.bags(found, freq, docs), mode), mode.name)
 
 
-def query_files(files: DataFrame, store: Store, mode: Mode) -> tuple[DataFrame, DataFrame]:
-    """Duplicates (by content, whatever the filters) and similar items of a batch of query files."""
+def items_in_store(docs: DataFrame, mode: Mode) -> DataFrame:
+    """``doc, blob_id, fn_name, fn_line`` of stored items (column doc), read off their names."""
+    part, of_func = split_func_item(F.col("doc")), F.lit(mode.name == "func")
+    return docs.select(
+        "doc", F.when(of_func, part["sha"]).otherwise(F.col("doc")).alias("blob_id"),
+        F.when(of_func, part["fn_name"]).alias("fn_name"), F.when(of_func, part["fn_line"]).alias("fn_line"),
+    )
+
+
+def query_files(files: DataFrame, store: Store, mode: Mode, function: tuple[str, int] | None = None, model: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Duplicates (by content, whatever the filters) and similar items of a batch of query files.
+
+    ``function``: only items of that name and line ask, in function mode.  ``model``: document frequencies (docs, freq)
+    in place of the store's; with neither there is no similarity query, and a warning.
+    """
     meta = store.read("meta")
     dup = report.find_by_hash(files.select(F.col("blob_id").alias("sha1")), meta)
-    items = items_of(files, mode)
-    model = store.docfreq(mode.name)
+    model = model or store.docfreq(mode.name)
     if model is None:
+        log.warning("no document frequencies of mode %s: similarity query skipped", mode.name)
         empty = "query_doc string, repo string, commit string, path string, sha1 string, fn_name string, fn_line int"
         return dup, store.spark.createDataFrame([], empty)
-    bands = bands_of(docfreq.bags(features.extract(items, mode), model[1], model[0]), mode)
+    items = items_of(files, mode)
+    if function is not None:
+        items = items.where((F.col("fn_name") == function[0]) & (F.col("fn_line") == function[1]))
+    found = features_of(files, items, mode).join(items.select("doc").distinct(), "doc", "left_semi")
+    bands = bands_of(docfreq.bags(found, model[1], model[0]), mode)
     found = lsh.candidates(bands, store.bands(mode.name))
-    part = split_func_item(F.col("doc"))
-    of_func = F.lit(mode.name == "func")
-    known = found.select("doc").distinct().select(
-        "doc", F.when(of_func, part["sha"]).otherwise(F.col("doc")).alias("blob_id"),
-        F.when(of_func, part["fn_name"]).alias("fn_name"), F.when(of_func, part["fn_line"]).alias("fn_line"),
-    )
+    known = items_in_store(found.select("doc").distinct(), mode)
     return dup, report.similar(found, known, meta, items, drop_equal=mode.name == "file")
 
 
-def report_groups(store: Store, mode: Mode) -> DataFrame:
-    """``community, element`` over the store's buckets."""
+def report_groups(store: Store, mode: Mode) -> tuple[DataFrame, DataFrame]:
+    """``node, component`` and ``community, element`` over the store's buckets."""
     members = cut(lsh.buckets(store.bands(mode.name)))
-    return communities.communities(lsh.linear_edges(members), connected_components(lsh.star_edges(members)))
+    components = cut(connected_components(lsh.star_edges(members)))
+    return components, communities.communities(lsh.linear_edges(members), components)
+
+
+def report_places(groups: DataFrame, store: Store, mode: Mode) -> DataFrame:
+    """Communities of over one element with the places of their elements, as links."""
+    return report.group_report(groups, items_in_store(groups.select(F.col("element").alias("doc")).distinct(), mode), store.read("meta"), per_content=mode.name == "func")

@@ -21,6 +21,7 @@ from twinsift.operators.components import connected_components as components_of
 from twinsift.plans import engine
 from twinsift.sources import files as sources
 from twinsift.sources import pages as page_source
+from twinsift.sources import trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -295,6 +296,36 @@ def func_items(spark, d):
     return _items(spark, d, FUNC).select("doc", "repository_id", "path", "fn_name", "fn_line")
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """A Python file for each part: a class with a method that holds another, a function, and, for some, a broken line."""
+    key, size = (F.col(c).cast("string") for c in ("p_partkey", "p_size"))
+    text = F.concat(F.lit("class Part"), key, F.lit(":\n    def total"), size, F.lit("(self):\n        def inner():\n            return "), size,
+                    F.lit("\n        return inner()\n\n\ndef name"), key, F.lit("(x):\n    return x\n"), F.when(F.col("p_partkey") % 10 == 0, F.lit("def broken(:\n")).otherwise(""))
+    return _table(spark, d, "part").select(F.concat(F.lit("b"), key).alias("blob_id"), F.lit("r").alias("repository_id"), F.lit("c").alias("commit_hash"),
+                                           F.concat(key, F.lit(".py")).alias("path"), F.encode(text, "UTF-8").alias("content"), F.lit("Python").alias("lang"))
+
+
+@query("""SELECT 'b' || p_partkey AS blob_id, fn_name, fn_line FROM (SELECT p_partkey, 'total' || p_size AS fn_name, 2 AS fn_line FROM part UNION ALL SELECT p_partkey, 'name' || p_partkey, 8 FROM part)
+    WHERE p_partkey % 10 <> 0""")
+def extract_functions(spark, d):
+    return features.function_items(_sources(spark, d)).select("blob_id", "fn_name", "fn_line")
+
+
+@query("""SELECT count(*) FILTER (p_partkey % 10 = 0) AS broken, count(*) FILTER (p_partkey % 10 <> 0) AS parsed FROM part""")
+def parse_errors(spark, d):
+    nodes = trees.python_nodes(_sources(spark, d))
+    return nodes.agg(F.count("error").alias("broken"), F.count(F.when(F.col("node_id") == 0, 1)).alias("parsed"))
+
+
+@query(f"""WITH t(feature, n) AS (VALUES ('g.None_Module_ClassDef_FunctionDef', 1), ('g.Module_ClassDef_FunctionDef', 1), ('g.ClassDef_FunctionDef_FunctionDef_Return_arguments', 1),
+        ('g.FunctionDef_arguments_arg', 2), ('g.arguments_arg', 2), ('g.FunctionDef_FunctionDef_Return_arguments', 1), ('g.FunctionDef_arguments', 1), ('g.FunctionDef_Return_Constant', 1),
+        ('g.Return_Constant', 1), ('g.FunctionDef_Return_Call', 1), ('g.Return_Call_Name', 1), ('g.Call_Name', 1), ('g.Module_FunctionDef_Return_arguments', 1), ('g.FunctionDef_Return_Name', 1), ('g.Return_Name', 1))
+    SELECT feature, 'b' || p_partkey AS doc, (n * {FILE.graphlet})::BIGINT AS weight FROM part, t WHERE p_partkey % 10 <> 0""")
+def graphlets_of_sources(spark, d):
+    nodes = cut(trees.python_nodes(_sources(spark, d)))
+    return features.graphlets(trees.item_nodes(nodes, functions=False), FILE.graphlet)
+
+
 # --- Frequencies and bags -----------------------------------------------------------------------------------------
 
 
@@ -343,7 +374,8 @@ def uint32_le_(spark, d):
 
 
 
-@query()
+@query(f"""SELECT threshold::DOUBLE AS threshold, samples, "tables", band FROM (VALUES (0.8, 128, 9, 13), ({FILE.threshold}, {FILE.samples}, {FILE.tables}, {FILE.band}),
+    ({FUNC.threshold}, {FUNC.samples}, {FUNC.tables}, {FUNC.band})) t(threshold, samples, "tables", band)""")
 def band_params(spark, d):
     cases = [(0.8, 128), (FILE.threshold, FILE.samples), (FUNC.threshold, FUNC.samples)]
     return spark.createDataFrame([(t, n, *lsh.band_parameters(t, n)) for t, n in cases], "threshold double, samples int, tables int, band int")

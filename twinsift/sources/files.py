@@ -13,7 +13,12 @@ from twinsift.functions.hashing import git_blob_sha1
 
 #: Paths that hold other people's code.
 VENDORED = r"(^|/)(vendor|node_modules|third_party|bower_components|dist)/|(^|/)\.git/|\.min\.js$"
-LANGUAGES = {"py": "Python", "go": "Go", "java": "Java", "js": "JavaScript", "scala": "Scala", "rb": "Ruby", "c": "C", "cpp": "C++", "rs": "Rust", "php": "PHP"}
+LANGUAGES = {
+    "py": "Python", "go": "Go", "java": "Java", "js": "JavaScript", "mjs": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript",
+    "scala": "Scala", "kt": "Kotlin", "rb": "Ruby", "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "hpp": "C++", "cs": "C#", "rs": "Rust", "php": "PHP",
+    "swift": "Swift", "m": "Objective-C", "sh": "Shell", "bash": "Shell", "pl": "Perl", "lua": "Lua", "r": "R", "jl": "Julia", "hs": "Haskell", "ml": "OCaml",
+    "clj": "Clojure", "ex": "Elixir", "erl": "Erlang", "sql": "SQL", "html": "HTML", "css": "CSS",
+}
 
 
 def _with_facts(files: DataFrame) -> DataFrame:
@@ -21,7 +26,7 @@ def _with_facts(files: DataFrame) -> DataFrame:
     return files.select(
         "repository_id", "commit_hash", "path", "content",
         git_blob_sha1(content).alias("blob_id"), F.octet_length(content).cast("long").alias("content_size"),
-        (F.locate("00", F.hex(F.substring(content, 1, 8000))) % 2 == 1).alias("is_binary"), "lang",
+        F.contains(F.substring(content, 1, 8000), F.unhex(F.lit("00"))).alias("is_binary"), "lang",
     )
 
 
@@ -36,8 +41,10 @@ def from_documents(documents: DataFrame) -> DataFrame:
 def from_folder(spark: SparkSession, root: str, commit: str = "") -> DataFrame:
     """All files below ``root``; its first level names the repository."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    tail = F.regexp_replace("path", "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
-    language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)]
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    tail = F.substring("path", len(whole.rstrip("/")) + 2, 1 << 30)  # a path begins with the root as the file system writes it
+    language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))]
     return _with_facts(raw.select(
         F.substring_index(tail, "/", 1).alias("repository_id"), F.lit(commit).alias("commit_hash"),
         F.regexp_replace(tail, "^[^/]*/", "").alias("path"), "content", language.alias("lang"),
@@ -90,8 +97,14 @@ def unique_repositories(heads: DataFrame) -> DataFrame:
     return heads.groupBy("hash").agg(F.min(F.struct(local.alias("local"), "repository_id"))["repository_id"].alias("repository_id"))
 
 
+def text_of(content: str = "content") -> Column:
+    """A file's text; bytes that are no UTF-8 are replaced, so a file in another encoding stops no job."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
 def skip_report(files: DataFrame, min_size: int) -> DataFrame:
-    """How many files each filter drops, most first: the first that applies counts."""
+    """How many files each filter drops: the first that applies counts.  Files that do not parse are among the processed:
+    their text is still hashed; ``trees.python_nodes`` names them in its column ``error``."""
     reason = (
         F.when(F.col("content_size") == 0, "empty").when(F.col("is_binary"), "binary").when(vendored(F.col("path")), "vendored")
         .when(F.col("lang").isNull(), "no language").when(F.col("content_size") <= min_size, "small").otherwise("processed")

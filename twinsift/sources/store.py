@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 SCHEMAS = {
     "meta": "sha1 string, repo string, commit string, path string",
@@ -16,6 +15,10 @@ SCHEMAS = {
     "hashtables_func": "sha1 string, value binary, hashtable int",
     "features_docs": "docs long, id string",
     "features_freq": "feature string, df long, id string",
+    "components_file": "element string, component string",
+    "components_func": "element string, component string",
+    "communities_file": "element string, community string",
+    "communities_func": "element string, community string",
 }
 
 
@@ -31,10 +34,10 @@ class Store:
         return f"{self.base}/{table}"
 
     def read(self, table: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-        except AnalysisException:
+        """The rows of a table; none if its folder is absent.  A folder that cannot be read is an error, not an empty table."""
+        if not self._exists(self.path(table)):
             return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
 
     def save_meta(self, meta: DataFrame) -> None:
         new = meta.select("sha1", "repo", "commit", "path").dropDuplicates()
@@ -43,7 +46,8 @@ class Store:
     def save_bands(self, bands: DataFrame, mode: str) -> None:
         """``bands``: doc, hashtable, value (hex)."""
         rows = bands.select(F.col("doc").alias("sha1"), F.unhex("value").alias("value"), "hashtable")
-        rows.repartition("hashtable").sortWithinPartitions("hashtable", "value", "sha1").write.mode("append").partitionBy("hashtable").parquet(self.path(f"hashtables_{mode}"))
+        # Ranges of values, not whole tables: there are few tables, however many bands.
+        rows.repartitionByRange("hashtable", "value", "sha1").sortWithinPartitions("hashtable", "value", "sha1").write.mode("append").partitionBy("hashtable").parquet(self.path(f"hashtables_{mode}"))
 
     def bands(self, mode: str) -> DataFrame:
         return self.read(f"hashtables_{mode}").select(F.col("sha1").alias("doc"), "hashtable", F.lower(F.hex("value")).alias("value"))
@@ -57,13 +61,18 @@ class Store:
         docs = self.read("features_docs").where(F.col("id") == mode).select("docs")
         return None if docs.isEmpty() else (docs, self.read("features_freq").where(F.col("id") == mode).select("feature", "df"))
 
+    def save_groups(self, components: DataFrame, communities: DataFrame, mode: str) -> None:
+        """What a report found, a row per element: ``node, component`` and ``community, element``."""
+        components.select(F.col("node").alias("element"), "component").write.mode("overwrite").parquet(self.path(f"components_{mode}"))
+        communities.select("element", "community").write.mode("overwrite").parquet(self.path(f"communities_{mode}"))
+
     def is_empty(self, mode: str) -> bool:
         of_mode = [self.read(t).where(F.col("id") == mode) for t in ("features_docs", "features_freq")]
         return all(t.limit(1).isEmpty() for t in [self.read(f"hashtables_{mode}"), *of_mode])
 
     def clean(self, mode: str, purge_meta: bool = False) -> None:
         """Remove a mode's rows; places in ``meta`` stay unless purged."""
-        drop = [f"hashtables_{mode}", f"features_docs/id={mode}", f"features_freq/id={mode}", *["meta"] * purge_meta]
+        drop = [f"hashtables_{mode}", f"components_{mode}", f"communities_{mode}", f"features_docs/id={mode}", f"features_freq/id={mode}", *["meta"] * purge_meta]
         for name in drop:
             self._delete(self.path(name))
 
@@ -76,6 +85,10 @@ class Store:
                 raise NotEmptyError(f"{self.base} has rows of mode {mode}")
             self.clean(mode)
 
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def _delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
