@@ -76,6 +76,12 @@ def test_each_component_keeps_one_row_whatever_ids_and_columns_repeat(spark):
     assert {r[0] for r in got} == {3, 7, 2**60 + 1, 2**60 + 2}
 
 
+def test_null_and_repeated_ids_of_fingerprints(spark):
+    rows = [(None, "one two three"), (9, "one two three"), (None, "alone with no id"), (4, "four"), (4, "five")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted([(None, 9), (9, 9), (None, None), (4, 4), (4, 4)], key=str)
+
+
 def test_links_come_from_the_trees(monkeypatch):
     """Without the trees' edges no link is found: nothing else unites fingerprints."""
     rng = np.random.default_rng(6)

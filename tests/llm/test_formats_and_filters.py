@@ -32,6 +32,9 @@ def test_neighbouring_large_ids_stay_apart_beside_nulls(spark):
     assert got == {None: 1} | {2**60 + i: 2 for i in range(1, 6)}
     pages = spark.createDataFrame([(None, None)] + [(2**60 + i, "http://a.example.org/es/") for i in range(1, 6)], "page_id long, url string").coalesce(1)
     judged = url_filter.judge_urls(pages, spark.createDataFrame(queries.URL_RULES, url_filter.RULES)).collect()
+    long = spark.createDataFrame([(1, "http://example.org/es/" + "x" * 1_000_000), (1, "http://example.org/es/" + "x" * 1_000_000)], "page_id long, url string")
+    whole = url_filter.judge_urls(long, spark.createDataFrame(queries.URL_RULES, url_filter.RULES)).collect()
+    assert [(r["page_id"], len(r["path"]), r["verdict"]) for r in whole] == [(1, 1_000_004, "block")] * 2
     assert {r["page_id"]: r["rule"] for r in judged} == {None: None} | {2**60 + i: "example.org/es/" for i in range(1, 6)}
     assert len(judged) == 6
 

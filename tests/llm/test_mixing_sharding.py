@@ -171,6 +171,27 @@ def test_shards_of_nothing_and_of_one_text(spark):
     assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(50))
 
 
+def test_splits_share_the_bytes_along_the_widest_dimension(spark):
+    """Every split replayed over all points: the dimension, the weighted median, and the leaf of each point."""
+    df = spark.createDataFrame(corpus(700, seed=8), DOCS)
+    points = sharding._points(sharding.text_groups(df))
+    leaves, splits = sharding.kd_tree(points, 16)
+    inside, shards = {0: points.collect()}, {0: 16}
+    for k, split in enumerate(splits):
+        rows, n = inside.pop(split.node), shards.pop(split.node)
+        width = {d: max(r[d] for r in rows) - min(r[d] for r in rows) for d in sharding.DIMENSIONS}
+        assert width[split.dimension] == max(width.values())
+        left, right = [r for r in rows if r[split.dimension] < split.at], [r for r in rows if r[split.dimension] >= split.at]
+        goal = sum(r["_bytes"] for r in rows) * (n // 2) / n
+        assert abs(sum(r["_bytes"] for r in left) - goal) <= max(r["_bytes"] for r in rows)
+        inside[2 * k + 1], inside[2 * k + 2] = left, right
+        shards[2 * k + 1], shards[2 * k + 2] = n // 2, n - n // 2
+    assert len(splits) == 15 and set(shards.values()) == {1}
+    placed = {r["_group"]: r["shard"] for r in leaves.collect()}
+    of_leaf = [{placed[r["_group"]] for r in rows} for rows in inside.values()]
+    assert all(len(s) == 1 for s in of_leaf) and set().union(*of_leaf) == set(range(16))
+
+
 def test_one_source_with_most_rows_is_split(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(20)), "en", "hot", 1) for i in range(800)]
