@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import chat, decontaminate, mixing, quality, sharding, simhash, token_counts, toxicity, url_filter, vectors
+from twinsift.llm import block_max, chat, decontaminate, exact, mixing, quality, sharding, simhash, token_counts, toxicity, url_filter, vectors, whitening
 from twinsift.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,11 +71,23 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op11_subspace_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_latent_decontamination, op3_url_range_join, op4_toxic_segments, op5_token_counts, op6_pq_vectors, op7_simhash_bktree,
-        op8_kd_sharding, op9_pareto_mixing, op10_quality_knn,
+        op8_kd_sharding, op9_pareto_mixing, op10_quality_knn, op11_subspace_whitening, op12_patricia_owners, op13_block_max_search,
     )
 }
 
@@ -106,4 +118,21 @@ ORACLE: dict[str, str] = {
             FROM u LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
         )
         SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdict, 'allow') AS verdict FROM b WHERE n = 1""",
+    "op12_patricia_owners": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
+        g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size, sha256(text) AS text_sha256 FROM t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op13_block_max_search": r"""
+        WITH words(kind, id, term) AS (
+            SELECT kind, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))
+            FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark)
+        ), q AS (SELECT DISTINCT id AS item_id, term FROM words WHERE kind = 'i'),
+        d AS (SELECT id AS doc_id, count(*) AS n FROM words WHERE kind = 'd' GROUP BY id),
+        c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+        p AS (SELECT id AS doc_id, term, count(*) AS tf FROM words WHERE kind = 'd' AND term IN (SELECT term FROM q) GROUP BY id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+            FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
 }
