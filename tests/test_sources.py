@@ -1,14 +1,18 @@
 import json
+import os
+import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from twinsift import lineage
 from twinsift.cli import main
 from twinsift.config import FILE, FUNC, mode
 from twinsift.operators import communities, features, report
 from twinsift.plans import engine
 from twinsift.sources import files as sources
-from twinsift.sources import pages, trees
+from twinsift.sources import pages, scanner, trees
 from twinsift.sources.store import NotEmptyError, Store
 from twinsift.streaming.ingest import ingest
 
@@ -61,20 +65,149 @@ PYTHON = {
 }
 
 
+def source_files(spark, rows):
+    return spark.createDataFrame([(n, bytearray(t.encode() if isinstance(t, str) else t) if t is not None else None, lang, "r", "c", n) for n, t, lang in rows],
+                                 "blob_id string, content binary, lang string, repository_id string, commit_hash string, path string")
+
+
+def functions(spark, rows):
+    files, got = source_files(spark, rows), {}
+    nodes = trees.nodes_of(files).cache()
+    for r in features.function_items(files, nodes).collect():
+        got.setdefault(r["blob_id"], []).append((r["fn_name"], r["fn_line"], r["text"]))
+        assert r["doc"] == f"{r['blob_id']}_{r['fn_name']}:{r['fn_line']}"
+    return nodes, {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()}
+
+
 def test_functions_of_python_files(spark):
     """Outermost functions only, whatever classes they lie in; files that do not parse are named and stop nothing."""
-    files = spark.createDataFrame([(n, bytearray(t.encode()), "r", "c", n) for n, (t, _) in PYTHON.items()] + [("none", None, "r", "c", "n"), ("latin", bytearray(b"# \xe9\ndef g(): pass\n"), "r", "c", "l")], "blob_id string, content binary, repository_id string, commit_hash string, path string")
-    got = {}
-    for r in features.function_items(files).collect():
-        got.setdefault(r["blob_id"], []).append((r["fn_name"], r["fn_line"]))
-        assert r["doc"] == f"{r['blob_id']}_{r['fn_name']}:{r['fn_line']}" and "def " in r["text"]
-    assert {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()} == {n: f for n, (_, f) in PYTHON.items() if f} | {"latin": [("g", 2)]}
-    nodes = trees.python_nodes(files)
-    assert [r["blob_id"] for r in nodes.where("error is not null").collect()] == ["broken.py"]
+    rows = [(n, t, "Python") for n, (t, _) in PYTHON.items()] + [("none", None, "Python"), ("latin", b"# \xe9\ndef g(): pass\n", "Python"), ("text", "def h(): pass", "en"), ("nolang", "def h(): pass", None)]
+    nodes, got = functions(spark, rows)
+    assert all("def " in t for v in got.values() for _, _, t in v)
+    assert {k: [x[:2] for x in v] for k, v in got.items()} == {n: f for n, (_, f) in PYTHON.items() if f} | {"latin": [("g", 2)]}
+    assert [r["doc"] for r in nodes.where("error is not null").collect()] == ["broken.py"]
     inside = trees.item_nodes(nodes, functions=True).where("doc = 'inner.py_a:2'").collect()
     assert sum(r["parent_id"] is None for r in inside) == 1 and "ClassDef" in {r["internal_type"] for r in inside}
 
 
+def test_function_texts_are_their_own(spark):
+    """Line ends of other kinds, characters of several bytes and decorators do not move a function's text."""
+    texts = {
+        "feed": "x = 1\n\x0c\ndef f():\n    return '\u2028é'\n\ndef g(): return 2\n", "crlf": "# é\r\n@d(1)\r\ndef f():\r\n    pass\r\n", "old": "x = 'éé'; f = 1\rdef f(): pass\r",
+        "wide": "class A:\n  @staticmethod\n  @x.y(\n   'ü')\n  async def f(): return '日本'; y = 1\n",
+    }
+    _, got = functions(spark, [(n, t, "Python") for n, t in texts.items()])
+    assert [x[2] for x in got["feed"]] == ["def f():\n    return '\u2028é'", "def g(): return 2"]
+    assert got["crlf"] == [("f", 3, "@d(1)\r\ndef f():\r\n    pass")] and got["old"] == [("f", 2, "def f(): pass")]
+    assert got["wide"] == [("f", 5, "@staticmethod\n  @x.y(\n   'ü')\n  async def f(): return '日本'; y = 1")]
+
+
+BRACES = {
+    "a.go": ("\npackage p\nfunc A() {}\nfunc B() {}\n", "Go", [("A", 3), ("B", 4)]),
+    "b.go": ("\npackage p\nfunc A() { a := func() {}}\nfunc B() {}\n", "Go", [("A", 3), ("B", 4)]),
+    "c.py": ("\nclass A:\n    def a(self):\n        class B:\n            def b(self):\n                pass\n", "Python", [("a", 3)]),
+    "types.go": ('type F func(a int) (b, c string)\ntype S struct { f func(x int) string }\nvar v = func() int { return 1 }\nvar w = map[string]func(){ "a": func() {} }\n'
+                 'func (s *S) M(a int, f func(int) interface{}) (r struct{ x int }, err error) { s := "}"; t := `{`; r := \'{\'; /* { */ // {\n}\n'
+                 "func Map[T any](xs []T, f func(T) T) []T {\n\treturn nil\n}\nfunc outside(a int) string\nfunc I() interface{} { return nil }\n", "Go", [("M", 5), ("Map", 7), ("outside", 10), ("I", 11)]),
+    "C.java": ('@Ann(v = "}") public class Foo<T> {\n int x = compute(1);\n Map<String, List<int[]>> m = new HashMap<>() {{ put("a"); }};\n Foo() { this(1); }\n'
+               " public Foo(int a) throws X, Y { if (a > 1) { foo(); } for (;;) { bar(i); } }\n @Override public <R> Map<String, R> get(final int[] k, String... s) { return run(() -> { return 1; }); }\n"
+               ' int[] arr() { return new int[] {1}; }\n abstract void later(int a);\n Runnable r = new Runnable() { public void run() { x(); } };\n static { init(); }\n'
+               ' enum Color { RED(1), GREEN(2); Color(int c) { } }\n interface I { int value() default 5; default void h() { try { a(); } catch (E e) { b(); } } }\n String t = """\n  class Z { void no() {} """;\n'
+               " record P(int a) { int sum() { return a; } }\n}\n", "Java",
+               [("Foo", 4), ("Foo", 5), ("get", 6), ("arr", 7), ("later", 8), ("run", 9), ("Color", 11), ("h", 12), ("value", 12), ("sum", 15)]),
+    "d.js": ("export default function main(a, {b} = {}) { const r = /[/}]{2}/g.test(`a ${ fn({a: `}`}) } {`); return a / b / c; }\nasync function go() { await f(function named() { }); }\n"
+             "const arrow = (x) => { return x; };\nclass A extends B { constructor(x) { super(x); } static async run() { } get v() { return 1; } *gen() {} #priv() {} f = () => { a(); }\n late() {} }\n"
+             "const o = { m() { return 1; }, k: function () { return 2; }, async n(a) { } };\nfoo(function () { while (x) { y() } });\nif (a) { b(); }\nlet e = function inner() {}\nfunction last() {}\n",
+             "JavaScript", [("main", 1), ("go", 2), ("constructor", 4), ("run", 4), ("v", 4), ("gen", 4), ("priv", 4), ("late", 5), ("m", 6), ("n", 6), ("last", 10)]),
+    "open.go": ("func A() {", "Go", None), "shut.js": ("function a() {}}", "JavaScript", None), "wrong.java": ("class A { void f( { ) }", "Java", None), "tick.js": ("a = `x", "JavaScript", None),
+    "empty.go": ("", "Go", []), "words.java": ("no code at all", "Java", []),
+}
+
+
+def test_functions_of_languages_of_braces(spark):
+    nodes, got = functions(spark, [(n, t, lang) for n, (t, lang, _) in BRACES.items()])
+    assert {n: sorted(x[:2] for x in got.get(n, [])) for n, (_, _, f) in BRACES.items() if f is not None} == {n: sorted(f) for n, (_, _, f) in BRACES.items() if f is not None}
+    assert {r["doc"] for r in nodes.where("error like 'Unbalanced:%'").collect()} == {n for n, (_, _, f) in BRACES.items() if f is None}
+    assert {x[2] for x in got["b.go"]} == {"func A() { a := func() {}}", "func B() {}"}
+    assert "public Foo(int a) throws X, Y { if" in got["C.java"][1][2]
+
+
+def test_scans_end_and_number_nodes_in_order():
+    rng = random.Random(9)
+    parts = ["{", "}", "(", ")", "[", "]", "func ", "function ", "class ", "A", " b", "\n", ";", ",", "=", "=>", "/", "`", "${", '"', "'", "//", "/*", "*/", "new ", "interface ", "get ", "1.5", "\\", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        for lang in scanner.LANGUAGES:
+            try:
+                found = scanner.nodes(text, lang)
+            except scanner.Unbalanced:
+                continue
+            assert [n.node_id for n in found] == list(range(len(found))) and found[0].parent_id is None and found[0].end_at == len(text)
+            assert all(n.parent_id is not None and n.parent_id < n.node_id and 0 <= n.start_at <= n.end_at <= len(text) for n in found[1:])
+
+
+def test_a_file_that_hangs_crashes_or_is_huge_is_counted_and_stops_nothing(spark):
+    """One row with the error each; counts come with the same pass, and the skip report names the reasons."""
+
+    def bad(text):
+        if text == "hang":
+            while True:
+                pass
+        if text == "crash":
+            os._exit(7)
+        if text == "raise":
+            raise KeyError("odd")
+        return trees.python_tree(text)
+
+    texts = ["hang", "x = 1", "crash", "raise", "x = 0x" + "f" * 5000, "def f(:", "y = 2", "(" * 500 + ")" * 500]
+    files = sources._with_facts(source_files(spark, [(f"f{i}", t, "Python") for i, t in enumerate(texts)]).withColumn("path", F.concat("path", F.lit(".py"))))
+    nodes, seen = trees.observed(trees.nodes_of(files, 1.0, {"Python": bad}))
+    nodes = lineage.cut(nodes)
+    assert seen.get == {"parsed": 3, "failed": 5, "late": 1, "crashed": 1}
+    errors = {r["error"].split(":")[0] for r in nodes.where("error is not null").collect()}
+    assert errors == {"TimeoutError", "Crashed", "KeyError", "SyntaxError"}
+    got = {r["reason"]: r["files"] for r in sources.skip_report(files, 0, nodes).collect()}
+    assert got == {"processed": 3, "no tree: TimeoutError": 1, "no tree: Crashed": 1, "no tree: KeyError": 1, "no tree: SyntaxError": 2}
+    assert engine.items_of(files, replace(FILE, min_size=0), nodes).count() == 3  # files without a tree are no items
+
+
+def test_items_of_files_with_and_without_parsers(spark):
+    """Functions of source code, lines of prose; other programming languages have no items in function mode."""
+    rows = [("g.go", "func A() {\n}\n", "Go"), ("x.rs", "fn main() {\n}\n", "Rust"), ("p.txt", "some words\n\nmore", "en"), ("bad.go", "func A() {", "Go")]
+    files = sources._with_facts(source_files(spark, rows))
+    of = {m.name: engine.items_of(files, replace(m, min_size=0), engine.nodes_of(files, replace(m, min_size=0))).collect() for m in (FILE, FUNC)}
+    assert sorted((r["path"], r["fn_name"], r["fn_line"]) for r in of["func"]) == [("g.go", "A", 1), ("p.txt", "more", 3), ("p.txt", "some", 1)]
+    assert sorted(r["path"] for r in of["file"]) == ["g.go", "p.txt", "x.rs"]
+
+
+def test_intervals_and_outermost_nodes_against_a_walk(spark):
+    rng = random.Random(2)
+    rows, want = [], []
+    for doc in range(12):
+        n = rng.choice([1, 5, 60])
+        parent = [None]
+        path = [0]
+        for i in range(1, n):
+            path = path[: rng.randrange(1, len(path) + 1)]
+            parent.append(path[-1])
+            path.append(i)
+        kind = [rng.random() < 0.3 for _ in range(n)]
+        last = list(range(n))
+        for i in range(n - 1, 0, -1):
+            last[parent[i]] = max(last[parent[i]], last[i])
+        above = lambda i: parent[i] is not None and (kind[parent[i]] or above(parent[i]))  # noqa: B023, E731
+        rows += [(str(doc), i, parent[i], f"t{i}", kind[i]) for i in range(n)]
+        for i in range(n):
+            if kind[i] and not above(i):
+                names = [i] + [j for j in range(n) if parent[j] == i and not kind[j]]
+                want.append((str(doc), i, last[i], "+".join(f"t{j}" for j in names if j % 3)))
+    rng.shuffle(rows)
+    nodes = spark.createDataFrame(rows, "doc string, node_id long, parent_id long, token string, kind boolean")
+    got = trees.outermost(nodes, F.col("kind"), F.col("node_id") % 3 != 0).select("doc", "node_id", "last_id", "name").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert trees.outermost(nodes.limit(0), F.col("kind"), F.col("kind")).count() == 0
+
+
 def test_items_with_trees_have_graphlets_and_node_sequences(spark):
     items = spark.createDataFrame([("d", "def f(): return 1"), ("e", "one two three four")], "doc string, text string")
     nodes = spark.createDataFrame([("d", 0, None, "FunctionDef"), ("d", 1, 0, "arguments"), ("d", 2, 0, "Return"), ("d", 3, 2, "Constant")], "doc string, node_id long, parent_id long, internal_type string")

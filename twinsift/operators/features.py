@@ -95,7 +95,7 @@ def extract(items: DataFrame, mode: Mode, nodes: DataFrame | None = None) -> Dat
 
 
 def line_items(files: DataFrame) -> DataFrame:
-    """Items in function mode of a text that has no functions: its lines with a word, named by their first; doc is ``blob_name:line``."""
+    """Items in function mode of prose, which has no functions: its lines with a word, named by their first; doc is ``blob_name:line``."""
     lines = files.select("repository_id", "commit_hash", "path", "blob_id", F.posexplode(F.split(text_of(), "\n", -1)).alias("i", "text"))
     named = lines.where(F.col("text").rlike("[a-z]")).withColumn("fn_line", (F.col("i") + 1).cast("int"))
     name = F.regexp_extract(F.lower("text"), "[a-z]+", 0)
@@ -103,10 +103,11 @@ def line_items(files: DataFrame) -> DataFrame:
                         trees.function_doc(F.col("blob_id"), name, F.col("fn_line")).alias("doc"))
 
 
-def function_items(files: DataFrame) -> DataFrame:
-    """Items in function mode of Python files: their outermost functions; doc is ``blob_name:line``."""
-    found = trees.functions_of(files).join(files.select("repository_id", "commit_hash", "path", "blob_id"), "blob_id")
-    return found.select("repository_id", "commit_hash", "path", "blob_id", "fn_name", "fn_line", "text",
+def function_items(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Items in function mode of source files with ``nodes``: their outermost functions; doc is ``blob_name:line``."""
+    text = F.substring(text_of(), F.col("start_at") + 1, F.col("end_at") - F.col("start_at"))
+    found = files.join(trees.functions_of(nodes).withColumnRenamed("doc", "blob_id"), "blob_id")
+    return found.select("repository_id", "commit_hash", "path", "blob_id", "fn_name", "fn_line", text.alias("text"),
                         trees.function_doc(F.col("blob_id"), F.col("fn_name"), F.col("fn_line")).alias("doc"))
 
 

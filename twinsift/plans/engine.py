@@ -23,21 +23,34 @@ def chosen_files(files: DataFrame, mode: Mode) -> DataFrame:
     return sources.similarity_candidates(sources.readable(files), mode.min_size)
 
 
-def items_of(files: DataFrame, mode: Mode) -> DataFrame:
+def nodes_of(files: DataFrame, mode: Mode) -> DataFrame:
+    """The trees of the files that a mode looks at, parsed once; how many gave none goes to the log."""
+    nodes, seen = trees.observed(trees.nodes_of(chosen_files(files, mode)))
+    nodes = cut(nodes)
+    if seen.get["failed"]:
+        log.warning("files without a tree: %s", seen.get)
+    return nodes
+
+
+def items_of(files: DataFrame, mode: Mode, nodes: DataFrame | None = None) -> DataFrame:
     """The items a mode hashes: ``repository_id, commit_hash, path, blob_id, fn_name, fn_line, text, doc``.
 
-    In function mode these are the functions of Python files, and the lines of texts in languages without a parser.
+    In function mode these are the functions of files in a language with a parser, and the lines of prose; files in other
+    programming languages have none.  Files in a language with a parser that have no tree among ``nodes`` are left out:
+    without ``nodes`` all of them.
     """
-    chosen = chosen_files(files, mode)
+    chosen, code = chosen_files(files, mode), trees.parsed()
+    sound = None if nodes is None else chosen.where(code).join(nodes.where("node_id = 0").select(F.col("doc").alias("blob_id")), "blob_id", "left_semi")
+    plain = chosen.where(~code)
     if mode.name == "func":
-        parsed = F.col("lang") == trees.LANGUAGE
-        return features.line_items(chosen.where(~parsed)).unionByName(features.function_items(chosen.where(parsed)))
-    return features.file_items(chosen).withColumns({"fn_name": F.lit(None).cast("string"), "fn_line": F.lit(None).cast("int")})
+        lines = features.line_items(plain.where(~F.col("lang").isin(sorted(set(sources.LANGUAGES.values())))))
+        return lines if sound is None else lines.unionByName(features.function_items(sound, nodes))
+    whole = features.file_items(plain if sound is None else plain.unionByName(sound))
+    return whole.withColumns({"fn_name": F.lit(None).cast("string"), "fn_line": F.lit(None).cast("int")})
 
 
-def features_of(files: DataFrame, items: DataFrame, mode: Mode) -> DataFrame:
-    """Features of the items of ``files``, those of their trees included; parsed nodes are read several times and cut."""
-    nodes = cut(trees.python_nodes(chosen_files(files, mode).where(F.col("lang") == trees.LANGUAGE)))
+def features_of(items: DataFrame, mode: Mode, nodes: DataFrame) -> DataFrame:
+    """Features of ``items``, those of their trees included."""
     return features.extract(items, mode, trees.item_nodes(nodes, mode.name == "func"))
 
 
@@ -47,8 +60,9 @@ def bands_of(bags: DataFrame, mode: Mode) -> DataFrame:
 
 def hash_files(files: DataFrame, store: Store, mode: Mode, replace: bool = False) -> None:
     store.ready_for(mode.name, replace)
-    items = items_of(files, mode)
-    found = cut(features_of(files, items, mode))
+    nodes = nodes_of(files, mode)
+    items = items_of(files, mode, nodes)
+    found = cut(features_of(items, mode, nodes))
     docs, freq = docfreq.count_docs(items), docfreq.doc_freq(found)
     store.save_meta(sources.meta(sources.readable(files)))
     store.save_docfreq(docs, freq, mode.name)
@@ -77,10 +91,11 @@ def query_files(files: DataFrame, store: Store, mode: Mode, function: tuple[str,
         log.warning("no document frequencies of mode %s: similarity query skipped", mode.name)
         empty = "query_doc string, repo string, commit string, path string, sha1 string, fn_name string, fn_line int"
         return dup, store.spark.createDataFrame([], empty)
-    items = items_of(files, mode)
+    nodes = nodes_of(files, mode)
+    items = items_of(files, mode, nodes)
     if function is not None:
         items = items.where((F.col("fn_name") == function[0]) & (F.col("fn_line") == function[1]))
-    found = features_of(files, items, mode).join(items.select("doc").distinct(), "doc", "left_semi")
+    found = features_of(items, mode, nodes).join(items.select("doc").distinct(), "doc", "left_semi")
     bands = bands_of(docfreq.bags(found, model[1], model[0]), mode)
     found = lsh.candidates(bands, store.bands(mode.name))
     known = items_in_store(found.select("doc").distinct(), mode)

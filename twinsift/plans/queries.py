@@ -281,40 +281,109 @@ def features_func(spark, d):
     return features.extract(_items(spark, d, FUNC), FUNC)
 
 
-@query()
+#: Trees of pages: tokens of the text, then a walk over them with the path of open elements.
+PAGES_SQL = r"""tok AS (SELECT page_id::VARCHAR AS doc, list_transform(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->|<!.*?>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>|[^<]+'),
+        lambda t: CASE WHEN regexp_matches(t, '^<(script|style)') THEN [regexp_extract(t, '^<[^>]*>'), '=' || regexp_extract(t, '(?s)^<[^>]*>(.*)</[a-z]+>$', 1), '</' || regexp_extract(t, '^<([a-z]+)', 1) || '>']
+            WHEN starts_with(t, '<') THEN [t] ELSE ['=' || t] END) AS ts FROM pages),
+    piece AS (SELECT doc, unnest(flatten(ts)) AS t, generate_subscripts(flatten(ts), 1) AS k FROM tok),
+    step AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY k) AS k, CASE WHEN starts_with(t, '=') THEN 'text' ELSE lower(regexp_extract(t, '^</?([a-zA-Z0-9]+)', 1)) END AS tag,
+        starts_with(t, '</') AS closes, CASE WHEN starts_with(t, '=') THEN replace(replace(replace(replace(replace(replace(replace(trim(t[2:], E' \n\t\r'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') ELSE '' END AS token
+        FROM piece WHERE NOT starts_with(t, '<!') AND trim(t, E'= \n\t\r') <> ''),
+    walk AS (SELECT page_id::VARCHAR AS doc, 0::BIGINT AS k, 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, 0 AS depth, 'document' AS internal_type, '' AS token, [0::BIGINT] AS path, ['document'] AS tags, 1::BIGINT AS fresh FROM pages
+        UNION ALL SELECT w.doc, s.k, CASE WHEN closes THEN NULL ELSE fresh END, CASE WHEN NOT closes THEN path[-1] END, len(path), tag, s.token,
+            CASE WHEN NOT closes AND tag NOT IN ('text', 'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') THEN list_append(path, fresh)
+                WHEN closes AND list_contains(tags[2:], tag) THEN path[:len(path) - list_position(list_reverse(tags), tag)] ELSE path END,
+            CASE WHEN NOT closes AND tag NOT IN ('text', 'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') THEN list_append(tags, tag)
+                WHEN closes AND list_contains(tags[2:], tag) THEN tags[:len(path) - list_position(list_reverse(tags), tag)] ELSE tags END,
+            CASE WHEN closes THEN fresh ELSE fresh + 1 END
+        FROM walk w JOIN step s ON s.doc = w.doc AND s.k = w.k + 1),
+    tree AS (SELECT doc, node_id, parent_id, depth::INTEGER AS depth, internal_type, token, path FROM walk WHERE node_id IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {PAGES_SQL} SELECT doc, node_id, coalesce(parent_id, -1) AS parent_id, depth, (row_number() OVER (PARTITION BY doc, parent_id ORDER BY node_id) - 1)::INTEGER AS ord, internal_type, token,
+    CASE WHEN internal_type = 'text' THEN 'Literal' ELSE 'Element' END AS role FROM tree""")
 def uast_nodes(spark, d):
-    return page_source.nodes(_table(spark, d, "pages"))
+    return page_source.nodes(_table(spark, d, "pages")).withColumns({"role": F.col("roles")[0], "parent_id": F.coalesce("parent_id", F.lit(-1).cast("long"))}).drop("roles")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAGES_SQL}, kids AS (SELECT doc, parent_id AS node_id, string_agg('_' || internal_type, '' ORDER BY internal_type) AS k FROM tree WHERE parent_id IS NOT NULL GROUP BY ALL)
+    SELECT feature, doc, count(*) * {FILE.graphlet} AS weight FROM (SELECT t.doc, 'g.' || coalesce(p.internal_type, 'None') || '_' || t.internal_type || coalesce(k, '') AS feature
+        FROM tree t LEFT JOIN tree p ON p.doc = t.doc AND p.node_id = t.parent_id LEFT JOIN kids ON kids.doc = t.doc AND kids.node_id = t.node_id) GROUP BY feature, doc""")
 def feat_graphlet(spark, d):
     return features.graphlets(cut(page_source.nodes(_table(spark, d, "pages")).drop("roles", "token")), FILE.graphlet)
 
 
+@query(f"""WITH RECURSIVE {PAGES_SQL}, kind AS (SELECT doc, node_id FROM tree WHERE internal_type IN ('p', 'ul', 'div')),
+    up AS (SELECT doc, node_id, parent_id FROM tree UNION ALL SELECT up.doc, up.node_id, t.parent_id FROM up JOIN tree t ON t.doc = up.doc AND t.node_id = up.parent_id),
+    inner_ones AS (SELECT DISTINCT up.doc, up.node_id FROM up JOIN kind k ON k.doc = up.doc AND k.node_id = up.parent_id),
+    last_ones AS (SELECT doc, parent_id AS node_id, max(node_id) AS last_id FROM up WHERE parent_id IS NOT NULL GROUP BY doc, parent_id)
+    SELECT k.doc, k.node_id, coalesce(last_id, k.node_id) AS last_id, coalesce((SELECT string_agg(t.token, '+' ORDER BY t.node_id) FROM tree t WHERE t.doc = k.doc AND t.parent_id = k.node_id AND t.internal_type = 'text'), '') AS name
+    FROM kind k LEFT JOIN last_ones l ON l.doc = k.doc AND l.node_id = k.node_id WHERE (k.doc, k.node_id) NOT IN (SELECT doc, node_id FROM inner_ones)""")
+def outermost_elements(spark, d):
+    """Paragraphs, lists and boxes that lie in no other of these, named by the texts right below them."""
+    nodes = cut(page_source.nodes(_table(spark, d, "pages")).drop("roles"))
+    return trees.outermost(nodes, F.col("internal_type").isin("p", "ul", "div"), F.col("internal_type") == "text").select("doc", "node_id", "last_id", "name")
+
+
 @query(f"WITH {_items_sql(FUNC)} SELECT doc, repository_id, path, fn_name, fn_line FROM items")
 def func_items(spark, d):
     return _items(spark, d, FUNC).select("doc", "repository_id", "path", "fn_name", "fn_line")
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    """A Python file for each part: a class with a method that holds another, a function, and, for some, a broken line."""
-    key, size = (F.col(c).cast("string") for c in ("p_partkey", "p_size"))
-    text = F.concat(F.lit("class Part"), key, F.lit(":\n    def total"), size, F.lit("(self):\n        def inner():\n            return "), size,
-                    F.lit("\n        return inner()\n\n\ndef name"), key, F.lit("(x):\n    return x\n"), F.when(F.col("p_partkey") % 10 == 0, F.lit("def broken(:\n")).otherwise(""))
-    return _table(spark, d, "part").select(F.concat(F.lit("b"), key).alias("blob_id"), F.lit("r").alias("repository_id"), F.lit("c").alias("commit_hash"),
-                                           F.concat(key, F.lit(".py")).alias("path"), F.encode(text, "UTF-8").alias("content"), F.lit("Python").alias("lang"))
-
-
-@query("""SELECT 'b' || p_partkey AS blob_id, fn_name, fn_line FROM (SELECT p_partkey, 'total' || p_size AS fn_name, 2 AS fn_line FROM part UNION ALL SELECT p_partkey, 'name' || p_partkey, 8 FROM part)
-    WHERE p_partkey % 10 <> 0""")
+    """Documents as source files in four languages: each line with a word is a function that holds another, with the line
+    as a string; documents without a language miss the end of a group."""
+    q, plain = F.lit('"'), F.regexp_replace(F.regexp_replace(F.col("line"), r'[\x00-\x1f\u2028\u2029\x85]', " "), r'([\\"])', r"\\$1")
+    text = F.concat(q, plain, q)
+    kind, name = F.col("kind"), F.concat(F.regexp_extract(F.lower("line"), "[a-z]+", 0), F.lit("_"), F.col("i").cast("string"))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    function = (
+        F.when(kind == 0, say("func ", name, "() { // {\n\tf := func() string { return ", text, " }\n}"))
+        .when(kind == 1, say("void ", name, "() { /* } */\n Object f = new Object() { String g() { return ", text, "; } };\n}"))
+        .when(kind == 2, say("function ", name, "() {\n  function f() { return /[}\"]/.test(", text, ") }\n}"))
+        .otherwise(say("def ", name, "():\n    def f():\n        return ", text))
+    )
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), (i + 1).alias("i")))
+    rows = _table(spark, d, "documents").where("text is not null").select("doc_id", "lang", (F.col("doc_id") % 4).alias("kind"), F.posexplode(F.filter(lines, lambda x: x["line"].rlike("[a-z]"))).alias("n", "x"))
+    rows = rows.select("doc_id", "lang", "kind", "n", "x.*").withColumn("function", function)
+    begin = F.when(kind == 0, "package p\n").when(kind == 1, "class C {\n").otherwise("")
+    end = F.concat(F.when(kind == 1, "\n}\n").otherwise("\n"), F.when(F.col("lang").isNull(), F.when(kind == 3, "x = (\n").otherwise("{")).otherwise(""))
+    whole = rows.groupBy("doc_id", "lang", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "function"))), lambda x: x["function"]), "\n").alias("body"))
+    return whole.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("blob_id"), F.lit("r").alias("repository_id"), F.lit("c").alias("commit_hash"),
+                        F.col("doc_id").cast("string").alias("path"), F.encode(F.concat(begin, "body", end), "UTF-8").alias("content"),
+                        F.element_at(F.array(*map(F.lit, ("Go", "Java", "JavaScript", "Python"))), (kind + 1).cast("int")).alias("lang"))
+
+
+SOURCES_SQL = """ls AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+    fs AS (SELECT doc_id, lang, doc_id % 4 AS kind, regexp_extract(lower(line), '[a-z]+') || '_' || i AS fn_name, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n,
+        '"' || regexp_replace(regexp_replace(line, '[\\x00-\\x1f\\x{2028}\\x{2029}\\x85]', ' ', 'g'), '([\\\\"])', '\\\\\\1', 'g') || '"' AS s FROM ls WHERE regexp_matches(line, '[a-z]'))"""
+
+
+@query(f"""WITH {SOURCES_SQL} SELECT 'd' || doc_id AS blob_id, fn_name, (CASE kind WHEN 0 THEN 2 + 3 * n WHEN 1 THEN 2 + 3 * n ELSE 1 + 3 * n END)::INTEGER AS fn_line, md5(CASE kind
+        WHEN 0 THEN 'func ' || fn_name || '() {{ // {{' || chr(10) || chr(9) || 'f := func() string {{ return ' || s || ' }}' || chr(10) || '}}'
+        WHEN 1 THEN 'void ' || fn_name || '() {{ /* }} */' || chr(10) || ' Object f = new Object() {{ String g() {{ return ' || s || '; }} }};' || chr(10) || '}}'
+        WHEN 2 THEN 'function ' || fn_name || '() {{' || chr(10) || '  function f() {{ return /[}}"]/.test(' || s || ') }}' || chr(10) || '}}'
+        ELSE 'def ' || fn_name || '():' || chr(10) || '    def f():' || chr(10) || '        return ' || s END) AS text_md5
+    FROM fs WHERE lang IS NOT NULL""")
 def extract_functions(spark, d):
-    return features.function_items(_sources(spark, d)).select("blob_id", "fn_name", "fn_line")
+    files = _sources(spark, d)
+    found = features.function_items(files, cut(trees.nodes_of(files)))
+    return found.select("blob_id", "fn_name", "fn_line", F.md5("text").alias("text_md5"))
 
 
-@query("""SELECT count(*) FILTER (p_partkey % 10 = 0) AS broken, count(*) FILTER (p_partkey % 10 <> 0) AS parsed FROM part""")
+@query(f"""WITH {SOURCES_SQL}, docs AS (SELECT DISTINCT doc_id, lang, kind FROM fs)
+    SELECT CASE WHEN lang IS NOT NULL THEN 'processed' WHEN kind = 3 THEN 'no tree: SyntaxError' ELSE 'no tree: Unbalanced' END AS reason, count(*) AS files FROM docs GROUP BY 1""")
 def parse_errors(spark, d):
-    nodes = trees.python_nodes(_sources(spark, d))
-    return nodes.agg(F.count("error").alias("broken"), F.count(F.when(F.col("node_id") == 0, 1)).alias("parsed"))
+    files = cut(sources._with_facts(_sources(spark, d)))
+    return sources.skip_report(files, 0, cut(trees.nodes_of(files)))
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """A Python file for each part: a class with a method that holds another, a function, and, for some, a broken line."""
+    key, size = (F.col(c).cast("string") for c in ("p_partkey", "p_size"))
+    text = F.concat(F.lit("class Part"), key, F.lit(":\n    def total"), size, F.lit("(self):\n        def inner():\n            return "), size,
+                    F.lit("\n        return inner()\n\n\ndef name"), key, F.lit("(x):\n    return x\n"), F.when(F.col("p_partkey") % 10 == 0, F.lit("def broken(:\n")).otherwise(""))
+    return _table(spark, d, "part").select(F.concat(F.lit("b"), key).alias("blob_id"), F.encode(text, "UTF-8").alias("content"), F.lit("Python").alias("lang"))
 
 
 @query(f"""WITH t(feature, n) AS (VALUES ('g.None_Module_ClassDef_FunctionDef', 1), ('g.Module_ClassDef_FunctionDef', 1), ('g.ClassDef_FunctionDef_FunctionDef_Return_arguments', 1),
@@ -322,7 +391,7 @@ def parse_errors(spark, d):
         ('g.Return_Constant', 1), ('g.FunctionDef_Return_Call', 1), ('g.Return_Call_Name', 1), ('g.Call_Name', 1), ('g.Module_FunctionDef_Return_arguments', 1), ('g.FunctionDef_Return_Name', 1), ('g.Return_Name', 1))
     SELECT feature, 'b' || p_partkey AS doc, (n * {FILE.graphlet})::BIGINT AS weight FROM part, t WHERE p_partkey % 10 <> 0""")
 def graphlets_of_sources(spark, d):
-    nodes = cut(trees.python_nodes(_sources(spark, d)))
+    nodes = cut(trees.nodes_of(_parts(spark, d)))
     return features.graphlets(trees.item_nodes(nodes, functions=False), FILE.graphlet)
 
 

@@ -102,11 +102,15 @@ def text_of(content: str = "content") -> Column:
     return F.make_valid_utf8(F.col(content).cast("string"))
 
 
-def skip_report(files: DataFrame, min_size: int) -> DataFrame:
-    """How many files each filter drops: the first that applies counts.  Files that do not parse are among the processed:
-    their text is still hashed; ``trees.python_nodes`` names them in its column ``error``."""
+def skip_report(files: DataFrame, min_size: int, nodes: DataFrame | None = None) -> DataFrame:
+    """How many files each filter drops: the first that applies counts.  With the ``nodes`` of the files that are left
+    (``trees.nodes_of``), those that gave no tree are counted by what went wrong, at each place."""
     reason = (
         F.when(F.col("content_size") == 0, "empty").when(F.col("is_binary"), "binary").when(vendored(F.col("path")), "vendored")
-        .when(F.col("lang").isNull(), "no language").when(F.col("content_size") <= min_size, "small").otherwise("processed")
+        .when(F.col("lang").isNull(), "no language").when(F.col("content_size") <= min_size, "small")
     )
-    return files.groupBy(reason.alias("reason")).agg(F.count("*").alias("files"))
+    if nodes is None:
+        return files.groupBy(F.coalesce(reason, F.lit("processed")).alias("reason")).agg(F.count("*").alias("files"))
+    failed = nodes.where("error is not null").select(F.col("doc").alias("blob_id"), F.substring_index("error", ":", 1).alias("error")).distinct()
+    named = files.withColumn("reason", reason).join(failed, "blob_id", "left")
+    return named.groupBy(F.coalesce("reason", F.concat(F.lit("no tree: "), "error"), F.lit("processed")).alias("reason")).agg(F.count("*").alias("files"))

@@ -1,30 +1,38 @@
-"""Source code as trees of nodes, and its functions.
+"""Source code as tables of nodes, and its functions by intervals of them.
 
-Python files are parsed by the standard parser inside the tasks, a file at a time; a file that does not parse gives one
-row with the error and no node, so that a bad file never stops a job.
+Each file is parsed inside the tasks, in a watched child process: Python by the standard parser, languages of braces by a
+scan with a stack.  A file that does not parse, hangs or crashes gives one row with the error and no node, so that a bad
+file never stops a job.  What is made of the nodes is made by Spark: nodes are numbered in the order of the text, so a
+subtree is an interval of numbers, and outermost functions are intervals that no interval before them covers.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-LANGUAGE = "Python"
-NODES = "blob_id string, node_id long, parent_id long, ord int, internal_type string, token string, start_line int, roles array<string>, fn_name string, fn_line int, fn_root long, error string"
-_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int64(), pa.string()]
+from twinsift.sources import scanner
+from twinsift.sources.files import text_of
+from twinsift.sources.watched import Failed, Watched
+
+NODES = "doc string, node_id long, parent_id long, ord int, internal_type string, token string, start_line int, start_at int, end_at int, roles array<string>, error string"
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
 _NAMES = [c.split()[0] for c in NODES.split(", ")]
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+SECONDS = 30.0  # that a file may take
+ROWS = 100_000  # nodes that are handed on at a time
 
 
 def _token(node: ast.AST) -> str | None:
     if isinstance(node, ast.Constant):
-        return repr(node.value)
-    for field in ("name", "id", "attr", "arg", "module"):
-        value = getattr(node, field, None)
+        return hex(node.value) if type(node.value) is int else repr(node.value)  # decimal digits of a huge number are an error
+    for name in ("name", "id", "attr", "arg", "module"):
+        value = getattr(node, name, None)
         if isinstance(value, str):
             return value
     return None
@@ -32,41 +40,160 @@ def _token(node: ast.AST) -> str | None:
 
 def _roles(node: ast.AST) -> list[str]:
     if isinstance(node, FUNCTIONS):
-        return ["Function", "Declaration", "Identifier"]
+        return ["Function", "Declaration", "Identifier", "Name"]
     if isinstance(node, ast.Constant):
         return ["Literal"]
     return ["Identifier"] if _token(node) is not None else []
 
 
-def tree_rows(blob: str, text: str) -> list[tuple]:
-    """Nodes in the order of the text; ``fn_*`` name the outermost function that a node lies in, nested ones belong to it."""
-    try:
-        top = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [(blob, None, None, None, None, None, None, [], None, None, None, f"{type(e).__name__}: {e}")]
-    rows: list[tuple] = []
-    stack: list[tuple[ast.AST, int | None, int, tuple]] = [(top, None, 0, (None, None, None))]
+class _Places:
+    """Characters by the parser's lines, which end at line feeds and carriage returns alone, and bytes of them."""
+
+    def __init__(self, text: str):
+        self.text, self.begins = text, [0, *(m.end() for m in re.finditer(r"\r\n|\r|\n", text))]
+
+    def at(self, line: int, column: int) -> int:
+        begin = self.begins[line - 1]
+        part = self.text[begin : begin + column]
+        return begin + (column if part.isascii() else len(self.text[begin : begin + column].encode()[:column].decode("utf-8", "ignore")))
+
+
+def python_tree(text: str) -> list[scanner.Node]:
+    """Nodes of a Python file in the order of the text; a function begins at its decorators, its line is that of its name."""
+    rows: list[scanner.Node] = []
+    places = _Places(text)
+    stack: list[tuple[ast.AST, int | None, int]] = [(ast.parse(text), None, 0)]
     while stack:
-        node, parent, order, owner = stack.pop()
+        node, parent, order = stack.pop()
+        line, first, last = getattr(node, "lineno", 1), 0, len(text)
+        if isinstance(node, FUNCTIONS):
+            begin = min([node, *node.decorator_list], key=lambda n: n.lineno)
+            sign = begin is not node  # of a decorator
+            first, last = places.at(begin.lineno, begin.col_offset) - sign, places.at(node.end_lineno, node.end_col_offset)
+        elif hasattr(node, "lineno"):
+            first, last = places.at(node.lineno, node.col_offset), places.at(node.end_lineno, node.end_col_offset)
         number = len(rows)
-        if owner[0] is None and isinstance(node, FUNCTIONS):
-            owner = (node.name, node.lineno, number)
-        rows.append((blob, number, parent, order, type(node).__name__, _token(node), getattr(node, "lineno", None), _roles(node), *owner, None))
+        rows.append(scanner.Node(number, parent, order, type(node).__name__, _token(node), line, first, last, _roles(node)))
         children = [c for c in ast.iter_child_nodes(node) if not isinstance(c, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop))]
-        stack += [(c, number, i, owner) for i, c in reversed(list(enumerate(children)))]
+        stack += [(c, number, i) for i, c in reversed(list(enumerate(children)))]
     return rows
 
 
-def python_nodes(files: DataFrame) -> DataFrame:
-    """Rows of ``NODES`` for each of ``files`` (blob_id, content)."""
+#: Parsers by language: each gives the nodes of a text or raises; others may be added.
+PARSERS: dict[str, Callable[[str], list[scanner.Node]]] = {"Python": python_tree, **{name: (lambda text, n=name: scanner.nodes(text, n)) for name in scanner.LANGUAGES}}
+
+
+def parsed(lang: str = "lang") -> Column:
+    """Whether a file is in a language that has a parser."""
+    return F.coalesce(F.col(lang).isin(list(PARSERS)), F.lit(False))
+
+
+def nodes_of(files: DataFrame, seconds: float = SECONDS, parsers: dict[str, Callable[[str], list[scanner.Node]]] | None = None) -> DataFrame:
+    """Rows of ``NODES`` for each of ``files`` (blob_id, lang, content) in a language that has a parser; doc is the blob_id.
+
+    A null content is an empty file.  A file that gives no tree within ``seconds`` has one row with an error.
+    """
+    known = parsers or PARSERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = Watched(lambda lang, text: list(zip(*known[lang](text))), seconds)
+        try:
+            for batch in batches:
+                for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    try:
+                        cols = [list(c) for c in parse(lang, text)]
+                        error = [None]
+                    except Failed as e:
+                        cols, error = [[None] for _ in scanner.Node._fields], [str(e)]
+                    n = len(cols[0])
+                    for first in range(0, n, ROWS):
+                        part = [c[first : first + ROWS] for c in cols]
+                        yield pa.record_batch([pa.array(c, k) for c, k in zip([[doc] * len(part[0]), *part, error * len(part[0])], _KINDS)], _NAMES)
+        finally:
+            parse.close()
+
+    return files.where(F.col("lang").isin(list(known))).select("blob_id", "lang", F.coalesce(text_of(), F.lit("")).alias("text")).mapInArrow(run, NODES)
+
+
+def observed(nodes: DataFrame) -> tuple[DataFrame, Observation]:
+    """``nodes`` with counts that the next action over them makes by the way: files parsed, failed, late and crashed."""
+    seen = Observation("trees")
+    kind = lambda k: F.count_if(F.col("error").startswith(k))
+    return nodes.observe(seen, F.count_if(F.col("node_id") == 0).alias("parsed"), F.count("error").alias("failed"), kind("TimeoutError").alias("late"), kind("Crashed").alias("crashed")), seen
+
+
+def intervals(nodes: DataFrame, kept: Column) -> DataFrame:
+    """The rows of ``nodes`` (doc, node_id in the order of the text, parent_id, ...) where ``kept``, with ``last_id``: the last node of their subtree.
+
+    One sweep over nodes in order with the stack of open ones: a node ends where the next one's parent lies before it.
+    Only a path of the tree is held, so a document may have any number of nodes.
+    """
+    names = nodes.columns
+    rows = nodes.where("node_id is not null").withColumn("_kept", F.coalesce(kept, F.lit(False)))
+    rows = rows.repartition("doc").sortWithinPartitions("doc", "node_id")
+    at = {c: names.index(c) for c in ("doc", "node_id", "parent_id")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path: list[tuple[int, dict | None]] = []  # number of each open node, and its row if it is kept
+        before, doc, schema = 0, None, None
+
+        def end(out: list[dict], last: int) -> None:
+            row = path.pop()[1]
+            if row is not None:
+                out.append({**row, "last_id": last})
+
+        def batch_of(out: list[dict]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[f.name] for r in out], f.type) for f in schema], schema)
+
         for batch in batches:
-            for blob, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = tree_rows(blob, (content or b"").decode("utf-8", "replace"))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
+            schema = schema or pa.schema([*(f for f in batch.schema if f.name != "_kept"), pa.field("last_id", pa.int64())])
+            keep = batch.column(len(names)).to_pylist()
+            held = iter(batch.filter(batch.column(len(names))).select(names).to_pylist())
+            out: list[dict] = []
+            for d, n, p, k in zip(*(batch.column(at[c]).to_pylist() for c in ("doc", "node_id", "parent_id")), keep):
+                while path and (d != doc or p is None or path[-1][0] > p):
+                    end(out, before)
+                path.append((n, next(held) if k else None))
+                before, doc = n, d
+            if out:
+                yield batch_of(out)
+        out = []
+        while path:
+            end(out, before)
+        if out:
+            yield batch_of(out)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields]
+    return rows.mapInArrow(run, ", ".join([*fields, "last_id long"]))
+
+
+def outermost(nodes: DataFrame, kind: Column, named: Column) -> DataFrame:
+    """The ``nodes`` where ``kind`` that lie in no other such node, with ``last_id`` and ``name``.
+
+    The name joins the tokens of those among the node and its children where ``named``, in order, by ``+``; it is empty
+    where there is none.  A child that is of the kind itself names itself alone.
+    """
+    before = Window.partitionBy("doc").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = intervals(nodes, kind).withColumn("_covered", F.max("last_id").over(before))
+    found = found.where("_covered is null or node_id > _covered").drop("_covered")
+    tokens = nodes.where(named).select("doc", F.explode(F.when(kind, F.array("node_id")).otherwise(F.array("node_id", "parent_id"))).alias("at"), F.struct("node_id", "token").alias("t")).where("at is not null")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["token"]), "+")
+    names = tokens.join(found.select("doc", F.col("node_id").alias("at")), ["doc", "at"], "left_semi").groupBy("doc", F.col("at").alias("node_id")).agg(joined.alias("name"))
+    return found.join(names, ["doc", "node_id"], "left").withColumn("name", F.coalesce("name", F.lit("")))
+
 
-    return files.select("blob_id", F.col("content").cast("binary")).mapInArrow(run, NODES)
+def has_roles(*roles: str) -> Column:
+    out = F.lit(True)
+    for r in roles:
+        out = out & F.array_contains("roles", r)
+    return out
+
+
+def functions_of(nodes: DataFrame) -> DataFrame:
+    """Outermost declared functions: ``doc, node_id, last_id, fn_name, fn_line, start_at, end_at``."""
+    narrow = nodes.select("doc", "node_id", "parent_id", "token", "start_line", "start_at", "end_at", "roles")
+    found = outermost(narrow, has_roles("Function", "Declaration"), has_roles("Function", "Identifier", "Name"))
+    return found.select("doc", "node_id", "last_id", F.col("name").alias("fn_name"), F.col("start_line").alias("fn_line"), "start_at", "end_at")
 
 
 def function_doc(blob: Column, name: Column, line: Column) -> Column:
@@ -77,42 +204,10 @@ def item_nodes(nodes: DataFrame, functions: bool) -> DataFrame:
     """``doc, node_id, parent_id, internal_type`` of the trees of whole files, or of their functions."""
     sound = nodes.where("node_id is not null")
     if not functions:
-        return sound.select(F.col("blob_id").alias("doc"), "node_id", "parent_id", "internal_type")
-    inside = sound.where("fn_root is not null")
-    parent = F.when(F.col("node_id") != F.col("fn_root"), F.col("parent_id"))
-    return inside.select(function_doc(F.col("blob_id"), F.col("fn_name"), F.col("fn_line")).alias("doc"), "node_id", parent.alias("parent_id"), "internal_type")
-
-
-def functions_of(files: DataFrame) -> DataFrame:
-    """``blob_id, fn_name, fn_line, text`` of the outermost functions of Python ``files``; several names would be joined by ``+``.
-
-    ``text`` is the function's source from its decorators to its end, nested functions included.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for blob, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = (content or b"").decode("utf-8", "replace")
-                try:
-                    found: list[ast.AST] = list(outermost(ast.parse(text)))
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    continue
-                lines = text.splitlines(keepends=True)
-                for f in found:
-                    first = min([f.lineno, *(d.lineno for d in f.decorator_list)])
-                    out.append((blob, f.name, f.lineno, "".join(lines[first - 1 : f.end_lineno])))
-            cols = list(zip(*out)) if out else [(), (), (), ()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string()))], ["blob_id", "fn_name", "fn_line", "text"])
-
-    return files.select("blob_id", F.col("content").cast("binary")).mapInArrow(run, "blob_id string, fn_name string, fn_line int, text string")
-
-
-def outermost(top: ast.AST) -> Iterator[ast.AST]:
-    stack = [top]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, FUNCTIONS):
-            yield node
-        else:
-            stack += reversed(list(ast.iter_child_nodes(node)))
+        return sound.select("doc", "node_id", "parent_id", "internal_type", "roles")
+    name = function_doc(F.col("doc"), F.col("fn_name"), F.col("fn_line")).alias("item")
+    begins = functions_of(nodes).select("doc", "node_id", F.struct("last_id", F.col("node_id").alias("first"), name).alias("f"))
+    so_far = Window.partitionBy("doc").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = sound.join(begins, ["doc", "node_id"], "left").withColumn("f", F.last("f", ignorenulls=True).over(so_far)).where("node_id <= f.last_id")
+    parent = F.when(F.col("node_id") != F.col("f.first"), F.col("parent_id"))
+    return inside.select(F.col("f.item").alias("doc"), "node_id", parent.alias("parent_id"), "internal_type", "roles")

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from twinsift.config import Mode
 from twinsift.operators import docfreq
-from twinsift.plans.engine import bands_of, features_of, items_of
+from twinsift.plans.engine import bands_of, features_of, items_of, nodes_of
 from twinsift.sources import files as sources
 from twinsift.sources.store import Store
 
@@ -25,9 +25,10 @@ def ingest(documents: DataFrame, store: Store, mode: Mode, checkpoint: str) -> S
         model = store.docfreq(mode.name)
         if model is None:
             raise RuntimeError("the store has no document frequencies yet: hash a first collection")
-        items = items_of(files, mode)
+        nodes = nodes_of(files, mode)
+        items = items_of(files, mode, nodes)
         # Every item has a band in every table: the first tells what is known.
         new = items.join(store.bands(mode.name).where("hashtable = 0").select("doc"), "doc", "left_anti")
-        store.save_bands(bands_of(docfreq.bags(features_of(files, new, mode).join(new.select("doc"), "doc", "left_semi"), model[1], model[0]), mode), mode.name)
+        store.save_bands(bands_of(docfreq.bags(features_of(new, mode, nodes).join(new.select("doc"), "doc", "left_semi"), model[1], model[0]), mode), mode.name)
 
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
