@@ -295,22 +295,6 @@ def test_stream_adds_what_is_new(spark, tmp_path):
     assert store.bands("file").count() == before + FILE.tables
 
 
-def test_communities_reject_what_they_do_not_know(spark):
-    none = spark.createDataFrame([], "doc string, hashtable int, value string, weight long")
-    parts = spark.createDataFrame([], "node string, component string")
-    with pytest.raises(ValueError, match="edges"):
-        communities.communities(none, parts, edges="cubic")
-    with pytest.raises(ValueError, match="algorithm"):
-        communities.communities(none, parts, algorithm="other")
-    linear = spark.createDataFrame([("a", 0, "v", 3), ("b", 0, "v", 3), ("c", 0, "v", 3)], "doc string, hashtable int, value string, weight long")
-    of = spark.createDataFrame([(d, "a") for d in "abc"], "node string, component string")
-    for algorithm in ("walktrap", "labels"):
-        for edges in ("linear", "quadratic"):
-            found = {(r["community"], r["element"]) for r in communities.communities(linear, of, algorithm, edges).collect()}
-            assert {e for _, e in found} == set("abc") and all(c <= e for c, e in found)
-            assert (algorithm, edges) == ("labels", "quadratic") or {c for c, _ in found} == {"a"}  # pairs tie: labels need not agree
-
-
 FUNCTION = "def {name}(values, start):\n" + "".join(f"    step_{k} = [value * {k} for value in values if value > start]\n" for k in range(12)) + "    return step_1\n"
 
 

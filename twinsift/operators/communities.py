@@ -1,26 +1,37 @@
 """Communities inside connected components of the element - bucket graph.
 
-Components of one or two elements are communities as they are.  Others are split by walktrap (Pons and Latapy):
-random walks of four steps give distances between vertices, neighbouring communities are merged by the smallest
-growth in squared distance, and the merge of the largest modularity is kept.  A component is one group of one task
-as long as it has at most ``MOST`` vertices; larger ones are split by rounds of weighted label propagation over
-the whole cluster until no label changes, which need no component in one place.
+Components of one or two elements are communities as they are.  Others are split by an algorithm that is chosen by name:
+
+``louvain`` (Blondel and others), the same at every size: rounds in which vertices move to the neighbouring community
+that raises modularity most, then a level on which communities are the vertices, until nothing moves.  Every round is a
+few joins over the whole cluster.  Of two neighbours only one moves in a round (elements and buckets take turns; on
+graphs without buckets a hash decides), a component keeps its best round and settles by itself, so components do not
+influence each other.
+
+``walktrap`` (Pons and Latapy): random walks of four steps give distances, neighbouring communities are merged by the
+smallest growth in squared distance, and the merge of the largest modularity is kept.  A component is a group of one
+task; one of over ``MOST`` vertices is refused.
+
+``labels``: rounds of weighted label propagation until no label changes, or no round has more weight inside labels.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.lineage import cut
+from twinsift.lineage import cut, written
 from twinsift.operators.lsh import quadratic_edges
 
 STEPS = 4
 MOST = 3000
+HOT = 10_000  # edges of a vertex that one key of a join may have
+ROUNDS, LEVELS = 60, 30
 
 
 def walktrap(n: int, edges: list[tuple[int, int, float]], steps: int = STEPS) -> list[int]:
@@ -40,7 +51,7 @@ def walktrap(n: int, edges: list[tuple[int, int, float]], steps: int = STEPS) ->
     inside, volume = {i: 0.0 for i in range(n)}, {i: w[i].sum() for i in range(n)}
     links = {i: {j: w[i, j] for j in np.flatnonzero(w[i]) if j != i} for i in range(n)}
     sizes = dict(enumerate(size))
-    gain = lambda a, b: sizes[a] * sizes[b] / (sizes[a] + sizes[b]) * ((mean[a] - mean[b]) ** 2).sum()
+    gain = lambda a, b: float(f"{sizes[a] * sizes[b] / (sizes[a] + sizes[b]) * ((mean[a] - mean[b]) ** 2).sum():.9e}")  # noqa: E731 - ties of rounding go to indices
     heap = [(gain(a, b), a, b) for a in range(n) for b in links[a] if a < b]
     heapq.heapify(heap)
     share = lambda c: inside[c] / total - (volume[c] / total) ** 2
@@ -81,60 +92,152 @@ def walktrap(n: int, edges: list[tuple[int, int, float]], steps: int = STEPS) ->
     return owner
 
 
-def communities(linear: DataFrame, components: DataFrame, algorithm: str = "walktrap", edges: str = "linear") -> DataFrame:
-    """``community, element`` from linear edges (doc, hashtable, value, weight) and components (node, component).
+def graph_of(linear: DataFrame, components: DataFrame, edges: str) -> DataFrame:
+    """``component, a, b, weight``: each edge once.  Vertices are strings, elements begin with 0 and buckets with 1.
 
-    A community is named by its smallest element; communities of one element are kept here and left out of reports.
-    ``algorithm``: "walktrap", which leaves components of over ``MOST`` vertices to label propagation, or "labels", which
-    is label propagation at every size.  ``edges``: "linear" (elements and buckets) or "quadratic" (pairs of elements in
-    a bucket, which grow with its square; each pair stands for a bucket of two).
+    ``linear``: elements and their buckets, weighted by the bucket's size.  ``quadratic``: elements that share a bucket,
+    each pair once whatever they share, unweighted; it grows with the square of a bucket.
     """
-    if algorithm not in ("walktrap", "labels"):
-        raise ValueError(f"unknown algorithm {algorithm!r}: walktrap or labels")
-    if edges not in ("linear", "quadratic"):
-        raise ValueError(f"unknown edges {edges!r}: linear or quadratic")
-    most = MOST if algorithm == "walktrap" else 0
-    if edges == "quadratic":
-        ends = quadratic_edges(linear).select(F.explode(F.array("a", "b")).alias("doc"), F.concat_ws("|", "a", "b").alias("value"), F.col("bands").alias("weight"))
-        linear = ends.withColumn("hashtable", F.lit(0))
-    placed = linear.join(components.withColumnRenamed("node", "doc"), "doc").select("component", "doc", F.concat_ws(":", "hashtable", "value").alias("bucket"), "weight")
-    placed = cut(placed)
-    sizes = placed.groupBy("component").agg(F.countDistinct("doc").alias("elements"), F.countDistinct("doc").alias("d"), F.countDistinct("bucket").alias("b"))
-    sizes = cut(sizes.select("component", "elements", (F.col("d") + F.col("b")).alias("vertices")))
-    kind = placed.schema["doc"].dataType.simpleString()
-    placed = placed.join(sizes, "component")
-    tiny = placed.where("elements <= 2").select(F.col("component").alias("community"), F.col("doc").alias("element")).distinct()
+    placed = components.select("component", F.col("node").alias("doc"))
+    name = lambda c: F.concat(F.lit("0"), F.col(c).cast("string"))
+    if edges == "linear":
+        bucket = F.concat(F.lit("1"), F.concat_ws(":", "hashtable", "value"))
+        return linear.join(placed, "doc").select("component", name("doc").alias("a"), bucket.alias("b"), F.col("weight").cast("double").alias("weight"))
+    pairs = quadratic_edges(linear)
+    return pairs.join(placed.withColumnRenamed("doc", "a"), "a").select("component", name("a").alias("a"), name("b").alias("b"), F.lit(1.0).alias("weight"))
+
+
+def _both_ways(graph: DataFrame) -> DataFrame:
+    """``component, u, v, w`` with each edge from both ends."""
+    both = graph.select("component", F.col("a").alias("u"), F.col("b").alias("v"), F.col("weight").alias("w"))
+    return both.unionByName(both.where("u <> v").select("component", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+
+
+def _salted(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``both`` with ``salt``, and ``u, salts``: among how many keys the edges to vertex u are dealt."""
+    salts = both.groupBy("u").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts"))
+    hot = salts.where("salts > 1").withColumnRenamed("u", "v")  # few: each has HOT edges
+    dealt = both.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "v", "left")
+    return dealt.withColumn("salt", F.pmod(F.xxhash64("u"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts"), salts
+
+
+def _level(both: DataFrame, turn: Callable[[Column, int], Column], resolution: float) -> DataFrame:
+    """``component, u, label``: the best round of every component, from each vertex alone; a label is one of its vertices."""
+    edges, salts = _salted(both)
+    edges = cut(edges)
+    loop = F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("loop")
+    nodes = edges.groupBy("component", "u").agg(F.sum("w").alias("k"), loop)
+    m2 = nodes.groupBy("component").agg(F.sum("k").alias("m2"))
+    nodes = nodes.join(m2, "component").join(salts, "u")
+    # What a vertex is in (now) and was in the round before (c), what it adds to the quality of that round and whether it
+    # would rather move; the best so far (label, at quality best), and for how many rounds nothing was better.
+    state = nodes.select("component", "u", "k", "loop", "m2", "salts", F.col("u").alias("now"), F.col("u").alias("c"), F.lit(None).cast("double").alias("inside"), F.lit(True).alias("restless"),
+                         F.col("u").alias("label"), F.lit(float("-inf")).alias("best"), F.lit(0).alias("idle"))
+    # Each round is a written table: a checkpoint remembers how its plan was partitioned, and planning slows down with every round.
+    state, path = written(state)
+    for number in range(ROUNDS):
+        seen = state.select(F.col("u").alias("v"), F.col("now").alias("to"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        toward = edges.where("u <> v").join(seen, ["v", "salt"]).groupBy("u", "to").agg(F.sum("w").alias("w"))
+        held = state.groupBy(F.col("now").alias("to")).agg(F.sum("k").alias("held"))
+        # A vertex without neighbours outside still has its own community, an offer of weight 0.
+        offers = toward.unionByName(state.select("u", F.col("now").alias("to"), F.lit(0.0).alias("w"))).groupBy("u", "to").agg(F.sum("w").alias("w"))
+        offers = offers.join(state.select("u", "k", "m2", "now"), "u").join(held, "to")
+        own = F.col("to") == F.col("now")
+        score = F.round(F.col("w") - resolution * F.col("k") * (F.col("held") - F.when(own, F.col("k")).otherwise(0.0)) / F.col("m2"), 9)
+        other = F.when(~own, F.struct((-score).alias("s"), F.col("to").alias("to")))
+        of = offers.groupBy("u").agg(F.min(other).alias("o"), F.max(F.when(own, F.struct(score.alias("s"), "w", "held"))).alias("i"))
+        before = state.groupBy("component").agg(F.round(F.sum("inside"), 12).alias("quality"), F.max("restless").alias("moving"))
+        of = state.drop("restless").withColumnRenamed("inside", "was").join(of, "u").join(before, "component")
+        better = F.coalesce(F.col("quality") > F.col("best") + 1e-11, F.lit(False))
+        idle = F.when(F.col("quality").isNull() | better, 0).otherwise(F.col("idle") + 1)
+        label = F.when(better, F.col("c")).otherwise(F.col("label"))
+        done = (idle > 2) | ~F.col("moving")
+        gains = F.col("o").isNotNull() & (-F.col("o.s") > F.col("i.s") + 1e-9) & ~done
+        single = F.abs(F.col("i.held") - F.col("k")) < 1e-9  # two vertices that are each alone must not change places
+        moves = gains & turn(F.col("u"), number) & ~(single & (F.col("o.to") > F.col("now")) & turn(F.col("o.to"), number))
+        inside = (F.col("i.w") + F.col("loop")) / F.col("m2") - resolution * F.col("k") * F.col("i.held") / (F.col("m2") * F.col("m2"))
+        state, path = written(of.select("component", "u", "k", "loop", "m2", "salts", F.when(done, label).when(moves, F.col("o.to")).otherwise(F.col("now")).alias("now"), F.when(done, label).otherwise(F.col("now")).alias("c"),
+                              F.when(done, F.col("was")).otherwise(inside).alias("inside"), gains.alias("restless"), label.alias("label"), F.greatest("best", F.coalesce("quality", F.col("best"))).alias("best"), idle.alias("idle")), path)
+        if number and not state.agg(F.max("restless")).first()[0]:
+            break
+    # The last round's quality is not in the labels yet.
+    before = state.groupBy("component").agg(F.round(F.sum("inside"), 12).alias("quality"))
+    last = F.when(F.coalesce(F.col("quality") > F.col("best") + 1e-11, F.lit(False)), F.col("c")).otherwise(F.col("label"))
+    return state.join(before, "component").select("component", "u", last.alias("label"))
+
+
+def _by_kind(vertex: Column, number: int) -> Column:
+    return vertex.startswith("0" if number % 2 == 0 else "1")
+
+
+def _by_hash(vertex: Column, number: int) -> Column:
+    return F.pmod(F.xxhash64(vertex, F.lit(number // 2)), F.lit(2)) == number % 2
+
+
+def louvain(graph: DataFrame, resolution: float = 1.0, levels: int = LEVELS) -> DataFrame:
+    """``component, u, label`` of every vertex."""
+    both = cut(_both_ways(graph))
+    turn = _by_hash if both.where("u like '0%' and v like '0%'").limit(1).count() else _by_kind
+    found = None
+    for _ in range(levels):
+        level = cut(_level(both, turn, resolution))
+        new = level if found is None else found.join(level.select(F.col("u").alias("label"), F.col("label").alias("top")), "label", "left").select("component", "u", F.coalesce("top", "label").alias("label"))
+        found, turn = cut(new), _by_hash
+        joined = level.where("u <> label").select("component").distinct()  # others are settled
+        up = level.join(joined, "component", "left_semi").select("u", "label")
+        if up.isEmpty():
+            break
+        coarse = both.join(up, "u").withColumnRenamed("label", "a").join(up.select(F.col("u").alias("v"), F.col("label").alias("b")), "v")
+        both = cut(coarse.groupBy("component", F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")))
+    return found
+
+
+def propagated(graph: DataFrame) -> DataFrame:
+    """``component, u, label`` by label propagation: one level of moves for weight alone."""
+    both = cut(_both_ways(graph))
+    turn = _by_hash if both.where("u like '0%' and v like '0%'").limit(1).count() else _by_kind
+    return _level(both, turn, 0.0)
+
+
+def _walktrap(graph: DataFrame) -> DataFrame:
+    """``component, u, label``, a component in one task."""
+    ends = graph.select("component", F.explode(F.array("a", "b")).alias("u"))
+    large = ends.groupBy("component").agg(F.countDistinct("u").alias("n")).where(F.col("n") > MOST).agg(F.max("n")).first()[0]
+    if large:
+        raise ValueError(f"a component of {large} vertices is too large for walktrap ({MOST}): use louvain")
+    kind = graph.schema["component"].dataType.simpleString()
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = sorted(set(pdf["doc"]))
-        at = {d: i for i, d in enumerate(docs)} | {("b", b): len(docs) + i for i, b in enumerate(sorted(set(pdf["bucket"])))}
-        found = walktrap(len(at), [(at[d], at["b", b], float(w)) for d, b, w in zip(pdf["doc"], pdf["bucket"], pdf["weight"])])
-        first: dict[int, str] = {}
-        for d in docs:
-            first.setdefault(found[at[d]], d)
-        return pd.DataFrame({"community": [first[found[at[d]]] for d in docs], "element": docs})
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {v: i for i, v in enumerate(names)}
+        found = walktrap(len(names), [(at[a], at[b], float(w)) for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"])])
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "u": names, "label": [names[i] for i in found]})
+
+    return graph.groupBy("component").applyInPandas(split, f"component {kind}, u string, label string")
 
-    middle = placed.where((F.col("elements") > 2) & (F.col("vertices") <= most)).select("component", "doc", "bucket", "weight")
-    middle = middle.groupBy("component").applyInPandas(split, f"community {kind}, element {kind}")
-    large = cut(placed.where((F.col("elements") > 2) & (F.col("vertices") > most)).select("doc", "bucket", "weight"))
-    out = tiny.unionByName(middle)
-    return out if large.isEmpty() else out.unionByName(_propagate(large))
 
+#: Each takes a graph (``graph_of``) and parameters of its own, and gives ``component, u, label``; others may be added.
+ALGORITHMS: dict[str, Callable[..., DataFrame]] = {"louvain": louvain, "walktrap": _walktrap, "labels": propagated}
 
-def _propagate(edges: DataFrame) -> DataFrame:
-    """Label propagation over documents and buckets in turn until no document's label changes; ties go to the greatest hash.
 
-    Each turn raises the weight of edges inside one label or, at equal weight, a label's hash, so the rounds end.
+def communities(linear: DataFrame, components: DataFrame, algorithm: str = "louvain", edges: str = "linear", **parameters: float) -> DataFrame:
+    """``community, element`` from linear edges (doc, hashtable, value, weight) and components (node, component).
+
+    A community is named by its smallest element; communities of one element are kept here and left out of reports.
+    ``edges``: see ``graph_of``.  ``parameters`` go to the algorithm.
     """
-    labels = edges.select("doc", F.col("doc").alias("label")).distinct()
-    best = F.max_by("label", F.struct(F.col("w"), F.hash("label"), F.col("label"))).alias("label")
-    heaviest = lambda rows, key: rows.groupBy(key, "label").agg(F.sum("weight").alias("w")).groupBy(key).agg(best)
-    while True:
-        of_bucket = heaviest(edges.join(labels, "doc"), "bucket")
-        new = cut(heaviest(edges.join(of_bucket, "bucket"), "doc"))
-        settled = new.join(labels.withColumnRenamed("label", "old"), "doc").where("label <> old").isEmpty()
-        labels = new
-        if settled:
-            break
-    first = labels.groupBy("label").agg(F.min("doc").alias("community"))
-    return labels.join(first, "label").select("community", F.col("doc").alias("element"))
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {algorithm!r}: one of {', '.join(ALGORITHMS)}")
+    if edges not in ("linear", "quadratic"):
+        raise ValueError(f"unknown edges {edges!r}: linear or quadratic")
+    placed = cut(components.select("node", "component"))
+    kind = placed.schema["node"].dataType.simpleString()
+    sizes = placed.groupBy("component").agg(F.count("*").alias("elements"))
+    tiny = placed.join(sizes.where("elements <= 2"), "component", "left_semi").select(F.col("component").alias("community"), F.col("node").alias("element"))
+    large = placed.join(sizes.where("elements > 2"), "component", "left_semi")
+    graph = cut(graph_of(linear, large, edges))
+    if graph.isEmpty():
+        return tiny
+    found = ALGORITHMS[algorithm](graph, **parameters).where("u like '0%'").select("component", F.substring("u", 2, 1 << 30).cast(kind).alias("element"), "label")
+    first = found.groupBy("component", "label").agg(F.min("element").alias("community"))
+    return tiny.unionByName(found.join(first, ["component", "label"]).select("community", "element"))
