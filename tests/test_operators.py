@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from twinsift.functions import stemming
 from twinsift.operators import communities, docfreq, features, lsh, numbering, wmh
 from twinsift.operators.components import connected_components
 
@@ -66,6 +67,22 @@ def test_features(spark):
     assert {r["feature"] for r in features.sequences(words, 1, (3,), 2).collect()} == {"s.a>b>c", "s.c>d>e"}
 
 
+def test_stems():
+    known = {"consumer": "consum", "consumers": "consum", "notifiers": "notifi", "running": "run", "relational": "relat", "conditional": "condit", "hopefulness": "hope", "adoption": "adopt",
+             "replacement": "replac", "electriciti": "electr", "controlling": "control", "generalizations": "gener", "oscillators": "oscil", "probate": "probat", "happily": "happili", "agreed": "agreed", "queues": "queues",
+             "flattening": "flatten", "filings": "file", "été": "été", "x" * 9: "x" * 9, "": ""}
+    assert {w: stemming.stem(w) for w in known} == known
+
+
+def test_identifiers_by_stem_and_frequency(spark):
+    items = spark.createDataFrame([("d", "consumeQueue Consumers running_consumer"), ("e", "consumer"), ("f", "")], "doc string, text string")
+    got = {(r["doc"], r["feature"]): r["weight"] for r in features.identifiers(items, 10, stem=True).collect()}
+    assert got == {("d", "i.consum"): 30, ("d", "i.queue"): 10, ("d", "i.run"): 10, ("e", "i.consum"): 10}
+    found = features.identifiers(items, 10, stem=True)
+    assert {(r["doc"], r["feature"]) for r in features.frequent(found, 2).collect()} == {("d", "i.consum"), ("e", "i.consum")}
+    assert features.frequent(found, 1) is found and features.frequent(found, 3).count() == 0
+
+
 def test_graphlets(spark):
     nodes = spark.createDataFrame([("d", 0, None, "File"), ("d", 1, 0, "B"), ("d", 2, 0, "A")], "doc string, node_id long, parent_id long, internal_type string")
     assert {r["feature"]: r["weight"] for r in features.graphlets(nodes, 5).collect()} == {"g.None_File_A_B": 5, "g.File_A": 5, "g.File_B": 5}
@@ -175,17 +192,3 @@ def test_walktrap_splits_two_cliques():
     clique = lambda at: [(at + i, at + j, 1.0) for i in range(5) for j in range(i)]
     found = communities.walktrap(10, clique(0) + clique(5) + [(0, 5, 1.0)])
     assert len(set(found[:5])) == len(set(found[5:])) == 1 and found[0] != found[5]
-
-
-def test_labels_travel_until_they_settle(spark):
-    names = [r["id"] for r in spark.sql("select cast(id as string) id from range(13) order by hash(cast(id as string))").collect()]
-    edges = [(d, f"b{i}", i + 1) for i in range(len(names) - 1) for d in names[i : i + 2]]
-    found = communities._propagate(spark.createDataFrame(edges, "doc string, bucket string, weight long")).collect()
-    assert {r["element"] for r in found} == set(names) and {r["community"] for r in found} == {min(names)}
-
-
-def test_large_components_are_split_over_the_cluster(spark, monkeypatch):
-    monkeypatch.setattr(communities, "MOST", 1)
-    members = lsh.buckets(bands(spark))
-    found = communities.communities(lsh.linear_edges(members), connected_components(lsh.star_edges(members))).collect()
-    assert {r["element"] for r in found} == set("abcde")

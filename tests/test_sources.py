@@ -35,7 +35,7 @@ def test_filters(spark):
     assert {r["reason"]: r["files"] for r in sources.skip_report(files.where("content is not null"), 500).collect()} == {"processed": 5, "small": 1, "empty": 1, "no language": 1}
     cases = [(b"a\x00b", "x"), (b"\x10\x01", "y"), (b"p\x00", "x2"), (b"\x10\x01\x00", "x3"), (b"\xff\xfe\xe9\x00", "x4"), (b"a" * 8000 + b"\x00", "y2"), (b"", "y3"), (b"\xe9" * 9, "y4")]
     binary = spark.createDataFrame([(bytearray(c), p) for c, p in cases], "content binary, path string")
-    got = sources._with_facts(binary.withColumns({"repository_id": F.lit("r"), "commit_hash": F.lit("c"), "lang": F.lit("en")})).collect()
+    got = sources.with_facts(binary.withColumns({"repository_id": F.lit("r"), "commit_hash": F.lit("c"), "lang": F.lit("en")})).collect()
     assert {r["path"]: r["is_binary"] for r in got} == {p: p[0] == "x" for _, p in cases}
 
 
@@ -44,15 +44,20 @@ def test_size_limit_is_strict(spark):
     assert [r["content_size"] for r in sources.similarity_candidates(sources.from_documents(docs), 500).collect()] == [501]
 
 
-def test_repositories_are_named_by_the_first_level_below_the_root(spark, tmp_path):
-    for root in ("git/git", "c++", "a.b[1]"):
+@pytest.mark.parametrize("made,asked", [(["git/git"], "git/git"), (["c++"], "c++/"), (["a.b1"], "a.b[1]"), (["in-1", "in-22222"], "in*"), (["d/x", "e/f/x"], "{d,e/f}"), (["[1]"], "\\[1\\]")])
+def test_repositories_are_named_by_the_first_level_below_the_root(spark, tmp_path, made, asked):
+    """Whatever the root is: with signs that patterns use, a pattern of several roots, roots of several depths."""
+    for root in made:
         for repo in ("repoA", "git"):
             at = tmp_path / root / repo / "git" / "sub"
             at.mkdir(parents=True)
-            (at / "x.py").write_text("x = 1\n")
-        found = sources.from_folder(spark, str(tmp_path / root) + "/" * (root == "c++")) if "[" not in root else None
-        if found is not None:
-            assert {(r["repository_id"], r["path"], r["lang"]) for r in found.collect()} == {("repoA", "git/sub/x.py", "Python"), ("git", "git/sub/x.py", "Python")}
+            (at / f"{root[:1]}.py").write_text("x = 1\n")
+    found = sources.from_folder(spark, f"{tmp_path}/{asked}").collect()
+    first = "x/" if asked.startswith("{") else ""
+    got = {(r["repository_id"], r["path"]) for r in found}
+    repos = {"x"} if first else {"repoA", "git"}
+    assert {r for r, _ in got} == repos and len(found) == 2 * len(made)
+    assert {p for _, p in got} == {(f"{repo}/" if first else "") + f"git/sub/{root[:1]}.py" for root in made for repo in ("repoA", "git")}
 
 
 PYTHON = {
@@ -160,7 +165,7 @@ def test_a_file_that_hangs_crashes_or_is_huge_is_counted_and_stops_nothing(spark
         return trees.python_tree(text)
 
     texts = ["hang", "x = 1", "crash", "raise", "x = 0x" + "f" * 5000, "def f(:", "y = 2", "(" * 500 + ")" * 500]
-    files = sources._with_facts(source_files(spark, [(f"f{i}", t, "Python") for i, t in enumerate(texts)]).withColumn("path", F.concat("path", F.lit(".py"))))
+    files = sources.with_facts(source_files(spark, [(f"f{i}", t, "Python") for i, t in enumerate(texts)]).withColumn("path", F.concat("path", F.lit(".py"))))
     nodes, seen = trees.observed(trees.nodes_of(files, 1.0, {"Python": bad}))
     nodes = lineage.cut(nodes)
     assert seen.get == {"parsed": 3, "failed": 5, "late": 1, "crashed": 1}
@@ -174,7 +179,7 @@ def test_a_file_that_hangs_crashes_or_is_huge_is_counted_and_stops_nothing(spark
 def test_items_of_files_with_and_without_parsers(spark):
     """Functions of source code, lines of prose; other programming languages have no items in function mode."""
     rows = [("g.go", "func A() {\n}\n", "Go"), ("x.rs", "fn main() {\n}\n", "Rust"), ("p.txt", "some words\n\nmore", "en"), ("bad.go", "func A() {", "Go")]
-    files = sources._with_facts(source_files(spark, rows))
+    files = sources.with_facts(source_files(spark, rows))
     of = {m.name: engine.items_of(files, replace(m, min_size=0), engine.nodes_of(files, replace(m, min_size=0))).collect() for m in (FILE, FUNC)}
     assert sorted((r["path"], r["fn_name"], r["fn_line"]) for r in of["func"]) == [("g.go", "A", 1), ("p.txt", "more", 3), ("p.txt", "some", 1)]
     assert sorted(r["path"] for r in of["file"]) == ["g.go", "p.txt", "x.rs"]

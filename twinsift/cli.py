@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from twinsift.config import mode as mode_of
 from twinsift.functions.formatting import QUERY_PATH
+from twinsift.lineage import cut
 from twinsift.operators import docfreq, report
 from twinsift.plans import engine
 from twinsift.sources import files as sources
+from twinsift.sources import git
 from twinsift.sources.store import NotEmptyError, Store
 
 MOST_PRINTED = 100  # repositories
@@ -37,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     h = command("hash")
     h.add_argument("path")
     h.add_argument("--replace", action="store_true")
+    h.add_argument("-f", "--format", choices=("files", "git"), default=env("--format", "files"), help="plain files, or git repositories at their HEAD")
     h.add_argument("--limit", type=int, default=int(env("--limit", 0)))
     h.add_argument("--docfreq-file", default=env("--docfreq-file", ""), help="also write the document frequencies there as JSON")
     q = command("query")
@@ -59,7 +62,7 @@ def stream(rows: DataFrame, column: str) -> Iterator[str]:
 
 
 def run_hash(args: argparse.Namespace, spark: SparkSession, store: Store) -> int:
-    mode, files = mode_of(args.mode), sources.from_folder(spark, args.path)
+    mode, files = mode_of(args.mode), cut(git.from_git(spark, args.path)) if args.format == "git" else sources.from_folder(spark, args.path)
     repos = sources.list_repositories(files, args.limit)
     if args.limit:
         files = sources.only_repositories(files, repos)

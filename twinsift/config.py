@@ -19,6 +19,8 @@ class Mode:
     sequence_lengths: tuple[int, ...] = (3,)
     sequence_stride: int = 1
     min_size: int | None = None
+    stem: bool = False  # identifiers as stems
+    least_docs: int = 1  # documents that a feature must have to be kept at extraction
 
 
 # Results depend on them.

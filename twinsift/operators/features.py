@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.config import MAX_FEATURE, Mode
+from twinsift.functions.stemming import stems
 from twinsift.sources import trees
 from twinsift.sources.files import text_of
 
@@ -20,10 +21,13 @@ def _bag(items: DataFrame, names: Column, weight: int) -> DataFrame:
     return found.groupBy("feature", "doc").agg((F.count("*") * weight).alias("weight"))
 
 
-def identifiers(items: DataFrame, weight: int = 1) -> DataFrame:
-    """``i.`` and the lower-case parts of camel- or snake-case words; the weight is a multiple of their number."""
-    parts = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
-    return _bag(items, F.transform(parts, lambda p: F.concat(F.lit("i."), F.lower(p))), weight)
+def identifiers(items: DataFrame, weight: int = 1, stem: bool = False) -> DataFrame:
+    """``i.`` and the lower-case parts of camel- or snake-case words; the weight is a multiple of their number.
+
+    ``stem``: parts of over six letters count as their stems.
+    """
+    parts = F.transform(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)), F.lower)
+    return _bag(items, F.transform(stems(parts) if stem else parts, lambda p: F.concat(F.lit("i."), p)), weight)
 
 
 def literals(items: DataFrame, weight: int = 1) -> DataFrame:
@@ -66,7 +70,7 @@ def graphlets(nodes: DataFrame, weight: int = 1) -> DataFrame:
 
 #: Extractors by name: each takes (items, mode) and may be joined by others.
 EXTRACTORS: dict[str, Callable[[DataFrame, Mode], DataFrame | None]] = {
-    "identifiers": lambda items, m: identifiers(items, m.identifiers),
+    "identifiers": lambda items, m: identifiers(items, m.identifiers, m.stem),
     "literals": lambda items, m: None if m.literals is None else literals(items, m.literals),
     "sequences": lambda items, m: None if m.sequences is None else sequences(items, m.sequences, m.sequence_lengths, m.sequence_stride),
 }
@@ -91,7 +95,15 @@ def extract(items: DataFrame, mode: Mode, nodes: DataFrame | None = None) -> Dat
     out = parts[0]
     for f in parts[1:]:
         out = out.unionByName(f)
-    return out
+    return frequent(out, mode.least_docs)
+
+
+def frequent(features: DataFrame, threshold: int) -> DataFrame:
+    """Without features that fewer than ``threshold`` documents have, whatever their weight."""
+    if threshold <= 1:
+        return features
+    common = features.groupBy("feature").agg(F.countDistinct("doc").alias("df")).where(F.col("df") >= threshold).select("feature")
+    return features.join(common, "feature", "left_semi")
 
 
 def line_items(files: DataFrame) -> DataFrame:

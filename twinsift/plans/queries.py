@@ -7,6 +7,7 @@ weighted sets that need no text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +24,17 @@ from twinsift.sources import files as sources
 from twinsift.sources import pages as page_source
 from twinsift.sources import trees
 
+LEAST_DOCS = 5  # fixed value: the threshold that extraction is asked for
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+SMALL_SQL: dict[str, str] = {}  # equal, but too slow on whole tables: the tests hold these queries against it on a few documents
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, small: bool = False):
     def add(f):
         QUERIES[f.__name__.rstrip("_")] = f
         if sql is not None:
-            ORACLE[f.__name__.rstrip("_")] = sql
+            (SMALL_SQL if small else ORACLE)[f.__name__.rstrip("_")] = sql
         return f
 
     return add
@@ -261,6 +264,16 @@ def feat_identifiers(spark, d):
     return features.identifiers(_items(spark, d, FILE), FILE.identifiers)
 
 
+@query()
+def feat_identifiers_stemmed(spark, d):
+    return features.identifiers(_items(spark, d, FILE), FILE.identifiers, stem=True)
+
+
+@query(f"WITH {_features_sql(FILE)}, common AS (SELECT feature FROM features GROUP BY feature HAVING count(DISTINCT doc) >= {LEAST_DOCS}) SELECT * FROM features WHERE feature IN (SELECT feature FROM common)")
+def features_frequent(spark, d):
+    return features.extract(_items(spark, d, FILE), replace(FILE, least_docs=LEAST_DOCS))
+
+
 @query(f"WITH {_items_sql(FILE)} {_names_sql('l', FILE.literals)}")
 def feat_literals(spark, d):
     return features.literals(_items(spark, d, FILE), FILE.literals)
@@ -374,7 +387,7 @@ def extract_functions(spark, d):
 @query(f"""WITH {SOURCES_SQL}, docs AS (SELECT DISTINCT doc_id, lang, kind FROM fs)
     SELECT CASE WHEN lang IS NOT NULL THEN 'processed' WHEN kind = 3 THEN 'no tree: SyntaxError' ELSE 'no tree: Unbalanced' END AS reason, count(*) AS files FROM docs GROUP BY 1""")
 def parse_errors(spark, d):
-    files = cut(sources._with_facts(_sources(spark, d)))
+    files = cut(sources.with_facts(_sources(spark, d)))
     return sources.skip_report(files, 0, cut(trees.nodes_of(files)))
 
 
@@ -470,7 +483,7 @@ def hashtables_file(spark, d):
     return _bands(spark, d, FILE)
 
 
-@query(f"WITH {_all_sql(FUNC)} SELECT doc, hashtable, value FROM bands")
+@query(f"WITH {_all_sql(FUNC)} SELECT doc, hashtable, value FROM bands", small=True)
 def hashtables_func(spark, d):
     return _bands(spark, d, FUNC)
 
@@ -594,7 +607,7 @@ def query_similar(spark, d):
 
 
 @query(f"""WITH {_all_sql(FUNC)}, {CANDIDATES_SQL} SELECT query_doc, repo, "commit", m.path, sha1, fn_name, fn_line FROM cands JOIN items i ON cands.doc = i.doc JOIN meta m ON i.blob_id = m.sha1
-    WHERE query_doc IN (SELECT doc FROM items WHERE fn_line = 1)""")
+    WHERE query_doc IN (SELECT doc FROM items WHERE fn_line = 1)""", small=True)
 def query_func_filtered(spark, d):
     items, asked, found = _lookup(spark, d, FUNC)
     first = asked.where("fn_line = 1").select(F.col("doc").alias("query_doc"))

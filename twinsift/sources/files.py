@@ -21,7 +21,7 @@ LANGUAGES = {
 }
 
 
-def _with_facts(files: DataFrame) -> DataFrame:
+def with_facts(files: DataFrame) -> DataFrame:
     content = F.col("content")
     return files.select(
         "repository_id", "commit_hash", "path", "content",
@@ -32,22 +32,34 @@ def _with_facts(files: DataFrame) -> DataFrame:
 
 def from_documents(documents: DataFrame) -> DataFrame:
     """Documents as files: a source is a repository."""
-    return _with_facts(documents.select(
+    return with_facts(documents.select(
         F.col("source").alias("repository_id"), F.sha1(F.col("source")).alias("commit_hash"),
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"), "lang",
     ))
 
 
+def below_roots(spark: SparkSession, root: str) -> Column:
+    """The part of a file's path below the root it was found in; ``root`` may be a pattern with several."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    roots = sorted({fs.makeQualified(s.getPath()).toString().rstrip("/") for s in fs.globStatus(at) or []}, key=len, reverse=True)
+    if len({r.count("/") for r in roots}) == 1:  # all at one depth: however many they are, one expression does
+        return F.array_join(F.slice(F.split("path", "/"), roots[0].count("/") + 2, 1 << 20), "/")
+    return F.coalesce(*[F.when(F.col("path").startswith(r + "/"), F.substring("path", len(r) + 2, 1 << 30)) for r in roots], F.lit(""))
+
+
+def language(path: Column) -> Column:
+    """The language that a file's name ends in; null for others."""
+    return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))]
+
+
 def from_folder(spark: SparkSession, root: str, commit: str = "") -> DataFrame:
-    """All files below ``root``; its first level names the repository."""
+    """All files below ``root``, which may be a pattern; the first level below a root names the repository."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    tail = F.substring("path", len(whole.rstrip("/")) + 2, 1 << 30)  # a path begins with the root as the file system writes it
-    language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))]
-    return _with_facts(raw.select(
+    tail = below_roots(spark, root)
+    return with_facts(raw.select(
         F.substring_index(tail, "/", 1).alias("repository_id"), F.lit(commit).alias("commit_hash"),
-        F.regexp_replace(tail, "^[^/]*/", "").alias("path"), "content", language.alias("lang"),
+        F.regexp_replace(tail, "^[^/]*/", "").alias("path"), "content", language(F.col("path")).alias("lang"),
     ))
 
 
