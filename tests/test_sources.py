@@ -13,7 +13,7 @@ from twinsift.operators import communities, features, report
 from twinsift.plans import engine
 from twinsift.sources import files as sources
 from twinsift.sources import pages, scanner, trees
-from twinsift.sources.store import NotEmptyError, Store
+from twinsift.sources.store import SCHEMAS, ConflictError, Job, NotEmptyError, Store
 from twinsift.streaming.ingest import ingest
 
 
@@ -225,10 +225,66 @@ def test_items_with_trees_have_graphlets_and_node_sequences(spark):
 def test_a_table_that_cannot_be_read_is_no_empty_table(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.read("meta").isEmpty()
-    (tmp_path / "hashes" / "meta").mkdir(parents=True)
-    (tmp_path / "hashes" / "meta" / "part-0.parquet").write_bytes(b"no parquet")
+    with store.job() as job:
+        job.save_meta(spark.createDataFrame([("a", "r", "c", "p")], "sha1 string, repo string, commit string, path string"))
+    assert store.read("meta").count() == 1
+    for part in (tmp_path / "hashes").glob("meta/*/*.parquet"):
+        part.write_bytes(b"no parquet")
+        part.with_name(f".{part.name}.crc").unlink()
     with pytest.raises(Exception):  # noqa: B017
-        store.read("meta").isEmpty()
+        store.read("meta").count()
+
+
+def state(store):
+    return {t: sorted(map(str, store.read(t).collect())) for t in SCHEMAS}
+
+
+@pytest.mark.parametrize("replace", [False, True])
+@pytest.mark.parametrize("dies_in", ["save_docfreq", "save_bands", "write"])
+def test_a_job_that_dies_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch, dies_in, replace):
+    """Killed between two tables or while it switches: nothing of it counts, what it was to replace is there, a rerun is whole."""
+    docs = documents(spark)
+    store, whole = Store(spark, str(tmp_path)), Store(spark, str(tmp_path), "other")
+    files = sources.from_documents(docs)
+    if replace:
+        engine.hash_files(sources.from_documents(docs.where("doc_id < 5")), store, FUNC)
+        engine.hash_files(sources.from_documents(docs.where("doc_id < 5")), whole, FUNC)
+    before = state(store)
+
+    class Killed(Exception):
+        pass
+
+    def die(self, *args):
+        if dies_in == "write":  # a manifest that is half written
+            at, fs = self._at(f"_manifests/{args[0].number:09d}.json")
+            out = fs.create(at, False)
+            out.write(bytearray(b'{"folders": [{"tab'))
+            out.close()
+        raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(Store if dies_in == "write" else Job, dies_in, die)
+        with pytest.raises(Killed):
+            engine.hash_files(files, store, FUNC, replace)
+    assert state(store) == before and store.is_empty("func") != replace
+    engine.hash_files(files, store, FUNC, replace)
+    engine.hash_files(files, whole, FUNC, replace)
+    assert state(store) == state(whole)
+    store.vacuum()
+    assert state(store) == state(whole) and len(list((tmp_path / "hashes" / "_manifests").glob("*.json"))) == 1
+
+
+def test_of_two_jobs_at_a_time_one_begins_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", "r", "c", "p")], "sha1 string, repo string, commit string, path string")
+    with pytest.raises(ConflictError), store.job() as slow:
+        slow.save_meta(rows)
+        with store.job("once") as fast:
+            fast.save_meta(rows)
+    assert store.read("meta").count() == 1
+    with store.job("once") as again:
+        assert again.repeated
+        again.name = None
 
 
 def test_unique_repositories_prefer_remote(spark):

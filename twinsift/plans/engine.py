@@ -59,14 +59,18 @@ def bands_of(bags: DataFrame, mode: Mode) -> DataFrame:
 
 
 def hash_files(files: DataFrame, store: Store, mode: Mode, replace: bool = False) -> None:
+    """Places, frequencies and bands of ``files`` into the store, as one job: all of them or, if it fails, none."""
     store.ready_for(mode.name, replace)
-    nodes = nodes_of(files, mode)
-    items = items_of(files, mode, nodes)
-    found = cut(features_of(items, mode, nodes))
-    docs, freq = docfreq.count_docs(items), docfreq.doc_freq(found)
-    store.save_meta(sources.meta(sources.readable(files)))
-    store.save_docfreq(docs, freq, mode.name)
-    store.save_bands(bands_of(docfreq.bags(found, freq, docs), mode), mode.name)
+    with store.job() as job:
+        if replace:
+            job.clean(mode.name)
+        nodes = nodes_of(files, mode)
+        items = items_of(files, mode, nodes)
+        found = cut(features_of(items, mode, nodes))
+        docs, freq = docfreq.count_docs(items), docfreq.doc_freq(found)
+        job.save_meta(sources.meta(sources.readable(files)))
+        job.save_docfreq(docs, freq, mode.name)
+        job.save_bands(bands_of(docfreq.bags(found, freq, docs), mode), mode.name)
 
 
 def items_in_store(docs: DataFrame, mode: Mode) -> DataFrame:
