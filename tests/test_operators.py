@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -112,17 +113,43 @@ def test_vocabulary_is_ordered(spark):
 
 
 def test_docfreq_json(spark, tmp_path):
-    docs, freq = spark.createDataFrame([(3,)], "docs long"), spark.createDataFrame([("b", 1), ("a", 2)], "feature string, df long")
-    path = str(tmp_path / "m.json")
-    docfreq.write_json(docs, freq, path)
-    got = docfreq.read_json(spark, path)
-    assert got[0].first()["docs"] == 3 and {tuple(r) for r in got[1].collect()} == {("a", 2), ("b", 1)}
-    assert docfreq.read_json(spark, str(tmp_path / "none.json")) is None
+    """A folder whose parts make one object, and single files of others."""
+    names = ["b", "a", 'q"uote', "back\\slash", "new\nline", "é\u2028", "", "x: 1", "[", "z" * 300]
+    docs, freq = spark.createDataFrame([(3,)], "docs long"), spark.createDataFrame([(f, i + 1) for i, f in enumerate(names)], "feature string, df long")
+    path = tmp_path / "m.json"
+    docfreq.write_json(docs, freq.repartition(4), str(path))
+    whole = json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))
+    assert whole == {"docs": 3, "tokens": sorted(names), "df": {f: i + 1 for i, f in enumerate(names)}}
+    (tmp_path / "one.json").write_text(json.dumps(whole))
+    for of in (path, tmp_path / "one.json"):
+        got = docfreq.read_json(spark, str(of))
+        assert [r["docs"] for r in got[0].collect()] == [3] and sorted(map(tuple, got[1].collect())) == sorted(whole["df"].items())
+    docfreq.write_json(docs, freq.limit(0), str(tmp_path / "none"))
+    got = docfreq.read_json(spark, str(tmp_path / "none"))
+    assert got[0].first()["docs"] == 3 and got[1].count() == 0
+    assert docfreq.read_json(spark, str(tmp_path / "missing.json")) is None
     (tmp_path / "bad.json").write_text('{"docs": 1, "tokens": []}')
     with pytest.raises(ValueError, match="df"):
         docfreq.read_json(spark, str(tmp_path / "bad.json"))
 
 
+def test_a_band_that_a_third_of_the_items_have_is_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "BLOCK", 16)
+    rows = [(0, "hot", f"h{i:03d}") for i in range(200)] + [(t, f"v{i // 2}", f"d{i}") for t in range(2) for i in range(200)]
+    index = spark.createDataFrame(rows, "hashtable int, value string, doc string")
+    asked = index.where("doc like '%5' or value = 'hot'")
+    got = sorted(map(tuple, lsh.candidates(asked, index).collect()))
+    of = {}
+    for t, v, d in rows:
+        of.setdefault((t, v), []).append(d)
+    assert got == sorted({(q, d) for t, v, q in rows if q.endswith("5") or v == "hot" for d in of[t, v]})
+    left, right = lsh.dealt(asked, index.withColumnRenamed("doc", "other"), ["hashtable", "value"])
+    sizes = sorted(r["count"] for side in (left, right) for r in side.groupBy("hashtable", "value", "_l", "_r").count().collect())
+    assert sizes[-1] <= 40  # the hot band alone has 200 on either side
+    pairs = {(r["a"], r["b"]): r["bands"] for r in lsh.quadratic_edges(index).collect()}
+    assert len(pairs) == 200 * 199 // 2 + 100 and pairs["d0", "d1"] == 2
+
+
 def test_signatures_agree_with_the_column_form_and_ignore_order(spark):
     found = spark.createDataFrame(bag_rows(), "feature string, doc string, weight long")
     bags = docfreq.bags(found, docfreq.doc_freq(found), docfreq.count_docs(found)).cache()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,24 +44,39 @@ def vocabulary(freq: DataFrame, per_range: int = 200_000) -> DataFrame:
 
 
 def write_json(docs: DataFrame, freq: DataFrame, path: str) -> None:
-    """A model as one JSON object: docs, sorted tokens, df.  The rows stream through the driver, which holds a token at a time."""
-    with open(path, "w", encoding="utf-8") as f:
-        for key, form in (("tokens", lambda r: json.dumps(r["feature"], ensure_ascii=False)), ("df", lambda r: f"{json.dumps(r['feature'], ensure_ascii=False)}: {r['df']}")):
-            f.write(f'{{"docs": {docs.first()["docs"]}, "tokens": [' if key == "tokens" else '], "df": {')
-            for i, r in enumerate(freq.orderBy("feature").toLocalIterator()):
-                f.write((", " if i else "") + form(r))
-        f.write("}}")
+    """A model as one JSON object in a folder: docs, sorted tokens, df.
+
+    The parts of the folder, one after the other, are the object; each is a range of tokens that one task sorts and
+    writes, so there may be any number of tokens.
+    """
+    n, first = docs.first()["docs"], freq.agg(F.min("feature")).first()[0]
+    quoted = F.expr("substring(to_json(array(feature)), 2, length(to_json(array(feature))) - 2)")
+    comma = F.when(F.col("feature") == first, "").otherwise(", ")
+    rows = freq.select("feature", F.explode(F.array(F.struct(F.lit(1).alias("part"), F.concat(comma, quoted).alias("value")),
+                                                    F.struct(F.lit(3).alias("part"), F.concat(comma, quoted, F.lit(": "), F.col("df").cast("string")).alias("value")))).alias("x"))
+    frame = [(0, f'{{"docs": {n}, "tokens": ['), (2, '], "df": {'), (4, "}}")]
+    fixed = freq.sparkSession.createDataFrame(frame, "part int, value string").select("part", F.lit("").alias("feature"), "value")
+    lines = rows.select("x.part", "feature", "x.value").unionByName(fixed)
+    lines.repartitionByRange("part", "feature").sortWithinPartitions("part", "feature").select("value").write.mode("overwrite").text(path)
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(docs, freq) of a JSON model; None if there is no file, an error that names a missing key."""
-    try:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-    except FileNotFoundError:
+    """(docs, freq) of a JSON model; None if there is none, an error that names a missing key.
+
+    A folder of ``write_json`` is read line by line, each in its own task; a single file is one object, which one task reads.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         return None
-    for key in ("docs", "tokens", "df"):
-        if key not in found:
+    if fs.getFileStatus(at).isDirectory():
+        lines = spark.read.text(path)
+        docs = lines.select(F.regexp_extract("value", r'^\{"docs": (\d+), "tokens": \[$', 1).try_cast("long").alias("docs")).where("docs is not null")
+        pair = r'^(?:, )?("(?:[^"\\]|\\.)*"): (\d+)$'
+        name = F.get(F.from_json(F.concat(F.lit("["), F.regexp_extract("value", pair, 1), F.lit("]")), "array<string>"), 0)
+        return docs, lines.where(F.col("value").rlike(pair)).select(name.alias("feature"), F.regexp_extract("value", pair, 2).try_cast("long").alias("df"))
+    found = spark.read.schema("docs long, tokens array<string>, df map<string, long>").json(path, multiLine=True)
+    for key, missing in found.select(*(F.col(k).isNull().alias(k) for k in ("docs", "tokens", "df"))).first().asDict().items():
+        if missing:
             raise ValueError(f"document frequencies in {path} lack the key {key!r}")
-    docs = spark.createDataFrame([(int(found["docs"]),)], "docs long")
-    return docs, spark.createDataFrame([(t, int(found["df"][t])) for t in found["tokens"]], "feature string, df long")
+    return found.select("docs"), found.select(F.explode("df").alias("feature", "df"))

@@ -6,11 +6,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.lineage import cut
+
+
+BLOCK = 4096  # rows of a key that one task takes from either side
+
+
+def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)).where(F.col(name) > 1)
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an inner join with ``_l`` and ``_r`` to join on besides ``keys``: the rows of a key that many have are
+    dealt into blocks, and a task joins one block of either side.  Other keys have one block each.
+    """
+    hot = cut(_blocks(left, keys, "nl").join(_blocks(right, keys, "nr"), keys, "full"))  # a key has BLOCK rows at least
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+
+    def side(rows: DataFrame, mine: str, other: str, own: str, every: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(*rows.columns, F.lit(3)), F.coalesce(mine, F.lit(1))).cast("int")
+        all_of = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return rows.join(hot, keys, "left").select(*rows.columns, block.alias(own), all_of.alias(every))
+
+    return side(left, "nl", "nr", "_l", "_r"), side(right, "nr", "nl", "_r", "_l")
+
 
 def candidates(query: DataFrame, index: DataFrame) -> DataFrame:
     """``query_doc, doc``: indexed items that share a band with a query item, each pair once."""
-    q = query.select(F.col("doc").alias("query_doc"), "hashtable", "value")
-    return q.join(index.select("doc", "hashtable", "value"), ["hashtable", "value"]).select("query_doc", "doc").distinct()
+    keys = ["hashtable", "value"]
+    left, right = dealt(query.select(F.col("doc").alias("query_doc"), *keys), index.select("doc", *keys), keys)
+    return left.join(right, [*keys, "_l", "_r"]).select("query_doc", "doc").distinct()
 
 
 def buckets(bands: DataFrame) -> DataFrame:
@@ -36,9 +61,9 @@ def linear_edges(members: DataFrame) -> DataFrame:
 
 def quadratic_edges(members: DataFrame) -> DataFrame:
     """``a, b, bands`` for all pairs in a bucket: grows with the square of a bucket, for small reports only."""
-    m = members.select("hashtable", "value", F.col("doc").alias("a"))
-    pairs = m.join(m.withColumnRenamed("a", "b"), ["hashtable", "value"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("bands"))
+    keys = ["hashtable", "value"]
+    left, right = dealt(members.select(*keys, F.col("doc").alias("a")), members.select(*keys, F.col("doc").alias("b")), keys)
+    return left.join(right, [*keys, "_l", "_r"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("bands"))
 
 
 def band_parameters(threshold: float, samples: int, false_positive: float = 0.5, false_negative: float = 0.5) -> tuple[int, int]:
