@@ -128,43 +128,38 @@ def intervals(nodes: DataFrame, kept: Column) -> DataFrame:
     One sweep over nodes in order with the stack of open ones: a node ends where the next one's parent lies before it.
     Only a path of the tree is held, so a document may have any number of nodes.
     """
-    names = nodes.columns
-    rows = nodes.where("node_id is not null").withColumn("_kept", F.coalesce(kept, F.lit(False)))
+    rest = [c for c in nodes.columns if c not in ("doc", "node_id", "parent_id")]
+    keep = F.coalesce(kept, F.lit(False))
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(1))
+    # Nodes that are not kept travel as three columns: most of a tree is only there to end subtrees.
+    rows = nodes.where("node_id is not null").select("doc", "node_id", "parent_id", keep.alias("keep"), F.when(keep, row).alias("row"))
     rows = rows.repartition("doc").sortWithinPartitions("doc", "node_id")
-    at = {c: names.index(c) for c in ("doc", "node_id", "parent_id")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path: list[tuple[int, dict | None]] = []  # number of each open node, and its row if it is kept
-        before, doc, schema = 0, None, None
+        path: list[tuple[int, int | None, bool, dict | None]] = []  # the open nodes: number, parent, whether kept, other columns
+        before, doc, kinds = 0, None, None
 
-        def end(out: list[dict], last: int) -> None:
-            row = path.pop()[1]
-            if row is not None:
-                out.append({**row, "last_id": last})
-
-        def batch_of(out: list[dict]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([r[f.name] for r in out], f.type) for f in schema], schema)
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            fixed = [pa.array([r[i] for r in out], t) for i, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()), (4, pa.int64()))]
+            return pa.record_batch([*fixed[:3], *(pa.array([r[3][c] for r in out], t) for c, t in kinds), fixed[3]], ["doc", "node_id", "parent_id", *rest, "last_id"])
 
         for batch in batches:
-            schema = schema or pa.schema([*(f for f in batch.schema if f.name != "_kept"), pa.field("last_id", pa.int64())])
-            keep = batch.column(len(names)).to_pylist()
-            held = iter(batch.filter(batch.column(len(names))).select(names).to_pylist())
-            out: list[dict] = []
-            for d, n, p, k in zip(*(batch.column(at[c]).to_pylist() for c in ("doc", "node_id", "parent_id")), keep):
+            kinds = kinds or [(f.name, f.type) for f in batch.schema.field("row").type if f.name in rest]
+            out: list[tuple] = []
+            for d, n, p, k, r in zip(*(c.to_pylist() for c in batch.columns)):
                 while path and (d != doc or p is None or path[-1][0] > p):
-                    end(out, before)
-                path.append((n, next(held) if k else None))
+                    number, parent, is_kept, other = path.pop()
+                    if is_kept:
+                        out.append((doc, number, parent, other, before))
+                path.append((n, p, k, r))
                 before, doc = n, d
             if out:
                 yield batch_of(out)
-        out = []
-        while path:
-            end(out, before)
-        if out:
+        if out := [(doc, number, parent, other, before) for number, parent, is_kept, other in path if is_kept]:
             yield batch_of(out)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields]
-    return rows.mapInArrow(run, ", ".join([*fields, "last_id long"]))
+    kind = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    return rows.mapInArrow(run, f"doc string, node_id long, parent_id long, {''.join(f'`{c}` {kind[c]}, ' for c in rest)}last_id long")
 
 
 def outermost(nodes: DataFrame, kind: Column, named: Column) -> DataFrame:
