@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsift.config import Mode
 from twinsift.functions.formatting import split_func_item
-from twinsift.lineage import cut
+from twinsift.lineage import cut, written
 from twinsift.operators import communities, docfreq, features, lsh, report, wmh
 from twinsift.operators.components import connected_components
 from twinsift.sources import files as sources
@@ -26,7 +26,7 @@ def chosen_files(files: DataFrame, mode: Mode) -> DataFrame:
 def nodes_of(files: DataFrame, mode: Mode) -> DataFrame:
     """The trees of the files that a mode looks at, parsed once; how many gave none goes to the log."""
     nodes, seen = trees.observed(trees.nodes_of(chosen_files(files, mode)))
-    nodes = cut(nodes)
+    nodes, _ = written(nodes)  # columns of names and kinds shrink in a table; a checkpoint would keep whole rows
     if seen.get["failed"]:
         log.warning("files without a tree: %s", seen.get)
     return nodes

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinsift.config import FILE, FUNC, Mode
 from twinsift.functions import formatting
 from twinsift.functions.hashing import uint32_le
-from twinsift.lineage import cut
+from twinsift.lineage import cut, written
 from twinsift.operators import communities as groups
 from twinsift.operators import docfreq, features, lsh, report, wmh
 from twinsift.operators.components import connected_components as components_of
@@ -334,7 +334,7 @@ def feat_graphlet(spark, d):
     FROM kind k LEFT JOIN last_ones l ON l.doc = k.doc AND l.node_id = k.node_id WHERE (k.doc, k.node_id) NOT IN (SELECT doc, node_id FROM inner_ones)""")
 def outermost_elements(spark, d):
     """Paragraphs, lists and boxes that lie in no other of these, named by the texts right below them."""
-    nodes = cut(page_source.nodes(_table(spark, d, "pages")).drop("roles"))
+    nodes, _ = written(page_source.nodes(_table(spark, d, "pages")).drop("roles"))
     return trees.outermost(nodes, F.col("internal_type").isin("p", "ul", "div"), F.col("internal_type") == "text").select("doc", "node_id", "last_id", "name")
 
 
@@ -380,7 +380,7 @@ SOURCES_SQL = """ls AS (SELECT doc_id, lang, unnest(string_split(text, chr(10)))
     FROM fs WHERE lang IS NOT NULL""")
 def extract_functions(spark, d):
     files = _sources(spark, d)
-    found = features.function_items(files, cut(trees.nodes_of(files)))
+    found = features.function_items(files, written(trees.nodes_of(files))[0])
     return found.select("blob_id", "fn_name", "fn_line", F.md5("text").alias("text_md5"))
 
 
@@ -388,7 +388,7 @@ def extract_functions(spark, d):
     SELECT CASE WHEN lang IS NOT NULL THEN 'processed' WHEN kind = 3 THEN 'no tree: SyntaxError' ELSE 'no tree: Unbalanced' END AS reason, count(*) AS files FROM docs GROUP BY 1""")
 def parse_errors(spark, d):
     files = cut(sources.with_facts(_sources(spark, d)))
-    return sources.skip_report(files, 0, cut(trees.nodes_of(files)))
+    return sources.skip_report(files, 0, trees.nodes_of(files))
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
