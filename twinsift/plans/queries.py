@@ -316,14 +316,14 @@ PAGES_SQL = r"""tok AS (SELECT page_id::VARCHAR AS doc, list_transform(regexp_ex
 @query(f"""WITH RECURSIVE {PAGES_SQL} SELECT doc, node_id, coalesce(parent_id, -1) AS parent_id, depth, (row_number() OVER (PARTITION BY doc, parent_id ORDER BY node_id) - 1)::INTEGER AS ord, internal_type, token,
     CASE WHEN internal_type = 'text' THEN 'Literal' ELSE 'Element' END AS role FROM tree""")
 def uast_nodes(spark, d):
-    return page_source.nodes(_table(spark, d, "pages")).withColumns({"role": F.col("roles")[0], "parent_id": F.coalesce("parent_id", F.lit(-1).cast("long"))}).drop("roles")
+    return page_source.nodes(_table(spark, d, "pages")).withColumns({"role": F.col("roles")[0], "parent_id": F.coalesce("parent_id", F.lit(-1).cast("long"))}).drop("roles", "last_id")
 
 
 @query(f"""WITH RECURSIVE {PAGES_SQL}, kids AS (SELECT doc, parent_id AS node_id, string_agg('_' || internal_type, '' ORDER BY internal_type) AS k FROM tree WHERE parent_id IS NOT NULL GROUP BY ALL)
     SELECT feature, doc, count(*) * {FILE.graphlet} AS weight FROM (SELECT t.doc, 'g.' || coalesce(p.internal_type, 'None') || '_' || t.internal_type || coalesce(k, '') AS feature
         FROM tree t LEFT JOIN tree p ON p.doc = t.doc AND p.node_id = t.parent_id LEFT JOIN kids ON kids.doc = t.doc AND kids.node_id = t.node_id) GROUP BY feature, doc""")
 def feat_graphlet(spark, d):
-    return features.graphlets(cut(page_source.nodes(_table(spark, d, "pages")).drop("roles", "token")), FILE.graphlet)
+    return features.graphlets(cut(page_source.nodes(_table(spark, d, "pages")).drop("roles", "token", "last_id")), FILE.graphlet)
 
 
 @query(f"""WITH RECURSIVE {PAGES_SQL}, kind AS (SELECT doc, node_id FROM tree WHERE internal_type IN ('p', 'ul', 'div')),

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "doc string, node_id long, parent_id long, depth int, ord int, internal_type string, token string, roles array<string>"
+from twinsift.sources.trees import last_ids
+
+NODES = "doc string, node_id long, parent_id long, depth int, ord int, internal_type string, token string, roles array<string>, last_id long"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -58,7 +60,7 @@ def nodes(pages: DataFrame) -> DataFrame:
                     tree.feed(html or "")
                 except AssertionError:  # html.parser on broken declarations
                     pass
-                out += [[doc, *r] for r in tree.rows]
+                out += [[doc, *r, last] for r, last in zip(tree.rows, last_ids([r[1] for r in tree.rows]))]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"parent_id": "Int64"})
 
     return pages.select(F.col("page_id").cast("string").alias("doc"), "html").mapInPandas(run, NODES)

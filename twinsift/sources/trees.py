@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -20,8 +20,8 @@ from twinsift.sources import scanner
 from twinsift.sources.files import text_of
 from twinsift.sources.watched import Failed, Watched
 
-NODES = "doc string, node_id long, parent_id long, ord int, internal_type string, token string, start_line int, start_at int, end_at int, roles array<string>, error string"
-_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
+NODES = "doc string, node_id long, parent_id long, ord int, internal_type string, token string, start_line int, start_at int, end_at int, roles array<string>, last_id long, error string"
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.string()]
 _NAMES = [c.split()[0] for c in NODES.split(", ")]
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 SECONDS = 30.0  # that a file may take
@@ -96,7 +96,11 @@ def nodes_of(files: DataFrame, seconds: float = SECONDS, parsers: dict[str, Call
     known = parsers or PARSERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse = Watched(lambda lang, text: list(zip(*known[lang](text))), seconds)
+        def columns(lang: str, text: str) -> list[tuple]:
+            found = list(zip(*known[lang](text)))
+            return [*found, last_ids(found[1])]
+
+        parse = Watched(columns, seconds)
         try:
             for batch in batches:
                 for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -104,7 +108,7 @@ def nodes_of(files: DataFrame, seconds: float = SECONDS, parsers: dict[str, Call
                         cols = [list(c) for c in parse(lang, text)]
                         error = [None]
                     except Failed as e:
-                        cols, error = [[None] for _ in scanner.Node._fields], [str(e)]
+                        cols, error = [[None] for _ in _NAMES[1:-1]], [str(e)]
                     n = len(cols[0])
                     for first in range(0, n, ROWS):
                         part = [c[first : first + ROWS] for c in cols]
@@ -122,10 +126,19 @@ def observed(nodes: DataFrame) -> tuple[DataFrame, Observation]:
     return nodes.observe(seen, F.count_if(F.col("node_id") == 0).alias("parsed"), F.count("error").alias("failed"), kind("TimeoutError").alias("late"), kind("Crashed").alias("crashed")), seen
 
 
+def last_ids(parents: Sequence[int | None]) -> list[int]:
+    """The last node of each node's subtree, of a whole tree in the order of the text."""
+    last = list(range(len(parents)))
+    for i in range(len(parents) - 1, 0, -1):
+        if last[i] > last[parents[i]]:
+            last[parents[i]] = last[i]
+    return last
+
+
 def intervals(nodes: DataFrame, kept: Column) -> DataFrame:
     """The rows of ``nodes`` (doc, node_id in the order of the text, parent_id, ...) where ``kept``, with ``last_id``: the last node of their subtree.
 
-    One sweep over nodes in order with the stack of open ones: a node ends where the next one's parent lies before it.
+    For node tables of others, that do not say it.  One sweep over nodes in order with the stack of open ones: a node ends where the next one's parent lies before it.
     Only a path of the tree is held, so a document may have any number of nodes.
     """
     rest = [c for c in nodes.columns if c not in ("doc", "node_id", "parent_id")]
@@ -169,7 +182,8 @@ def outermost(nodes: DataFrame, kind: Column, named: Column) -> DataFrame:
     where there is none.  A child that is of the kind itself names itself alone.
     """
     before = Window.partitionBy("doc").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    found = intervals(nodes, kind).withColumn("_covered", F.max("last_id").over(before))
+    spans = nodes.where(kind) if "last_id" in nodes.columns else intervals(nodes, kind)
+    found = spans.withColumn("_covered", F.max("last_id").over(before))
     found = found.where("_covered is null or node_id > _covered").drop("_covered")
     tokens = nodes.where(named).select("doc", F.explode(F.when(kind, F.array("node_id")).otherwise(F.array("node_id", "parent_id"))).alias("at"), F.struct("node_id", "token").alias("t")).where("at is not null")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["token"]), "+")
@@ -186,7 +200,7 @@ def has_roles(*roles: str) -> Column:
 
 def functions_of(nodes: DataFrame) -> DataFrame:
     """Outermost declared functions: ``doc, node_id, last_id, fn_name, fn_line, start_at, end_at``."""
-    narrow = nodes.select("doc", "node_id", "parent_id", "token", "start_line", "start_at", "end_at", "roles")
+    narrow = nodes.select("doc", "node_id", "parent_id", "token", "start_line", "start_at", "end_at", "roles", "last_id")
     found = outermost(narrow, has_roles("Function", "Declaration"), has_roles("Function", "Identifier", "Name"))
     return found.select("doc", "node_id", "last_id", F.col("name").alias("fn_name"), F.col("start_line").alias("fn_line"), "start_at", "end_at")
 
