@@ -3,7 +3,8 @@
 A turn's content is a list of typed parts.  A visitor flattens them in order: text is escaped and kept, images,
 audio and documents become ordered placeholders, with a reference to the attachment and the number of tokens the
 placeholder expands to.  Turns are marked with control strings; the same strings inside a text or role are escaped
-reversibly, so that a formatted conversation can be read back exactly.
+reversibly, so that a formatted conversation can be read back exactly.  Neighbouring text parts are escaped as the one
+text they make, so a control string that is split over them is escaped too.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +23,14 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
-_MARK = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_MARK = re.compile(r"<\|(?:image|audio|document|other):\d+\|>")
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Tokens that a placeholder expands to.
 IMAGE_TILE, TOKENS_PER_TILE = 28, 1
 AUDIO_TOKENS_PER_SECOND = 25
 TOKENS_PER_PAGE = 256
+MOST_TOKENS = 1 << 53  # of one attachment; what would be more counts as so many
 MOST_READY, PIECE = 200, 1 << 20  # rows handed on at a time; code points from which a conversation goes on in a further row
 
 
@@ -48,56 +51,82 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def _measure(value: float | str | None, default: float) -> float:
+    """A positive, finite measure of an attachment; anything else counts as not given."""
+    size = float(value) if value is not None else math.nan
+    return size if math.isfinite(size) and size > 0 else default
+
+
+def _kind(part: dict | None) -> str:
+    return (part or {}).get("type") or "text"
+
+
 @dataclass
 class Flattener:
-    """Visits the parts of a conversation in order; attachments are numbered through the conversation."""
+    """Visits the parts of a conversation in order; attachments are numbered through the conversation.
+
+    A null part is an empty text.  A part of a type without a visitor becomes a placeholder ``other`` that expands to no
+    tokens; its attachment keeps the type and the reference.
+    """
 
     attachments: list[tuple[int, str, str | None, int]] = field(default_factory=list)
     before: int = 0  # attachments of earlier pieces
 
+    def flatten(self, parts: Iterable[dict | None]) -> str:
+        """The parts in order, each run of text parts escaped as a whole."""
+        body = []
+        for is_text, run in groupby(parts, lambda p: _kind(p) == "text"):
+            flat = "".join(self.visit(p or {}) for p in run)
+            body.append(escape(flat) if is_text else flat)
+        return "".join(body)
+
     def visit(self, part: dict) -> str:
-        kind = part.get("type") or "text"
-        visitor = getattr(self, f"visit_{kind}", None)
-        if visitor is None:
-            raise ValueError(f"unknown content part: {kind}")
-        return visitor(part)
+        return getattr(self, f"visit_{_kind(part)}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+        return part.get("text") or ""
 
     def visit_image(self, part: dict) -> str:
-        tiles = math.ceil((part.get("width") or IMAGE_TILE) / IMAGE_TILE) * math.ceil((part.get("height") or IMAGE_TILE) / IMAGE_TILE)
-        return self._attach("image", part, tiles * TOKENS_PER_TILE)
+        across, down = (math.ceil(_measure(part.get(side), IMAGE_TILE) / IMAGE_TILE) for side in ("width", "height"))
+        return self._attach("image", part, across * down * TOKENS_PER_TILE)
 
     def visit_audio(self, part: dict) -> str:
-        return self._attach("audio", part, math.ceil((part.get("seconds") or 0) * AUDIO_TOKENS_PER_SECOND))
+        return self._attach("audio", part, math.ceil(min(_measure(part.get("seconds"), 0) * AUDIO_TOKENS_PER_SECOND, MOST_TOKENS)))
 
     def visit_document(self, part: dict) -> str:
-        return self._attach("document", part, (part.get("pages") or 1) * TOKENS_PER_PAGE)
+        return self._attach("document", part, int(_measure(part.get("pages"), 1)) * TOKENS_PER_PAGE)
+
+    def visit_other(self, part: dict) -> str:
+        return self._attach("other", part, 0)
 
-    def _attach(self, kind: str, part: dict, tokens: int) -> str:
+    def _attach(self, mark: str, part: dict, tokens: int) -> str:
         number = self.before + len(self.attachments)
-        self.attachments.append((number, kind, part.get("ref"), tokens))
-        return f"<|{kind}:{number}|>"
+        self.attachments.append((number, _kind(part), part.get("ref"), min(tokens, MOST_TOKENS)))
+        return f"<|{mark}:{number}|>"
 
 
-def format_turn(role: str | None, parts: Iterable[dict], flattener: Flattener) -> tuple[str, int, int]:
+def format_turn(role: str | None, parts: Iterable[dict | None], flattener: Flattener) -> tuple[str, int, int]:
     """The turn's text and the span of its content in it."""
     head = f"{START}{escape_role(role or '')}\n"
-    body = "".join(flattener.visit(p) for p in parts)
+    body = flattener.flatten(parts)
     return f"{head}{body}{END}\n", len(head), len(head) + len(body)
 
 
+def text_of(body: str) -> str:
+    """The text of a turn's content without its placeholders; what stands between two of them was escaped by itself."""
+    return "".join(unescape(s) for s in _MARK.split(body))
+
+
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """The (role, text) turns of a formatted conversation; placeholders of attachments are left out of the text."""
-    return [(unescape_role(r), unescape(_MARK.sub("", b))) for r, b in _TURN.findall(formatted)]
+    return [(unescape_role(r), text_of(b)) for r, b in _TURN.findall(formatted)]
 
 
 FORMATTED = (
     "conv_id long, piece int, formatted string, n_turns long, loss_starts array<long>, loss_ends array<long>, "
-    "attachments array<struct<position:int,kind:string,ref:string,tokens:int>>, expanded_tokens long"
+    "attachments array<struct<position:int,kind:string,ref:string,tokens:long>>, expanded_tokens long"
 )
-_ATTACHMENT = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())])
+_ATTACHMENT = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])
 
 
 def format_conversations(turns: DataFrame, piece_chars: int = PIECE) -> DataFrame:
@@ -108,7 +137,7 @@ def format_conversations(turns: DataFrame, piece_chars: int = PIECE) -> DataFram
     ``loss_starts/ends`` are the spans, in code points of the piece, of the assistants' contents; attachments are numbered
     through the conversation.  Turns are ordered by turn, equal turns by role and text; null roles and texts are empty;
     repeated rows are turns of their own; rows with a null conv_id form one conversation; a text of any length is kept
-    whole; an empty table gives an empty result; further columns are ignored.
+    whole; null parts are empty texts, parts of an unknown type placeholders ``other``; an empty table gives an empty result; further columns are ignored.
     """
     typed = "parts" in turns.columns
     content = F.to_json("parts") if typed else F.col("text")
@@ -123,7 +152,7 @@ def format_conversations(turns: DataFrame, piece_chars: int = PIECE) -> DataFram
         def close() -> None:
             nonlocal chunks, spans, at, n, piece
             found = [dict(zip(("position", "kind", "ref", "tokens"), a)) for a in flattener.attachments]
-            ready.append((current, piece, "".join(chunks), n, [s for s, _ in spans], [e for _, e in spans], found, sum(a["tokens"] for a in found)))
+            ready.append((current, piece, "".join(chunks), n, [s for s, _ in spans], [e for _, e in spans], found, min(sum(a["tokens"] for a in found), 2**63 - 1)))
             flattener.before += len(flattener.attachments)
             flattener.attachments = []
             chunks, spans, at, n, piece = [], [], 0, 0, piece + 1
@@ -178,7 +207,7 @@ class _Digest:
             self.turns += 1
             self.said.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
         for start, end in spans:
-            loss = unescape(_MARK.sub("", text[start:end]))
+            loss = text_of(text[start:end])
             self.loss_chars += len(loss)
             self.loss.update(loss.encode("utf-8", "surrogatepass"))
         self.chars += len(text)
