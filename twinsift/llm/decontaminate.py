@@ -40,7 +40,7 @@ SLACK, OVERLAP = 0.4, 0.75  # of the cosine expected of a copy in the corpus's m
 INSIDE = 0.5  # share of an item's length in the latent space that a candidate has in its direction
 LCS, LCS_ALONE, WEIGHT, ANSWER = 0.6, 0.8, 0.5, 0.5
 PARAPHRASE, LCS_PARAPHRASE, ANSWER_PARAPHRASE = 0.7, 0.5, 0.75  # from that cosine on, so short a common subsequence will do if so much of the answer is there
-SHORT = 8  # items of fewer words must occur whole
+SHORT = 8  # items of fewer words must occur whole, word after word
 ITEMS_AT_ONCE = 1000
 MOST_ITEMS = 200_000
 PRODUCTS = 2_000_000  # cosines that are held at a time
@@ -318,6 +318,18 @@ def lcs_length(where: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
+def holds(words: list[int], item: list[int]) -> bool:
+    """Whether the item's words stand one after another among the words."""
+    n, at = len(item), -1
+    while True:
+        try:
+            at = words.index(item[0], at + 1, max(0, len(words) - n + 1))
+        except ValueError:
+            return False
+        if words[at : at + n] == item:
+            return True
+
+
 def _places(item: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for k, w in enumerate(item.tolist()):
@@ -399,9 +411,9 @@ class Judge:
     def verify(self, item: int, words: list[int], cosine: float = 0.0) -> tuple[float, float] | None:
         """LCS share and answer share if the words hold the item."""
         n = len(self.b.items[item])
-        share = lcs_length(self.places[item], n, words) / n
         if n < SHORT:
-            return (share, 1.0) if share == 1.0 else None
+            return (1.0, 1.0) if holds(words, self.b.items[item].tolist()) else None
+        share = lcs_length(self.places[item], n, words) / n
         paraphrase = cosine >= PARAPHRASE and share >= LCS_PARAPHRASE
         if share < LCS and not paraphrase:
             return None
