@@ -175,7 +175,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
                 yield pa.record_batch([named, *(pa.array(counts[k, used]) for k in range(4))], ["feature", "n00", "n01", "n10", "n11"])
 
     counted = rows.mapInArrow(count, "feature string, n00 long, n01 long, n10 long, n11 long")
-    sums = cut(counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")]).where("feature = '' or n01 + n11 >= 2"))
+    sums = cut(counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")]))
     total = sums.where("feature = ''").first()
     if total is None:
         return Model()
