@@ -49,6 +49,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["score"] < 0.7}
 
 
+def test_scores_of_the_fit_against_brute_force(spark):
+    """Every feature above the least score has its log-odds, those of a single toxic text, too."""
+    rng = random.Random(14)
+    rows = [(i, sentence(rng, 20) + (f" vile{i}word Scum!" if i % 40 == 0 else ""), "en", "s", 1) for i in range(600)]
+    labels = [(i, 1, int(i % 40 == 0)) for i in range(600)]
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    model = toxicity.fit(docs, toxicity.training_sample(table, toxicity.may_learn()))
+    learnt = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts, sizes = {}, [0, 0]
+    for i in learnt:
+        toxic, features = int(i % 40 == 0), set()
+        for w in (w.strip("!").lower() for w in rows[i][1].split()):
+            features |= {w} | {w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k}
+        sizes[toxic] += len(features)
+        for f in features:
+            counts.setdefault(f, [0, 0])[toxic] += 1
+    assert 0 < sum(i % 40 == 0 for i in learnt) < 0.05 * len(learnt)
+
+    def brute(z):
+        scores = {f: toxicity.log_odds(t, c, sizes[1], sizes[0], z, np.log, np.sqrt) for f, (c, t) in counts.items()}
+        return {f: round(float(s), 9) for f, s in scores.items() if s > model.least}
+
+    got = {f: round(float(s), 9) for f, s in zip(model.features, model.scores)}
+    assert got and got in [brute(z) for z in toxicity.ZS]
+    assert any(counts[f][1] == 1 for f in got)
+
+
 def test_toxicity_without_labels(spark):
     rows, _ = toxic_corpus(20)
     docs = spark.createDataFrame(rows, DOCS)
@@ -165,6 +192,8 @@ def test_all_of_a_text_without_spaces_bears_on_its_terms():
     calm, wild = quality.shapes(start + "cd" * 500), quality.shapes(start + "Z9+/" * 250)
     assert calm != wild and sum(wild.values()) > 100
     assert quality.shapes("字" * 64) == {"a": 1} and quality.shapes("字" * 640) == {"a": 10}
+    assert quality.shapes("a1b2c3d4e5!!") == {"a9a9a9a9": 1, "a9!": 1} != quality.shapes("a1b2c3d4e5??ZZ9")
+    assert quality.shapes("Word,") == {"Aa,": 1} and quality.shapes("") == {}
 
 
 def test_odd_rows_of_quality(spark):
@@ -333,6 +362,19 @@ def test_a_paraphrase_is_found_by_the_latent_space_where_tf_idf_misses_it(spark,
     assert 1001 not in {d for d, i in found if i == 1}
 
 
+def test_short_items_must_stand_word_after_word(spark):
+    rng = random.Random(8)
+    for _ in range(500):
+        words, item = [rng.randrange(3) for _ in range(rng.randrange(12))], [rng.randrange(3) for _ in range(rng.randrange(1, 5))]
+        assert decontaminate.holds(words, item) == any(words[i : i + len(item)] == item for i in range(len(words) - len(item) + 1))
+    filler = lambda n: " ".join(f"f{rng.randrange(500)}" for _ in range(n))
+    rows = [(i, filler(40) + " zebra " + filler(2) + " quartz " + filler(1) + " lantern " + filler(40)) for i in range(5)]
+    rows += [(10 + i, filler(20 + 7 * i) + ' "Zebra, quartz ... lantern!" ' + filler(30)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "zebra quartz lantern")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()} == set(range(10, 15))
+
+
 def test_subsequences_against_dynamic_programming():
     rng = random.Random(1)
     for _ in range(200):

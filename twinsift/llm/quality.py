@@ -34,7 +34,7 @@ NEIGHBOURS = 15
 SHARPNESS = 8
 BLOCK = 512  # texts whose products with all voters are held at a time
 CUT = 0.3
-LONGEST = 64  # characters; longer words are taken piece by piece
+LONGEST = 64  # characters of a word that are outlined at a time
 MEMO = 300_000
 _RUNS = re.compile(r"(.)\1+")
 _WORDY = str.maketrans({c: "9" for c in "0123456789"})
@@ -46,12 +46,10 @@ def _outline(w: str) -> str:
 
 
 def shapes(word: str) -> Counter:
-    """``Word,`` -> ``Aa,``; ``SHOUT!!`` -> ``A!``; ``a1b2`` -> ``a9a9``; eight letters of it a term.
+    """``Word,`` -> ``Aa,``; ``SHOUT!!`` -> ``A!``; ``a1b2`` -> ``a9a9``: every eight letters of the outline a term.
 
-    A word of over ``LONGEST`` characters (a text without spaces) is taken piece by piece, and all of each piece counts.
+    Outlines are drawn for ``LONGEST`` characters at a time, the whole of a word whatever its length.
     """
-    if len(word) <= LONGEST:
-        return Counter([_outline(word)[:8]])
     pieces = (_outline(word[i : i + LONGEST]) for i in range(0, len(word), LONGEST))
     return Counter(w[i : i + 8] for w in pieces for i in range(0, len(w), 8))
 
