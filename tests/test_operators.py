@@ -1,12 +1,13 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 
 from twinsift.functions import stemming
-from twinsift.operators import communities, docfreq, features, lsh, numbering, wmh
+from twinsift.operators import communities, counting, docfreq, features, lsh, numbering, wmh
 from twinsift.operators.components import connected_components
 
 
@@ -197,6 +198,70 @@ def test_band_parameters():
     assert lsh.band_parameters(0.592, 256) == (32, 8)
 
 
+def test_band_parameters_of_a_table(spark):
+    cases = [(0.8, 128), (0.6456707644812872, 160), (0.592, 256), (0.5, 1), (0.3, 17), (0.9, 40), (0.0, 5), (1.0, 5)]
+    odd = [(None, 5), (0.5, None), (0.5, 0), (0.5, -3), (1.5, 4), (-0.1, 4), (float("nan"), 4)]
+    df = spark.createDataFrame([(*c, "x") for c in cases * 3 + odd], "threshold double, samples int, band string")
+    got = {(r["threshold"], r["samples"]): (r["tables"], r["band"]) for r in lsh.best_bands(df).collect()}
+    assert got.keys() == set(cases) and lsh.best_bands(df.limit(0)).count() == 0
+    assert all(got[c] == lsh.band_parameters(*c) for c in cases if 0 < c[0] < 1)
+
+
+def test_a_count_is_exact_when_all_tasks_end(spark):
+    df = spark.range(0, 10_007, 1, 5).where("id % 3 = 0")
+    found = counting.approximate_count(df, 120)
+    assert found == counting.Count(3336, 3336, 3336, True) and str(found) == "3336"
+    assert counting.approximate_count(df.limit(0), 120) == counting.approximate_count(spark.createDataFrame([], "n long"), 120) == counting.Count(0, 0, 0, True)
+    assert counting.approximate_count(df.groupBy("id").count(), 120).n == 3336
+    for seconds, confidence in ((0, 0.9), (1, 0.0), (1, 1.0)):
+        with pytest.raises(ValueError, match="confidence"):
+            counting.approximate_count(df, seconds, confidence)
+
+
+def test_bounds_of_a_count_hold_as_often_as_they_say():
+    rng = random.Random(2)
+    held = 0
+    for _ in range(400):
+        sizes = [rng.randrange(1000) for _ in range(60)]
+        ended = rng.sample(sizes, 12)
+        found = counting.scaled_up(12, sum(ended), sum(x * x for x in ended), 60, 0.9)
+        assert sum(ended) <= found.low <= found.n <= found.high
+        held += found.low <= sum(sizes) <= found.high
+    assert 0.85 < held / 400 < 0.95
+    assert counting.scaled_up(0, 0, 0, 3, 0.9) == counting.Count(0, 0, None, False)
+    assert counting.scaled_up(1, 7, 49, 3, 0.9) == counting.Count(21, 7, None, False)
+
+
+def test_a_count_that_fails_says_so(spark):
+    def bad(batches):
+        for _ in batches:
+            raise RuntimeError("no such row")
+        yield
+
+    with pytest.raises(Exception, match="no such row"):
+        counting.approximate_count(spark.range(10).mapInPandas(bad, "id long"), 120)
+
+
+def test_a_count_in_time_has_bounds_and_ends_the_job(spark):
+    def slow(batches):
+        for batch in batches:
+            if batch["id"].max() >= 1900:
+                time.sleep(90)
+            yield batch
+
+    df = spark.range(0, 2000, 1, 20).mapInPandas(slow, "id long")
+    began = time.time()
+    found = counting.approximate_count(df, 12)
+    assert time.time() - began < 60
+    assert not found.exact and found.low <= found.n and (found.high is None or found.n <= found.high)
+    assert found.high is not None and found.low <= 2000 <= found.high  # 19 tasks of 100 rows have ended
+    assert str(found).startswith("about ")
+    waited = time.time()
+    while spark.sparkContext.statusTracker().getActiveJobsIds():
+        assert time.time() - waited < 20
+        time.sleep(0.2)
+
+
 def bands(spark):
     rows = [(0, "v1", "a"), (0, "v1", "b"), (0, "v2", "c"), (0, "v3", "d"), (0, "v4", "e"), (1, "w1", "d"), (1, "w1", "e"), (1, "w2", "a"), (2, "x", "b"), (2, "x", "c")]
     return spark.createDataFrame(rows, "hashtable int, value string, doc string")

@@ -80,3 +80,26 @@ def band_parameters(threshold: float, samples: int, false_positive: float = 0.5,
             error = false_positive * threshold / 2 * (weights * (1 - miss(low))).sum() + false_negative * (1 - threshold) / 2 * (weights * miss(high)).sum()
             found.append((error, tables, size))
     return min(found, key=lambda f: f[0])[1:]
+
+
+def best_bands(cases: DataFrame, false_positive: float = 0.5, false_negative: float = 0.5, steps: int = 256) -> DataFrame:
+    """``threshold, samples, tables, band`` for every different case of ``threshold`` (0 to 1) and ``samples``.
+
+    The choice of ``band_parameters`` as column expressions: every split of the samples is a row, its areas are midpoint sums.
+    Of splits that are equal to twelve digits the one with the fewest tables wins.  Cases with nulls, without samples or
+    with a threshold out of range have no row.
+    """
+    fit = F.col("threshold").between(0, 1) & (F.col("samples") >= 1)
+    splits = cases.select(F.col("threshold").cast("double"), F.col("samples").cast("int")).where(fit).distinct()
+    splits = splits.select("*", F.explode(F.sequence(F.lit(1), "samples")).alias("tables"))
+    splits = splits.select("*", F.explode(F.sequence(F.lit(1), F.floor(F.col("samples") / F.col("tables")).cast("int"))).alias("band"))
+
+    def area(low, width, chance):
+        at = lambda i: low + width * (i + 0.5) / steps
+        miss = lambda s: F.pow(1 - F.pow(s, F.col("band")), F.col("tables"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0.0), lambda sum_, i: sum_ + chance(miss(at(i)))) * width / steps
+
+    t = F.col("threshold")
+    error = false_positive * area(F.lit(0.0), t, lambda miss: 1 - miss) + false_negative * area(t, 1 - t, lambda miss: miss)
+    best = splits.groupBy("threshold", "samples").agg(F.min(F.struct(F.round(error, 12).alias("error"), "tables", "band")).alias("best"))
+    return best.select("threshold", "samples", "best.tables", "best.band")

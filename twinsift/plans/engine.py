@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinsift.config import Mode
 from twinsift.functions.formatting import split_func_item
 from twinsift.lineage import cut, written
-from twinsift.operators import communities, docfreq, features, lsh, report, wmh
+from twinsift.operators import communities, counting, docfreq, features, lsh, report, wmh
 from twinsift.operators.components import connected_components
 from twinsift.sources import files as sources
 from twinsift.sources import trees
@@ -68,6 +68,8 @@ def hash_files(files: DataFrame, store: Store, mode: Mode, replace: bool = False
         items = items_of(files, mode, nodes)
         found = cut(features_of(items, mode, nodes))
         docs, freq = docfreq.count_docs(items), docfreq.doc_freq(found)
+        if log.isEnabledFor(logging.INFO):
+            log.info("files to write: %s", counting.approximate_count(sources.readable(files)))
         job.save_meta(sources.meta(sources.readable(files)))
         job.save_docfreq(docs, freq, mode.name)
         job.save_bands(bands_of(docfreq.bags(found, freq, docs), mode), mode.name)

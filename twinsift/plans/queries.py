@@ -17,7 +17,7 @@ from twinsift.functions import formatting
 from twinsift.functions.hashing import uint32_le
 from twinsift.lineage import cut, written
 from twinsift.operators import communities as groups
-from twinsift.operators import docfreq, features, lsh, report, wmh
+from twinsift.operators import counting, docfreq, features, lsh, report, wmh
 from twinsift.operators.components import connected_components as components_of
 from twinsift.plans import engine
 from twinsift.sources import files as sources
@@ -250,6 +250,13 @@ def file_count(spark, d):
     return _readable(spark, d).agg(F.count("*").alias("files"))
 
 
+@query(f"WITH {FILES_SQL}, n AS (SELECT count(*) AS files FROM files) SELECT files, files AS low, files AS high, true AS exact FROM n")
+def file_count_in_time(spark, d):
+    """What a minute's count can tell: exact, as in the SQL, if all tasks end in it."""
+    found = counting.approximate_count(_readable(spark, d), 60)
+    return spark.createDataFrame([(found.n, found.low, found.high, found.exact)], "files long, low long, high long, exact boolean")
+
+
 @query(f"""WITH f AS (SELECT coalesce(text, '') AS text, lang FROM documents) SELECT CASE WHEN text = '' THEN 'empty' WHEN lang IS NULL THEN 'no language'
     WHEN strlen(text) <= {FILE.min_size} THEN 'small' ELSE 'processed' END AS reason, count(*) AS files FROM f GROUP BY 1""")
 def skip_report(spark, d):
@@ -456,11 +463,22 @@ def uint32_le_(spark, d):
 
 
 
-@query(f"""SELECT threshold::DOUBLE AS threshold, samples, "tables", band FROM (VALUES (0.8, 128, 9, 13), ({FILE.threshold}, {FILE.samples}, {FILE.tables}, {FILE.band}),
-    ({FUNC.threshold}, {FUNC.samples}, {FUNC.tables}, {FUNC.band})) t(threshold, samples, "tables", band)""")
+BAND_CASES = [(0.8, 128), (FILE.threshold, FILE.samples), (FUNC.threshold, FUNC.samples)]
+_AREA_SQL = "list_sum(list_transform(range(256), lambda i: {chance})) * {width} / 256"
+_MISS_SQL = "pow(1 - pow({low} + {width} * (i + 0.5::DOUBLE) / 256, band), t)"
+
+
+@query(f"""WITH cases AS (SELECT round(l_discount * 100)::INT / 10::DOUBLE AS threshold, l_quantity::INT AS samples FROM lineitem
+        UNION SELECT * FROM (VALUES {", ".join(f"({t}::DOUBLE, {n})" for t, n in BAND_CASES)})),
+    ts AS (SELECT threshold, samples, unnest(range(1, samples + 1))::INT AS t FROM cases WHERE threshold BETWEEN 0 AND 1 AND samples >= 1),
+    splits AS (SELECT *, unnest(range(1, samples // t + 1))::INT AS band FROM ts),
+    errors AS (SELECT *, round(0.5 * {_AREA_SQL.format(width="threshold", chance="1 - " + _MISS_SQL.format(low="0", width="threshold"))}
+        + 0.5 * {_AREA_SQL.format(width="(1 - threshold)", chance=_MISS_SQL.format(low="threshold", width="(1 - threshold)"))}, 12) AS error FROM splits)
+    SELECT threshold, samples, best.t AS "tables", best.band AS band FROM (SELECT threshold, samples, arg_min({{'t': t, 'band': band}}, (error, t, band)) AS best FROM errors GROUP BY ALL)""")
 def band_params(spark, d):
-    cases = [(0.8, 128), (FILE.threshold, FILE.samples), (FUNC.threshold, FUNC.samples)]
-    return spark.createDataFrame([(t, n, *lsh.band_parameters(t, n)) for t, n in cases], "threshold double, samples int, tables int, band int")
+    """Parameters for the modes, and for each threshold and number of samples that order lines give as discount and quantity."""
+    lines = _table(spark, d, "lineitem").select((F.round(F.col("l_discount") * 100).cast("int") / 10.0).alias("threshold"), F.col("l_quantity").cast("int").alias("samples"))
+    return lsh.best_bands(lines.unionByName(spark.createDataFrame(BAND_CASES, "threshold double, samples int")))
 
 
 @query(f"WITH {_features_sql(FILE)}, {BAGS_SQL}, {_signature_sql(FILE.samples)} SELECT doc, s, k, t FROM sig")
