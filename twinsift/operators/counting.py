@@ -88,9 +88,9 @@ def approximate_count(df: DataFrame, seconds: float = SECONDS, confidence: float
     job.start()
     job.join(seconds)
     late = job.is_alive()
-    if late:
+    while job.is_alive():  # it may not have been submitted yet when it is first cancelled
         context.cancelJobsWithTag(tag)
-        job.join()
+        job.join(0.5)
     if failed and not late:
         raise failed[0]
     return scaled_up(*seen.value, partitions, confidence)
