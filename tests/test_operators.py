@@ -284,3 +284,17 @@ def test_walktrap_splits_two_cliques():
     clique = lambda at: [(at + i, at + j, 1.0) for i in range(5) for j in range(i)]
     found = communities.walktrap(10, clique(0) + clique(5) + [(0, 5, 1.0)])
     assert len(set(found[:5])) == len(set(found[5:])) == 1 and found[0] != found[5]
+
+
+def test_shared_bands_are_found_by_hashes_alone(spark):
+    rng = random.Random(5)
+    rows = [(f"f{rng.randrange(40)}", f"d{d}", 1 + rng.randrange(3)) for d in range(60) for _ in range(1 + d % 6)]
+    rows += [(f, f"{d}copy", w) for f, d, w in rows if d in ("d7", "d11")]
+    found = spark.createDataFrame(rows, "feature string, doc string, weight long")
+    bags = docfreq.bags(found, docfreq.doc_freq(found), docfreq.count_docs(found)).cache()
+    plain = lsh.buckets(wmh.bands(wmh.signatures(bags, 32), 16, 2))
+    got = lsh.buckets_of_bags(wmh.packed(bags).cache(), 32, 16, 2)
+    rows_of = lambda df: sorted((r["hashtable"], r["value"], r["doc"]) for r in df.collect())
+    assert rows_of(got) == rows_of(plain) and got.count() > 32
+    shuffled = wmh.digests(wmh.packed(bags), 32, 16, 2)
+    assert "value" not in shuffled.columns and shuffled.select("hashtable", "h").distinct().count() == wmh.bands(wmh.signatures(bags, 32), 16, 2).select("hashtable", "value").distinct().count()
