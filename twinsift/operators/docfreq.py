@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from twinsift.operators.numbering import order_numbers
 
+COMMON = 50_000  # features whose frequency every task knows
 
 def count_docs(items: DataFrame) -> DataFrame:
     """``docs``: all items count, also those without a feature."""
     return items.agg(F.countDistinct("doc").cast("long").alias("docs"))
 
 
-def doc_freq(features: DataFrame) -> DataFrame:
-    """``feature, df``."""
-    return features.select("feature", "doc").distinct().groupBy("feature").agg(F.count("*").alias("df"))
+def doc_freq(features: DataFrame, once: bool = False) -> DataFrame:
+    """``feature, df``.  ``once``: no (feature, doc) has two rows, as ``features.extract`` gives items without a tree."""
+    pairs = features.select("feature", "doc")
+    return (pairs if once else pairs.distinct()).groupBy("feature").agg(F.count("*").alias("df"))
 
 
 def term_freq(features: DataFrame) -> DataFrame:
@@ -29,12 +31,24 @@ def log_tf_log_idf(tf: Column, df: Column, docs: Column, idf: str = "integer") -
     return F.log(1 + tf.cast("double")) * F.log(ratio)
 
 
-def bags(features: DataFrame, freq: DataFrame, docs: DataFrame, idf: str = "integer") -> DataFrame:
-    """``doc, feature, value`` with value > 0: features without a known frequency and zero weights are left out."""
+def bags(features: DataFrame, freq: DataFrame, docs: DataFrame, idf: str = "integer", once: bool = False) -> DataFrame:
+    """``doc, feature, value`` with value > 0: features without a known frequency and zero weights are left out.
+
+    ``once``: see ``doc_freq``; ``features`` and ``freq`` are tables then, as they are read twice.
+    """
     n = F.lit(docs.first()["docs"])
     # Features whose quotient is 1 are worth nothing: they go before the join, not after.
-    worth = freq.where(F.floor(n / F.col("df")) > 1 if idf == "integer" else F.col("df") < n)
-    known = term_freq(features).join(worth, "feature")
+    worth = F.floor(n / F.col("df")) > 1 if idf == "integer" else F.col("df") < n
+    if not once:
+        known = term_freq(features).join(freq.where(worth), "feature")
+    else:
+        # The commonest features, worth something or not, are known to every task; only rows of the others are shuffled.
+        common = F.broadcast(freq.orderBy(F.desc("df")).limit(COMMON).select("feature", F.col("df").alias("_df")))
+        rows = features.select("feature", "doc", F.col("weight").cast("long").alias("tf")).join(common, "feature", "left")
+        often = rows.where("_df is not null").withColumnRenamed("_df", "df").where(worth)
+        known = often
+        if freq.count() > COMMON:
+            known = often.unionByName(rows.where("_df is null").drop("_df").join(freq.where(worth), "feature").select(*often.columns))
     return known.select("doc", "feature", log_tf_log_idf(F.col("tf"), F.col("df"), n, idf).alias("value")).where("value > 0")
 
 
