@@ -298,3 +298,31 @@ def test_shared_bands_are_found_by_hashes_alone(spark):
     assert rows_of(got) == rows_of(plain) and got.count() > 32
     shuffled = wmh.digests(wmh.packed(bags), 32, 16, 2)
     assert "value" not in shuffled.columns and shuffled.select("hashtable", "h").distinct().count() == wmh.bands(wmh.signatures(bags, 32), 16, 2).select("hashtable", "value").distinct().count()
+
+
+def test_names_are_counted_where_their_item_lies(spark):
+    items = spark.createDataFrame([("a", "two Two one 7 7"), ("b", ""), ("c", "x")], "doc string, text string")
+    found = features.extract(items, features_mode())
+    assert {(r["doc"], r["feature"], r["weight"]) for r in found.collect()} >= {("a", "i.two", 2 * 194), ("a", "i.one", 194), ("c", "i.x", 194)} and found.where("doc = 'a'").count() == 3
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def features_mode():
+    from twinsift.config import FILE
+
+    return FILE
+
+
+def test_nodes_are_never_broadcast(spark):
+    nodes = spark.createDataFrame([("d", 0, None, "File"), ("d", 1, 0, "A")], "doc string, node_id long, parent_id long, internal_type string")
+    assert "BroadcastHashJoin" not in features.graphlets(nodes, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bags_with_and_without_common_features_are_equal(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = sorted({(f"f{int(rng.random() ** 2 * 30)}", f"d{d}") for d in range(40) for _ in range(5)})
+    found = spark.createDataFrame([(f, d, 2) for f, d in rows], "feature string, doc string, weight long").cache()
+    docs, freq = docfreq.count_docs(found), docfreq.doc_freq(found)
+    monkeypatch.setattr(docfreq, "COMMON", 4)
+    plain, split = (sorted(map(tuple, docfreq.bags(found, f, docs, once=o).collect())) for f, o in ((freq, False), (docfreq.doc_freq(found, once=True), True)))
+    assert plain == split and plain

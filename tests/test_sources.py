@@ -391,3 +391,13 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert main(["query", str(tmp_path / "in" / "b" / "z.py") + ":first:2", *one], spark) == 0
     assert not [x for x in capsys.readouterr().out.splitlines() if x.startswith("similar")]
     assert main(["query", str(tmp_path / "in" / "b" / "z.py") + ":first:1", "--store", str(tmp_path / "store")], spark) == 2
+
+
+def test_nodes_of_pages_are_handed_on_in_parts(spark):
+    from twinsift.sources import pages
+
+    html = "<p>a</p>" * 100
+    nodes = pages.nodes(spark.createDataFrame([(i, html) for i in range(250)], "page_id long, html string").coalesce(1))
+    sizes = nodes.select("doc").mapInArrow(lambda batches: batches, "doc string").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 250 * 201
+    assert len(pages._batch_of([["d", 0, None, 0, 0, "document", "", ["Element"], 0]])) == 1
