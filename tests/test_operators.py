@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from twinsift.functions import stemming
 from twinsift.operators import communities, counting, docfreq, features, lsh, numbering, wmh
@@ -326,3 +327,11 @@ def test_bags_with_and_without_common_features_are_equal(spark, monkeypatch):
     monkeypatch.setattr(docfreq, "COMMON", 4)
     plain, split = (sorted(map(tuple, docfreq.bags(found, f, docs, once=o).collect())) for f, o in ((freq, False), (docfreq.doc_freq(found, once=True), True)))
     assert plain == split and plain
+
+
+def test_rounds_of_components_are_written_tables(spark):
+    """What a checkpoint remembers of partitionings multiplies with every round, until planning no longer ends."""
+    n = 100
+    edges = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    found = connected_components(edges)
+    assert found.inputFiles() and found.where("component = 0").count() == n
