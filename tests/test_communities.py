@@ -106,3 +106,21 @@ def test_pairs_are_counted_once(spark):
     parts = connected_components(star_edges(members))
     assert [tuple(r) for r in communities.graph_of(linear_edges(members), parts, "quadratic").collect()] == [(1, "01", "02", 1.0)]
     assert quadratic_edges(members).collect()[0]["bands"] == 2
+
+
+@pytest.mark.parametrize("edges", ["linear", "quadratic"])
+def test_components_in_tasks_settle_as_by_joins(spark, edges, monkeypatch):
+    """Where the work is done does not matter to the result, also when some components are too large for a task."""
+    rng = random.Random(11)
+    buckets = cliques(rng, 5, 8, 6) | {f"r{g}.{k}": rng.sample(range(9000 + 50 * g, 9000 + 50 * g + 6 + g), 3) for g in range(8) for k in range(5 + g)}
+    found = {}
+    for small in (0, 20, communities.SMALL):
+        monkeypatch.setattr(communities, "SMALL", small)
+        found[small] = split(spark, buckets, "louvain", edges)
+    assert found[0] == found[20] == found[communities.SMALL] and len(found[0]) > 10
+
+
+def test_small_components_take_no_round_of_joins(spark, monkeypatch):
+    monkeypatch.setattr(communities, "_level", lambda *a: pytest.fail("a round of joins"))
+    buckets = {f"g{g}.{k}": [10 * g + k, 10 * g + k + 1, 10 * g + (k + 3) % 5] for g in range(40) for k in range(4)}
+    assert sum(len(c) for c in split(spark, buckets)) == 40 * 5

@@ -6,7 +6,8 @@ Components of one or two elements are communities as they are.  Others are split
 that raises modularity most, then a level on which communities are the vertices, until nothing moves.  Every round is a
 few joins over the whole cluster.  Of two neighbours only one moves in a round (elements and buckets take turns; on
 graphs without buckets a hash decides), a component keeps its best round and settles by itself, so components do not
-influence each other.
+influence each other.  Components of up to ``SMALL`` edges settle many at a time in the task that they are dealt to, by the
+same rounds and with the same result; they are nearly all, and a round of joins takes a second however little moves.
 
 ``walktrap`` (Pons and Latapy): random walks of four steps give distances, neighbouring communities are merged by the
 smallest growth in squared distance, and the merge of the largest modularity is kept.  A component is a group of one
@@ -18,10 +19,12 @@ task; one of over ``MOST`` vertices is refused.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ from twinsift.operators.lsh import quadratic_edges
 STEPS = 4
 MOST = 3000
 HOT = 10_000  # edges of a vertex that one key of a join may have
+SMALL = 100_000  # edges of a component that one task settles
 ROUNDS, LEVELS = 60, 30
 
 
@@ -174,21 +178,148 @@ def _by_hash(vertex: Column, number: int) -> Column:
     return F.pmod(F.xxhash64(vertex, F.lit(number // 2)), F.lit(2)) == number % 2
 
 
+def _turns(vertex: Column) -> Column:
+    """The turns that ``_by_hash`` gives a vertex, a bit for two rounds."""
+    bit = lambda i: F.shiftleft(F.pmod(F.xxhash64(vertex, F.lit(i)), F.lit(2)), i)
+    return sum((bit(i) for i in range(1, (ROUNDS + 1) // 2)), bit(0))
+
+
+def _settled(u: np.ndarray, v: np.ndarray, w: np.ndarray, of: np.ndarray, turn: Callable[[int], np.ndarray], resolution: float) -> np.ndarray:
+    """What ``_level`` finds, for components in memory: the label of each vertex.
+
+    ``u, v, w`` are edges from both ends between vertices that are numbered in the order of their names, ``of`` their
+    components, numbered from 0.
+    """
+    n, parts = len(of), int(of.max()) + 1
+    every = np.arange(n)
+    k, loop = np.bincount(u, w, n), np.bincount(u[u == v], w[u == v], n)
+    m2 = np.bincount(of, k)[of]
+    u, v, w = (x[u != v] for x in (u, v, w))
+    now = c = label = every
+    inside, best, idle, moving = None, np.full(parts, -np.inf), np.zeros(parts, dtype=np.int64), np.ones(parts, dtype=bool)
+
+    def improved() -> np.ndarray:
+        nonlocal quality
+        quality = np.round(np.bincount(of, inside, parts), 12)
+        return quality > best + 1e-11
+
+    quality = best
+    for number in range(ROUNDS):
+        better = np.zeros(parts, dtype=bool) if inside is None else improved()
+        idle = np.where(better | (inside is None), 0, idle + 1)
+        label, best = np.where(better[of], c, label), np.maximum(best, quality)
+        done = ((idle > 2) | ~moving)[of]
+        live = ~done[u]
+        key, place = np.unique(np.concatenate([u[live] * n + now[v[live]], every * n + now]), return_inverse=True)
+        weight = np.bincount(place, np.concatenate([w[live], np.zeros(n)]))
+        at, to = np.divmod(key, n)
+        held, own = np.bincount(now, k, n), to == now[at]
+        score = np.round(weight - resolution * k[at] * (held[to] - np.where(own, k[at], 0.0)) / m2[at], 9)
+        other = np.flatnonzero(~own)
+        other = other[np.lexsort((to[other], -score[other], at[other]))]
+        other = other[np.diff(at[other], prepend=-1) > 0]  # the best of each vertex
+        target, most = now.copy(), np.full(n, -np.inf)
+        target[at[other]], most[at[other]] = to[other], score[other]
+        gains = (most > score[own] + 1e-9) & ~done
+        mine, turns = held[now], turn(number)
+        moves = gains & turns & ~((np.abs(mine - k) < 1e-9) & (target > now) & turns[target])
+        add = (weight[own] + loop) / m2 - resolution * k * mine / (m2 * m2)
+        inside = add if inside is None else np.where(done, inside, add)
+        c, now = np.where(done, label, now), np.where(done, label, np.where(moves, target, now))
+        moving = np.bincount(of[gains], minlength=parts) > 0
+        if number and not moving.any():
+            break
+    return np.where(improved()[of], c, label)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by their first column, in tables that do not cut its values."""
+    rest: list[pa.RecordBatch] = []
+    for batch in filter(len, batches):
+        first, last = rest[0].column(0)[0] if rest else None, batch.column(0)[len(batch) - 1]
+        if first is None or first != last:
+            begin = pc.index(batch.column(0), last).as_py()  # of the value that is still open
+            if rest or begin:
+                yield pa.Table.from_batches([*rest, batch.slice(0, begin)])
+            rest, batch = [], batch.slice(begin)
+        rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _louvain_in_tasks(graph: DataFrame, by_kind: bool, resolution: float, levels: int) -> DataFrame:
+    """``louvain`` of components that fit in a task."""
+    kind = graph.schema["component"].dataType.simpleString()
+    rows = graph.select("component", "a", "b", "weight", _turns(F.col("a")).alias("ta"), _turns(F.col("b")).alias("tb"))
+
+    def split(table: pa.Table) -> pa.RecordBatch:
+        parts, a, b, w, ta, tb = (c.combine_chunks() for c in table.columns)
+        ends = pa.concat_arrays([a, b])
+        names = pc.unique(ends)
+        names = names.take(pc.sort_indices(names))
+        place = pc.index_in(ends, names).to_numpy().astype(np.int64)
+        a, b = place[: len(a)], place[len(a) :]
+        code = parts.dictionary_encode()
+        of, bits = np.empty(len(names), dtype=np.int64), np.empty(len(names), dtype=np.int64)
+        of[a] = of[b] = code.indices.to_numpy()
+        bits[a], bits[b] = ta.to_numpy(), tb.to_numpy()
+        element = pc.starts_with(names, "0").to_numpy(zero_copy_only=False)
+        out = a != b
+        u, v, w = np.concatenate([a, b[out]]), np.concatenate([b, a[out]]), np.concatenate([w.to_numpy(), w.to_numpy()[out]])
+        # Of each level: its vertices as places in names, and their components.
+        found, at, inside = np.arange(len(names)), np.arange(len(names)), of
+        for level in range(levels):
+            by_hash = lambda number: (bits[at] >> (number // 2)) % 2 == number % 2  # noqa: B023, E731
+            turn = (lambda number: element == (number % 2 == 0)) if by_kind and not level else by_hash
+            label = _settled(u, v, w, inside, turn, resolution)
+            top = np.arange(len(names))
+            top[at] = at[label]
+            found = top[found]
+            moved = np.zeros(len(code.dictionary), dtype=bool)
+            moved[of[at[label != np.arange(len(label))]]] = True
+            kept = moved[of[at[u]]]
+            if not kept.any():
+                break
+            key, place = np.unique(top[at[u[kept]]] * len(names) + top[at[v[kept]]], return_inverse=True)
+            w = np.bincount(place, w[kept])
+            at, place = np.unique(np.concatenate(np.divmod(key, len(names))), return_inverse=True)
+            u, v = place[: len(key)], place[len(key) :]
+            inside = np.unique(of[at], return_inverse=True)[1]
+        return pa.record_batch([code.dictionary.take(pa.array(of)), names, names.take(pa.array(found))], ["component", "u", "label"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(split, _whole(batches))
+
+    return rows.repartition("component").sortWithinPartitions("component").mapInArrow(run, f"component {kind}, u string, label string")
+
+
 def louvain(graph: DataFrame, resolution: float = 1.0, levels: int = LEVELS) -> DataFrame:
     """``component, u, label`` of every vertex."""
-    both = cut(_both_ways(graph))
-    turn = _by_hash if both.where("u like '0%' and v like '0%'").limit(1).count() else _by_kind
-    found = None
+    by_kind = graph.where("a like '0%' and b like '0%'").isEmpty()
+    large = graph.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("component")
+    large = F.broadcast(cut(large))  # few: each has SMALL edges
+    found = _louvain_in_tasks(graph.join(large, "component", "left_anti"), by_kind, resolution, levels)
+    if large.isEmpty():
+        return found
+    return found.unionByName(_louvain_by_joins(graph.join(large, "component", "left_semi"), by_kind, resolution, levels))
+
+
+def _louvain_by_joins(graph: DataFrame, by_kind: bool, resolution: float, levels: int) -> DataFrame:
+    """``louvain`` of components of any size.  Levels are written tables, for the reason that rounds are."""
+    both, path = written(_both_ways(graph))
+    turn = _by_kind if by_kind else _by_hash
+    found = done = None
     for _ in range(levels):
-        level = cut(_level(both, turn, resolution))
+        level, _ = written(_level(both, turn, resolution))
         new = level if found is None else found.join(level.select(F.col("u").alias("label"), F.col("label").alias("top")), "label", "left").select("component", "u", F.coalesce("top", "label").alias("label"))
-        found, turn = cut(new), _by_hash
+        found, done = written(new, done)
+        turn = _by_hash
         joined = level.where("u <> label").select("component").distinct()  # others are settled
         up = level.join(joined, "component", "left_semi").select("u", "label")
         if up.isEmpty():
             break
         coarse = both.join(up, "u").withColumnRenamed("label", "a").join(up.select(F.col("u").alias("v"), F.col("label").alias("b")), "v")
-        both = cut(coarse.groupBy("component", F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")))
+        both, path = written(coarse.groupBy("component", F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")), path)
     return found
 
 
