@@ -401,3 +401,15 @@ def test_nodes_of_pages_are_handed_on_in_parts(spark):
     sizes = nodes.select("doc").mapInArrow(lambda batches: batches, "doc string").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 250 * 201
     assert len(pages._batch_of([["d", 0, None, 0, 0, "document", "", ["Element"], 0]])) == 1
+
+
+def test_nodes_of_many_files_come_in_parts_and_roots_alone(spark, monkeypatch):
+    monkeypatch.setattr(trees, "ROWS", 7)
+    files = source_files(spark, [(f"f{i}", f"x = {i}\n" * i if i % 5 else "(", "Python") for i in range(30)])
+    nodes, roots = trees.nodes_of(files).collect(), trees.nodes_of(files, roles=()).collect()
+    assert {r["doc"]: r["error"] for r in nodes if r["error"]}.keys() == {f"f{i}" for i in range(0, 30, 5)}
+    assert {r["doc"]: max(x["node_id"] for x in nodes if x["doc"] == r["doc"]) for r in nodes if r["node_id"] == 0} == {f"f{i}": 3 * i for i in range(30) if i % 5}
+    assert sorted(map(repr, roots)) == sorted(repr(r) for r in nodes if r["error"] or r["node_id"] == 0)
+    of = lambda rows: sorted(map(repr, trees.functions_of(rows).collect()))
+    more = source_files(spark, [("p", "def f():\n    def g(): pass\n" * 3, "Python"), ("j", "class C { int a() { return b(c); } D e() { return new D() { int f() { return 1; } }; } }", "Java"), ("g", "func a() { b(func() {}) }\n", "Go")])
+    assert of(trees.nodes_of(more, roles=("Function",))) == of(trees.nodes_of(more)) and trees.functions_of(trees.nodes_of(more)).count() == 6
