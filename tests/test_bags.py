@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift.config import FILE, FUNC
-from twinsift.operators import bags, docfreq, features, wmh
+from twinsift.operators import bags, docfreq, features, lsh, wmh
 from twinsift.sources import files
 
 
@@ -38,3 +38,17 @@ def test_first_places_of_copies_are_found_without_moving_contents(spark):
     assert sorted((r["content"], r["repository_id"], r["path"]) for r in found.collect()) == [("w", "r3", "g"), ("x", "r1", "c"), ("y", None, "d"), ("z", "r1", "f")]
     few = files.distinct_blobs(spark.range(1000).select(F.lit("r").alias("repository_id"), F.col("id").cast("string").alias("path"), F.lit("h").alias("commit_hash"), F.lit("t").alias("content"), (F.col("id") % 990).alias("blob_id")))
     assert few.count() == 990 and "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("known", [0, 10**6])
+def test_lookups_and_buckets_by_digests_are_those_by_values(spark, monkeypatch, known):
+    monkeypatch.setattr(lsh, "KNOWN", known)
+    monkeypatch.setattr(lsh, "FEW", known)
+    rows = spark.createDataFrame([(f"d{i}", [1 + i // 3, 50, 70 + i % 2], [1.0, 2.0, 0.5]) for i in range(24)], "doc string, x array<long>, v array<double>")
+    digests = wmh.digests_in_rows(rows, 16, 8, 2).cache()
+    bands = wmh.bands_of_packed(rows, 16, 8, 2).cache()
+    asked = rows.select("doc").where("doc in ('d0', 'd7')")
+    pairs = lambda found: sorted(map(tuple, found.collect()))
+    want = pairs(lsh.candidates(bands.join(asked, "doc"), bands))
+    assert len(want) > 2 and pairs(lsh.candidates_of_digests(asked, digests)) == want
+    assert pairs(lsh.quadratic_edges(lsh.members_of_digests(digests), lsh.DIGEST)) == pairs(lsh.quadratic_edges(lsh.buckets(bands)))
