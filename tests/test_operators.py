@@ -335,3 +335,14 @@ def test_rounds_of_components_are_written_tables(spark):
     edges = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     found = connected_components(edges)
     assert found.inputFiles() and found.where("component = 0").count() == n
+
+
+def test_the_column_form_draws_samples_row_by_row_once_a_bag_has_met(spark):
+    rows = [("long", f"f{i}", 0.1 + i % 7) for i in range(3000)] + [(f"d{i}", f"f{j}", 0.5 + j) for i in range(20) for j in range(i + 1)]
+    bags = spark.createDataFrame(rows, "doc string, feature string, value double").repartition(3, "feature").localCheckpoint()
+    found = wmh.signatures_sql(bags, 16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "Aggregate" not in plan.split("Exchange hashpartitioning")[1]  # the rows themselves move, not what is drawn of them
+    want = wmh.long_form(wmh.signatures(bags, 16)).collect()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and len(want) == 21 * 16
