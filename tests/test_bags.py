@@ -1,6 +1,7 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,33 @@ def test_lookups_and_buckets_by_digests_are_those_by_values(spark, monkeypatch,
     want = pairs(lsh.candidates(bands.join(asked, "doc"), bands))
     assert len(want) > 2 and pairs(lsh.candidates_of_digests(asked, digests)) == want
     assert pairs(lsh.quadratic_edges(lsh.members_of_digests(digests), lsh.DIGEST)) == pairs(lsh.quadratic_edges(lsh.buckets(bands)))
+
+
+def test_samples_of_long_bags_are_drawn_only_where_bounds_leave_a_chance(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 150, 60)
+    x, value = rng.integers(0, wmh.P, sizes.sum()), rng.exponential(3.0, sizes.sum()) + 1e-3
+    x[:2], x[-3:], value[-3:] = (0, wmh.P - 1), 5, 1.0  # ends of the range, and ties
+    a, b = wmh.constants(64)
+    cells, drawn, draw = 64 * len(x), [], wmh._drawn
+    monkeypatch.setattr(wmh, "_drawn", lambda x, a, b: drawn.append(np.broadcast(x, a).size) or draw(x, a, b))
+    got = wmh.signatures_of(x, value, sizes, a, b)
+    assert sum(drawn) < 5 * cells / 2
+    monkeypatch.setattr(wmh, "BOUNDED", 10**9)
+    assert all((g == w).all() for g, w in zip(got, wmh.signatures_of(x, value, sizes, a, b)))
+    assert all(np.array([wmh.signature_of(x[e - n : e], value[e - n : e], a, b)[i] for e, n in zip(np.cumsum(sizes), sizes)] == got[i]).all() for i in (0, 1))
+
+
+def test_frequencies_travel_as_long_rows(spark):
+    items = spark.createDataFrame([(f"d{i}", f"one two three four five w{'abc'[i % 3]}") for i in range(9)], "doc string, text string")
+    rows = bags.bags_in_rows(items, FUNC)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(h" not in plan and rows.count() == 9
+
+
+def test_hashed_names_count_what_names_count(spark):
+    items = spark.createDataFrame([("a", "x y x y x 12 \"q\" 12"), ("b", ""), ("c", "No oNe")], "doc string, text string")
+    for mode in (FILE, FUNC):
+        got = spark.createDataFrame(features.hashed(items, mode).select("doc", F.size("hs").alias("n"), F.aggregate("ns", F.lit(0), lambda a, n: a + n).alias("m"), F.size(F.array_distinct("hs")).alias("k")).collect())
+        want = features.counted(items, mode).select("doc", F.size("f").alias("k")).collect()
+        assert {r["doc"]: r["k"] for r in got.collect()} == {r["doc"]: r["k"] for r in want} and got.where("n <> m").isEmpty()
