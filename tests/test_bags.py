@@ -83,3 +83,12 @@ def test_hashed_names_count_what_names_count(spark):
         got = spark.createDataFrame(features.hashed(items, mode).select("doc", F.size("hs").alias("n"), F.aggregate("ns", F.lit(0), lambda a, n: a + n).alias("m"), F.size(F.array_distinct("hs")).alias("k")).collect())
         want = features.counted(items, mode).select("doc", F.size("f").alias("k")).collect()
         assert {r["doc"]: r["k"] for r in got.collect()} == {r["doc"]: r["k"] for r in want} and got.where("n <> m").isEmpty()
+
+
+def test_copies_are_looked_up_as_one_class(spark):
+    rows = spark.createDataFrame([(f"d{i}", [1, 2, 3], [1.0, 2.0, 0.5]) for i in range(6)] + [("e", [1, 2, 3], [1.0, 2.0, 0.6]), ("f", [8], [1.0])], "doc string, x array<long>, v array<double>")
+    digests = wmh.digests_in_rows(rows, 16, 8, 2).cache()
+    found, members = lsh.candidate_classes(rows.select("doc").where("doc < 'd3'"), digests)
+    classes = members.groupBy(*lsh.CLASS).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    assert sorted(r["docs"] for r in classes.collect()) == [[f"d{i}" for i in range(6)], ["e"]]
+    assert found.count() == 3 * 2 and found.select(*lsh.CLASS).distinct().count() == 2
