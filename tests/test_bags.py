@@ -86,7 +86,7 @@ def test_hashed_names_count_what_names_count(spark):
 
 
 def test_copies_are_looked_up_as_one_class(spark):
-    rows = spark.createDataFrame([(f"d{i}", [1, 2, 3], [1.0, 2.0, 0.5]) for i in range(6)] + [("e", [1, 2, 3], [1.0, 2.0, 0.6]), ("f", [8], [1.0])], "doc string, x array<long>, v array<double>")
+    rows = spark.createDataFrame([(f"d{i}", [1, 2, 3], [1.0, 2.0, 0.5]) for i in range(6)] + [("e", [1, 2, 9], [1.0, 2.0, 0.5]), ("f", [8], [1.0])], "doc string, x array<long>, v array<double>")
     digests = wmh.digests_in_rows(rows, 16, 8, 2).cache()
     found, members = lsh.candidate_classes(rows.select("doc").where("doc < 'd3'"), digests)
     classes = members.groupBy(*lsh.CLASS).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
