@@ -92,3 +92,14 @@ def test_copies_are_looked_up_as_one_class(spark):
     classes = members.groupBy(*lsh.CLASS).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
     assert sorted(r["docs"] for r in classes.collect()) == [[f"d{i}" for i in range(6)], ["e"]]
     assert found.count() == 3 * 2 and found.select(*lsh.CLASS).distinct().count() == 2
+
+
+def test_features_of_few_documents_are_left_out_where_their_item_lies(spark, monkeypatch):
+    monkeypatch.setattr(bags, "PART", 60)
+    rng = random.Random(8)
+    items = spark.createDataFrame([(f"d{i}", " ".join(rng.choice(["aa", "Bb", "cC", "dd", f"e{i % 7}", "\"q\""]) for _ in range(rng.randrange(12)))) for i in range(40)] + [("none", "")], "doc string, text string")
+    for mode in (replace(FILE, least_docs=5), replace(FUNC, least_docs=2)):
+        found = bags.frequent_features(items, mode)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(feature" not in plan and "hashpartitioning(doc" not in plan
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, features.extract(items, mode).collect()))
