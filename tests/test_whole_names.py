@@ -1,7 +1,10 @@
 from dataclasses import replace
 
+import pytest
+
 from twinsift.config import FILE, FUNC
 from twinsift.operators import bags, features
+from twinsift.plans import queries
 from twinsift.plans.queries import QUERIES
 from twinsift.sources import pages
 
@@ -26,3 +29,14 @@ def test_names_of_any_length_are_features(spark):
     found = bags.bags_in_rows(items, replace(FUNC, sequences=None), named=True).collect()
     assert {f for r in found for f in r["feature"]} == {"i.x", "i.y", "i.z"}
     assert len(features.distinct_hashes(items, FUNC).where("doc = 'd'").first()["hs"]) == 4
+
+
+@pytest.mark.parametrize("name", ["similar_files_report", "similar_funcs_report"])
+def test_reports_read_their_items_once(spark, tmp_path, monkeypatch, name):
+    spark.createDataFrame([(1, "one two " * 100, "en", "r")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    calls, items = [], queries._items
+    monkeypatch.setattr(queries, "_items", lambda *a: calls.append(a) or items(*a))
+    monkeypatch.setattr(queries.engine, "members_of_rows", lambda rows, mode: rows)
+    monkeypatch.setattr(queries, "_communities", lambda rows: spark.createDataFrame([], "community string, element string"))
+    QUERIES[name](spark, str(tmp_path))
+    assert len(calls) == 1
